@@ -23,5 +23,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(j, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op10_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+o AS (
+  SELECT *, coalesce(sum(3 * source_size) OVER f, 0) AS clamped, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS free,
+    sum(source_size) OVER () AS total
+  FROM s WINDOW f AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (
+  SELECT CAST(total - clamped AS DOUBLE) / CAST(free AS DOUBLE) AS level
+  FROM o WHERE 3 * source_size >= CAST(total - clamped AS DOUBLE) / CAST(free AS DOUBLE) * weight
+  ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM s, lv),
+w AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS rest FROM w),
+g AS (
+  SELECT source, k, gsize, coalesce(sum(gsize) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, k, sum(size) AS gsize FROM d GROUP BY source, k))
+SELECT d.doc_id, d.size, p.source_size, p.target,
+  CAST(whole * size + CASE WHEN before + gsize <= rest THEN size WHEN before >= rest THEN 0
+    ELSE floor((rest - before) * size / CAST(gsize AS DOUBLE)) END AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.k = d.k
 """,
 }

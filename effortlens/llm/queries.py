@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate
+from effortlens.llm import decontaminate, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,4 +25,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.apportion(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_mixing": op10_mixing}
