@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, mixing
+from effortlens.llm import decontaminate, mixing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +25,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rules = quality.fit_rules(docs, _read(spark, sf_dir, "labels"))
+    return quality.assess(docs.select("doc_id", "text"), rules, keep=["doc_id"])
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_mixing": op10_mixing,
+}
