@@ -52,5 +52,21 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
   CAST(whole * size + CASE WHEN before + gsize <= rest THEN size WHEN before >= rest THEN 0
     ELSE floor((rest - before) * size / CAST(gsize AS DOUBLE)) END AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.k = d.k
+""",
+    "op7_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (g) WHERE doc_id > first)),
+k AS (
+  SELECT u.doc_id, string_agg(u.x, ' ' ORDER BY u.p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) u ANTI JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p
+  GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
 }
