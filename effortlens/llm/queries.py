@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, mixing, quality, substrings
+from effortlens.llm import decontaminate, jaccard, mixing, quality, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(_read(spark, sf_dir, "documents"))
 
@@ -43,5 +47,6 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
 }
