@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, jaccard, mixing, quality, substrings
+from effortlens.llm import decontaminate, jaccard, mixing, quality, substrings, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs.select("doc_id", "text"), rules, keep=["doc_id"])
 
 
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary, where it is installed; it is never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.tokenised(_read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
@@ -46,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_ids": op6_token_ids,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
