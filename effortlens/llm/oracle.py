@@ -70,3 +70,6 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN k USING (doc_id)
 """,
 }
+
+#: Both operators that remove repeated passages keep and remove the same words.
+ORACLE["op3_suffix_dedup"] = ORACLE["op7_substring_dedup"]

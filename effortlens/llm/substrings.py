@@ -34,7 +34,7 @@ from effortlens.llm import wordhash
 from effortlens.llm.storage import stored
 
 MIN_WORDS = 50
-_EMPTY = hashlib.sha256(b"").hexdigest()
+EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 
 
 def _ident(digest: str) -> int:
@@ -56,7 +56,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _anchor_rows(width: int, span: int):
+def anchor_rows(width: int, span: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """id, text -> h, id, ident, pos of the windows at selected positions."""
         for batch in batches:
@@ -90,7 +90,7 @@ def _anchor_rows(width: int, span: int):
     return rows
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text -> id, ident, z: the words joined by a space, compressed."""
     for batch in batches:
         ident, packed = [], []
@@ -112,11 +112,11 @@ def _window_rows(width: int, inner: int):
     reach = np.arange(inner - width, 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """id, z, at -> h, g (two hashes), id, pos of the windows that hold a window at ``at``."""
+        """id, ident, z, at -> h, g (two hashes), id, ident, pos of the windows that hold a window at ``at``."""
         for batch in batches:
             for k in range(batch.num_rows):
-                h = _word_hashes(batch.column(1)[k].as_buffer().to_pybytes())
-                at = np.asarray(batch.column(2)[k].values, dtype=np.int64)
+                h = _word_hashes(batch.column(2)[k].as_buffer().to_pybytes())
+                at = np.asarray(batch.column(3)[k].values, dtype=np.int64)
                 pos = np.unique(at[:, None] + reach)
                 pos = pos[(pos >= 0) & (pos <= len(h) - width)]
                 if not len(pos):
@@ -128,9 +128,10 @@ def _window_rows(width: int, inner: int):
                         pa.array(wordhash.as_long(one)),
                         pa.array(wordhash.as_long(two)),
                         pa.repeat(batch.column(0)[k], len(pos)),
+                        pa.repeat(batch.column(1)[k], len(pos)),
                         pa.array(pos.astype(np.int32)),
                     ],
-                    ["h", "g", "id", "pos"],
+                    ["h", "g", "id", "ident", "pos"],
                 )
 
     return rows
@@ -177,22 +178,24 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     table = stored(texts.mapInArrow(describe, f"id {kind}, n_words long, digest string"), "texts")
     firsts = stored(table.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
 
-    anchors = known.mapInArrow(_anchor_rows(inner, min_words - inner + 1), f"h long, id {kind}, ident long, pos int")
+    anchors = known.mapInArrow(anchor_rows(inner, min_words - inner + 1), f"h long, id {kind}, ident long, pos int")
     again = stored(repeated(anchors, ["h"], "ident").select("h"), "level-1")
     places = anchors.join(again, "h", "left_semi").groupBy("id", "ident").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     originals = firsts.select(F.col("rep").alias("id"), F.expr("cast(conv(substring(digest, 1, 16), 16, -10) AS long)").alias("ident"))
     candidates = stored(
-        known.mapInArrow(_packed, f"id {kind}, ident long, z binary")
+        known.mapInArrow(packed_texts, f"id {kind}, ident long, z binary")
         .join(places.join(originals, ["id", "ident"], "left_semi"), ["id", "ident"])
         .dropDuplicates(["id", "ident"]),
         "candidates",
     )
 
-    windows = candidates.select("id", "z", "at").mapInArrow(_window_rows(min_words, inner), f"h long, g long, id {kind}, pos int")
+    windows = candidates.select("id", "ident", "z", "at").mapInArrow(
+        _window_rows(min_words, inner), f"h long, g long, id {kind}, ident long, pos int"
+    )
     twice = stored(repeated(windows, ["h", "g"], "id"), "level-2")
-    covered = windows.join(twice, ["h", "g"]).where("id > first_owner").groupBy("id").agg(F.collect_set("pos").alias("spans"))
+    covered = windows.join(twice, ["h", "g"]).where("id > first_owner").groupBy("id", "ident").agg(F.collect_set("pos").alias("spans"))
     partial = (
-        candidates.join(covered, "id")
+        candidates.join(covered, ["id", "ident"])
         .select("id", "ident", "z", "spans")
         .mapInArrow(_kept_rows(min_words), f"id {kind}, ident long, n_removed long, kept string")
     )
@@ -206,5 +209,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         "n_words",
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-        F.when(gone, F.lit(_EMPTY)).otherwise(F.coalesce(F.sha2("kept", 256), F.col("digest"))).alias("kept_sha256"),
+        F.when(gone, F.lit(EMPTY_DIGEST)).otherwise(F.coalesce(F.sha2("kept", 256), F.col("digest"))).alias("kept_sha256"),
     )

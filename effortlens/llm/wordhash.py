@@ -31,6 +31,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWER = _powers(_BASE, BLOCK + 1)
 _INVERSE = _powers(pow(_BASE, -1, 2**64), BLOCK + 1)
 
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base; more than a block of them are made for the call."""
+    return _POWER[:n] if n <= len(_POWER) else _powers(_BASE, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _INVERSE[:n] if n <= len(_INVERSE) else _powers(pow(_BASE, -1, 2**64), n)
+
+
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
