@@ -317,3 +317,14 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     found = marked.join(smallest, (marked["label"] == smallest["label"]) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are linked, however far, to one of smaller id.
+
+    Rows that share an id stay or go together; rows with a null id stay. Only the ids that go are
+    joined with the documents, so the side that may be broadcast is as small as it can be.
+    """
+    found = components(docs, width, percent, id_col, text_col)
+    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "gone")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, jaccard, lines, mixing, pages, passages, quality, substrings, tokenfile
+from effortlens.llm import decontaminate, jaccard, lines, mixing, pages, passages, quality, substrings, tokencount, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a revision that touches three places."""
+    path = tokenizer_file()
+    trees = tokencount.build_trees(_read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    revised = tokencount.apply_edits(trees, tokencount.revision(F.col("text")), path)
+    return revised.select("doc.doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_revised"), "n_encoded")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_read(spark, sf_dir, "documents"))
 
@@ -75,6 +83,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_token_ids": op6_token_ids,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
 }
