@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effortlens.llm.words import ITEM_BREAK, ascii_lower, covered, positions, split_words, window_hashes
+from effortlens.llm.words import ITEM_BREAK, ascii_lower, covered, let, positions, split_words, window_hashes
 
 #: More distinct windows than this are not sent to all tasks; documents and windows are joined by shuffle instead.
 MAX_BROADCAST_WINDOWS = 50_000
@@ -52,21 +52,22 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH, id_col: str = "item_
     return grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
 
 
-def _tokenised(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    out = docs.select(*keep, split_words(ascii_lower(F.col(text_col)), ITEM_BREAK).alias("_words"))
-    return out.withColumn("_n", F.size("_words"))
+_HITS = "array<struct<pos:int,len:int,gram:string>>"
 
 
-def _spans(starts: Column, width: int) -> Column:
+def _words(text: Column) -> Column:
+    return split_words(ascii_lower(text), ITEM_BREAK)
+
+
+def _spans(words: Column, starts: Column, width: int) -> Column:
     """array<struct(pos, len, gram)> of the windows at ``starts``."""
     return F.transform(
-        starts,
-        lambda i: F.struct(i.alias("pos"), F.lit(width).alias("len"), _gram(F.col("_words"), i, width).alias("gram")),
+        starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("len"), _gram(words, i, width).alias("gram"))
     )
 
 
-def _in_row_hits(windows: list) -> Column:
-    """array<struct(pos, len, gram)> of the windows found, from sets small enough for every task.
+def _in_row(text: Column, windows: list, body) -> Column:
+    """``body(words, hits)`` of a text, both computed once; hits are found with sets small enough for every task.
 
     A window whose hash is in the set is kept if its words are in the set of grams. Grams hold
     only letters, digits and spaces of ASCII and characters above it, so they need no escape.
@@ -74,46 +75,40 @@ def _in_row_hits(windows: list) -> Column:
     by_len: dict[int, list] = {}
     for row in windows:
         by_len.setdefault(row["len"], []).append(row)
-    none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
-    if not by_len:
-        return none
+    none = F.array().cast(_HITS)
 
-    def hits(hashes: dict[int, Column]) -> Column:
-        return F.concat(none, *[_hits_of_length(hashes[w], w, rows) for w, rows in sorted(by_len.items())])
+    def found(words: Column) -> Column:
+        if not by_len:
+            return none
 
-    return window_hashes(F.col("_words"), sorted(by_len), hits)
+        def hits(hashes: dict[int, Column]) -> Column:
+            parts = [_hits_of_length(words, hashes[w], w, rows) for w, rows in sorted(by_len.items())]
+            return F.array_sort(F.concat(none, *parts))
 
+        return window_hashes(words, sorted(by_len), hits)
 
-def _hits_of_length(hashes: Column, width: int, rows: list) -> Column:
-    wanted = {row["h"] for row in rows}
-    found = F.transform(hashes, lambda h, i: F.when((i <= F.col("_n") - width) & h.isin(wanted), i + 1))
-    grams = {row["gram"] for row in rows}
-    return F.filter(_spans(F.filter(found, lambda i: i.isNotNull()), width), lambda s: s["gram"].isin(grams))
+    return let(_words(text), lambda words: let(found(words), lambda hits: body(words, hits)))
 
 
-def find_hits(
-    docs: DataFrame,
-    bench: DataFrame,
-    width: int = WIDTH,
-    text_col: str = "text",
-    keep: list[str] | None = None,
-    max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
-) -> tuple[DataFrame, DataFrame]:
-    """Documents with _words, _n and _hits (array<struct(pos, len, gram)>, sorted), and the windows.
+def _hits_of_length(words: Column, hashes: Column, width: int, rows: list) -> Column:
+    wanted, grams = {row["h"] for row in rows}, {row["gram"] for row in rows}
+    last = F.size(words) - width
+    found = F.transform(hashes, lambda h, i: F.when(h.isin(wanted) & (i <= last), i + 1))
+    return F.filter(_spans(words, F.filter(found, lambda i: i.isNotNull()), width), lambda s: s["gram"].isin(grams))
 
-    Within ``max_broadcast_windows`` distinct windows the set is part of the scan. Beyond it every
-    document window is joined with the benchmark's by shuffle on its text, and hits return by row.
-    """
-    windows = benchmark_windows(bench, width)
-    kept = [F.col(c) for c in (keep if keep is not None else docs.columns)]
-    sample = windows.select("gram", "len", _gram_hash(F.col("gram"), width).alias("h")).limit(max_broadcast_windows + 1).collect()
-    if len(sample) <= max_broadcast_windows:
-        tokens = _tokenised(docs, text_col, kept)
-        return tokens.withColumn("_hits", F.array_sort(_in_row_hits(sample))), windows
-
-    lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # at most ``width`` of them
-    tokens = _tokenised(docs, text_col, [*kept, F.monotonically_increasing_id().alias("_row")])
-    spans = F.concat(*[_spans(positions(F.col("_n"), w), w) for w in sorted(lengths)])
+
+def _small_set(windows: DataFrame, width: int, most: int) -> list | None:
+    """The windows with their hashes, or None if there are more than ``most``."""
+    found = windows.select("gram", "len", _gram_hash(F.col("gram"), width).alias("h")).limit(most + 1).collect()
+    return found if len(found) <= most else None
+
+
+def _by_shuffle(docs: DataFrame, windows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, _words and _hits, from a join of all document windows with the benchmark's."""
+    lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # at most the width of them
+    tokens = docs.select(*[F.col(c) for c in keep], _words(F.col(text_col)).alias("_words"), F.monotonically_increasing_id().alias("_row"))
+    n = F.size("_words")
+    spans = F.concat(F.array().cast(_HITS), *[_spans(F.col("_words"), positions(n, w), w) for w in sorted(lengths)])
     hits = (
         tokens.select("_row", F.explode(spans).alias("s"))
         .select("_row", "s.*")
@@ -121,9 +116,24 @@ def find_hits(
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "len", "gram"))).alias("_hits"))
     )
-    none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
-    joined = tokens.join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", none))
-    return joined.drop("_row"), windows
+    joined = tokens.join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS)))
+    return joined.drop("_row")
+
+
+def judged(docs: DataFrame, bench: DataFrame, body, width: int, text_col: str, keep: list[str], max_broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+    """(``keep`` columns and _found = ``body(words, hits)`` per document row, windows).
+
+    Hits are array<struct(pos, len, gram)>, sorted. Within ``max_broadcast_windows`` distinct
+    windows the set is part of the scan. Beyond it every document window is joined with the
+    benchmark's by shuffle on its text, and hits return by row.
+    """
+    windows = benchmark_windows(bench, width)
+    small = _small_set(windows, width, max_broadcast_windows)
+    kept = [F.col(c) for c in keep]
+    if small is not None:
+        return docs.select(*kept, _in_row(F.col(text_col), small, body).alias("_found")), windows
+    rows = _by_shuffle(docs, windows, text_col, keep)
+    return rows.select(*kept, body(F.col("_words"), F.col("_hits")).alias("_found")), windows
 
 
 def contamination(
@@ -139,17 +149,16 @@ def contamination(
 
     A document is contaminated if it has a hit and ``numerator * n_hit >= n_words``.
     """
-    rows, windows = find_hits(docs.select(id_col, text_col), bench, width, text_col, [id_col], max_broadcast_windows)
-    scored = rows.select(
-        id_col,
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("_n").cast("long").alias("n_words"),
-        covered(F.col("_hits")).cast("long").alias("n_hit"),
-        F.array_distinct(F.transform("_hits", lambda s: F.struct(s["gram"].alias("gram"), s["len"].alias("len")))).alias("_grams"),
-    )
+
+    def body(words: Column, hits: Column) -> Column:
+        grams = F.array_distinct(F.transform(hits, lambda s: F.struct(s["gram"].alias("gram"), s["len"].alias("len"))))
+        return F.struct(F.size(words).cast("long").alias("n_words"), covered(hits).cast("long").alias("n_hit"), grams.alias("grams"))
+
+    rows, windows = judged(docs, bench, body, width, text_col, [id_col], max_broadcast_windows)
+    scored = rows.select(id_col, F.monotonically_increasing_id().alias("_row"), "_found.*")
     owners = windows.select("gram", "len", F.explode("items").alias("item"))
     listed = (
-        scored.select(id_col, "_row", "n_words", "n_hit", F.explode_outer("_grams").alias("g"))
+        scored.select(id_col, "_row", "n_words", "n_hit", F.explode_outer("grams").alias("g"))
         .select(id_col, "_row", "n_words", "n_hit", "g.gram", "g.len")
         .join(owners, ["gram", "len"], "left")
         .groupBy("_row", id_col, "n_words", "n_hit")
@@ -169,24 +178,27 @@ def remove_contaminated(
     max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
 ) -> DataFrame:
     """The documents that are not contaminated, with their own columns; no shuffle within the broadcast bound."""
+
+    def clean(words: Column, hits: Column) -> Column:
+        return let(covered(hits), lambda n: (n == 0) | (n * numerator < F.size(words)))
+
     boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
-    rows, _ = find_hits(boxed, bench, width, "_text", ["_doc"], max_broadcast_windows)
-    n_hit = covered(F.col("_hits"))
-    clean = rows.where((n_hit == 0) | (n_hit * numerator < F.col("_n")))
-    return clean.select("_doc.*")
+    rows, _ = judged(boxed, bench, clean, width, "_text", ["_doc"], max_broadcast_windows)
+    return rows.where("_found").select("_doc.*")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text_col: str = "text", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Documents with a column ``clean_text``: the normalised words that no benchmark window covers, joined by a space."""
-    boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
-    rows, _ = find_hits(boxed, bench, width, "_text", ["_doc"], max_broadcast_windows)
 
-    def step(acc, s):
-        gap = F.slice("_words", acc["next"], F.greatest(F.lit(0), s["pos"] - acc["next"]))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["next"], s["pos"] + s["len"]).alias("next"))
+    def rest(words: Column, hits: Column) -> Column:
+        def step(acc, s):
+            gap = F.slice(words, acc["next"], F.greatest(F.lit(0), s["pos"] - acc["next"]))
+            return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["next"], s["pos"] + s["len"]).alias("next"))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
-    rest = F.aggregate(
-        "_hits", start, step, lambda a: F.concat(a["out"], F.slice("_words", a["next"], F.greatest(F.lit(0), F.col("_n") - a["next"] + 1)))
-    )
-    return rows.select("_doc.*", F.concat_ws(" ", rest).alias("clean_text"))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
+        tail = lambda a: F.concat(a["out"], F.slice(words, a["next"], F.greatest(F.lit(0), F.size(words) - a["next"] + 1)))
+        return F.concat_ws(" ", F.aggregate(hits, start, step, tail))
+
+    boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
+    rows, _ = judged(boxed, bench, rest, width, "_text", ["_doc"], max_broadcast_windows)
+    return rows.select("_doc.*", F.col("_found").alias("clean_text"))
