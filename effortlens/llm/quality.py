@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,14 @@ MAX_REPEAT_PERCENT = 30
 MAX_SAMPLE = 5_000
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Statistics that rules may test, as SQL over the base columns and n_lines.
+#: Statistics that rules may test: functions of a getter for the base columns and n_lines.
 RATIOS = {
-    "mean_word_chars": "word_chars / greatest(n_words, 1)",
-    "symbol_share": "n_symbols / greatest(word_chars, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "words_per_line": "n_words / greatest(n_lines, 1)",
-    "log_words": "ln(1 + n_words)",
+    "mean_word_chars": lambda get: get("word_chars") / F.greatest(get("n_words"), F.lit(1)),
+    "symbol_share": lambda get: get("n_symbols") / F.greatest(get("word_chars"), F.lit(1)),
+    "dup_line_share": lambda get: get("n_dup_lines") / F.greatest(get("n_lines"), F.lit(1)),
+    "repeat_share": lambda get: get("n_repeat_words") / F.greatest(get("n_words"), F.lit(1)),
+    "words_per_line": lambda get: get("n_words") / F.greatest(get("n_lines"), F.lit(1)),
+    "log_words": lambda get: F.log1p(get("n_words")),
 }
 
 
@@ -72,31 +73,29 @@ def repeated_words(words: Column, n: Column) -> Column:
     return F.when(n <= REPEAT_WIDTH, 0).otherwise(window_hashes(words, [REPEAT_WIDTH], of))
 
 
+def statistics(text: Column) -> Column:
+    """struct of the base columns and n_lines (long) of a text."""
+
+    def of(words: Column, lines: Column) -> Column:
+        known = {
+            "n_words": F.size(words),
+            "word_chars": F.char_length(F.array_join(words, "")),
+            "n_symbols": F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(words, F.size(words)),
+            "n_lines": F.size(lines),
+        }
+        return F.struct(*[c.cast("long").alias(name) for name, c in known.items()])
+
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return let(split_words(text, SPACE), lambda words: let(lines, lambda x: of(words, x)))
+
+
 def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default), the base columns (long), n_lines (long)."""
+    """``keep`` columns (all by default), the base columns and n_lines (long)."""
     kept = keep if keep is not None else docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*kept, text.alias("_text"), split_words(F.col(text_col), SPACE).alias("_words"))
-    rows = rows.withColumn("_n", F.size("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    counted = let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("distinct")))
-    out = rows.select(
-        *kept,
-        F.col("_n").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        counted.alias("_lines"),
-        repeated_words(F.col("_words"), F.col("_n")).cast("long").alias("n_repeat_words"),
-    )
-    return out.select(
-        *kept,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        (F.col("_lines.all") - F.col("_lines.distinct")).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        F.col("_lines.all").cast("long").alias("n_lines"),
-    )
+    return docs.select(*kept, statistics(F.col(text_col)).alias("_stats")).select(*kept, "_stats.*")
 
 
 @dataclass(frozen=True)
@@ -107,8 +106,9 @@ class Condition:
     at_least: bool
     threshold: float
 
-    def sql(self) -> str:
-        return f"({RATIOS.get(self.statistic, self.statistic)}) {'>=' if self.at_least else '<'} {self.threshold!r}D"
+    def column(self, get=F.col) -> Column:
+        value = RATIOS[self.statistic](get)
+        return value >= self.threshold if self.at_least else value < self.threshold
 
 
 @dataclass(frozen=True)
@@ -117,8 +117,8 @@ class Rule:
 
     conditions: tuple[Condition, ...]
 
-    def sql(self) -> str:
-        return " AND ".join(c.sql() for c in self.conditions)
+    def column(self, get=F.col) -> Column:
+        return reduce(lambda a, b: a & b, [c.column(get) for c in self.conditions])
 
 
 def _bits(flags) -> int:
@@ -208,7 +208,7 @@ def labelled_sample(
     chosen = chosen.select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad")).orderBy(F.xxhash64("_id"), "_id", "_bad").limit(max_sample)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
     stats = text_statistics(found, "_t", ["_id", "_bad"])
-    stats = stats.select("_id", "_bad", *[F.expr(sql).cast("double").alias(name) for name, sql in RATIOS.items()])
+    stats = stats.select("_id", "_bad", *[ratio(F.col).cast("double").alias(name) for name, ratio in RATIOS.items()])
     rows = stats.orderBy(F.xxhash64("_id"), "_id", "_bad", *RATIOS).limit(max_sample).collect()
     return [({name: row[name] for name in RATIOS}, row["_bad"]) for row in rows]
 
@@ -218,11 +218,15 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE,
     return learn_rules(labelled_sample(docs, labels, max_sample, **columns), list(RATIOS))
 
 
-def rejecting_rule(rules: list[Rule]) -> Column:
+def base_failed(get=F.col) -> Column:
+    return (get("n_words") < MIN_WORDS) | (100 * get("n_repeat_words") > MAX_REPEAT_PERCENT * get("n_words"))
+
+
+def rejecting_rule(rules: list[Rule], get=F.col) -> Column:
     """Number (from 1) of the first rule that holds, else null."""
     chain = F.lit(None).cast("int")
     for number in range(len(rules), 0, -1):
-        chain = F.when(F.expr(rules[number - 1].sql()), number).otherwise(chain)
+        chain = F.when(rules[number - 1].column(get), number).otherwise(chain)
     return chain
 
 
@@ -230,12 +234,16 @@ def assess(docs: DataFrame, rules: list[Rule], text_col: str = "text", keep: lis
     """``keep`` columns, the base columns, base_failed, rejected_by (int, null if no rule holds), kept."""
     kept = keep if keep is not None else docs.columns
     stats = text_statistics(docs, text_col, kept)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    marked = stats.select(*kept, *BASE, failed.alias("base_failed"), rejecting_rule(rules).alias("rejected_by"))
+    marked = stats.select(*kept, *BASE, base_failed().alias("base_failed"), rejecting_rule(rules).alias("rejected_by"))
     return marked.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns; one scan, no shuffle."""
+    """The documents that pass, with their own columns; one scan, no shuffle.
+
+    The filter tests statistics held by a lambda variable, as it would otherwise compute each anew
+    at every mention.
+    """
     boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_t"))
-    return assess(boxed, rules, "_t", ["_doc"]).where("kept").select("_doc.*")
+    good = let(statistics(F.col("_t")), lambda s: ~base_failed(lambda c: s[c]) & rejecting_rule(rules, lambda c: s[c]).isNull())
+    return boxed.where(good).select("_doc.*")
