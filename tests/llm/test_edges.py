@@ -164,3 +164,25 @@ def test_rules_reject_what_they_learn():
     found = quality.learn_rules(rows, ["a", "b"])
     assert len(found) == 1 and found[0].conditions[0].statistic == "a" and found[0].conditions[0].at_least
     assert quality.learn_rules([], ["a"]) == []
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from effortlens.llm.components import connected_components
+
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (900, 800), (800, 850)]
+    edges += [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(50)]
+    r.shuffle(edges)
+    top = {}
+
+    def find(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x["node"]: x["label"] for x in found} == {i: find(i) for i in list(top)}
