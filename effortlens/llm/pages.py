@@ -3,10 +3,11 @@
 Pages are cut into lines of text. Within each host pages are ordered by URL path, each is paired
 with the neighbour whose path shares the longer prefix, their lines are aligned by longest common
 subsequence, and shared lines are deleted: what two neighbouring pages have in common is their
-template. Markup decides first where it can: lines of <article> or <main> are content and are not
-deleted (two pages may quote one passage), lines of menus, footers, forms, adverts and the like are
-dropped; differencing decides the lines between. If a page shares every line it has, its neighbour
-is a copy of it and nothing is deleted.
+template. Markup only speaks for single lines: those of <article> or <main> are content and are not
+deleted (two pages may quote one passage), those of menus, footers, forms, adverts and the like are
+dropped. Every other line, on a page with or without <article>, is decided by differencing alone: it
+stays unless the neighbour has it too. A neighbour that has every line of a page is a copy of it and
+shows no template, so the other one is taken; if both are copies, nothing is deleted.
 
 The order over (host, path) is a range partitioning, so a host with a third of all pages is spread
 over many tasks; neighbours across a partition edge are found in a table of two rows a partition.
@@ -153,7 +154,7 @@ def _cut(sig: bytes) -> list[bytes]:
 
 
 def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, key, sig and both neighbours -> key, gone: the lines shared with the nearer one."""
+    """host, path, key, sig and both neighbours -> key, gone: the lines shared with the nearer one that is no copy."""
     for batch in batches:
         keys, gone = [], []
         for host, path, key, sig, ph, pp, ps, nh, np_, ns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -163,8 +164,8 @@ def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append([])
                 continue
             own = _cut(sig)
-            shared = common_lines(own, _cut(max(near, key=lambda x: x[0])[1]))
-            gone.append([] if len(shared) == len(own) else shared)
+            found = (common_lines(own, _cut(s)) for _, s in sorted(near, key=lambda x: -x[0]))
+            gone.append(next((shared for shared in found if len(shared) < len(own)), []))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
 
@@ -174,10 +175,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for z, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             found = json.loads(zlib.decompress(z).decode("utf-8", "surrogatepass"))
-            content = [x for x in found if x[2] == markup.KEEP]
-            if not content:  # no <article> or <main>: what differencing leaves
-                content = [x for x in found if x[0] not in set(gone or ())]
-            texts.append("\n\n".join(text for _, text, _ in content))
+            shared = set(gone or ())
+            texts.append("\n\n".join(text for k, text, kind in found if kind == markup.KEEP or k not in shared))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 

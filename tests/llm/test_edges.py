@@ -135,6 +135,16 @@ def test_pages_drop_the_template(spark):
     assert (found[9], found[10], found[11]) == ("", "", "T\n\nText")
 
 
+def test_differencing_decides_beside_an_article(spark):
+    page = "<body><div>Site name</div><article><p>Teaser {0}</p><p>Quoted by all</p></article><p>Body of page {0}</p><p>Imprint</p><nav>menu {0}</nav></body>"
+    rows = [(i, f"https://h.example/a/{i}", page.format(i)) for i in range(4)]
+    rows += [(4, "https://h.example/a/3b", page.format(3))]  # a copy of its neighbour 3
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert found[i] == f"Teaser {i}\n\nQuoted by all\n\nBody of page {i}"
+    assert {"Teaser 3", "Body of page 3"} <= set(found[4].split("\n\n"))
+
+
 def test_orc_files_prune_by_id(spark, odd):
     folder = new_folder(spark, "tokens")
     tokenfile.write_tokens(odd[1].where("doc_id IS NOT NULL"), folder, tokenizer_file())
