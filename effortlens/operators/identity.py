@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from effortlens.functions.scalars import email_domain, normal_name
 
 
 def match_pairs(people: DataFrame, domain_limit: int = 3) -> DataFrame:
-    """people (id, name, email) -> a, b, confidence: HIGH equal names, MEDIUM same domain and names within ``domain_limit`` edits.
+    """people (id, name, email) -> a, b, confidence: HIGH equal names, MEDIUM same domain, last word and names within ``domain_limit`` edits.
+
+    Two of the reference's five rules, the second one narrowed, as the SQL of dup_pairs has them; all five: ``find_matches``.
 
     Pairs meet on a blocking key, never in a cross join: the name, or domain and last word of the
     name, so that edit distance is taken inside small blocks.
@@ -30,6 +35,115 @@ def match_pairs(people: DataFrame, domain_limit: int = 3) -> DataFrame:
     return best.select("a", "b", F.when(F.col("rank") == 2, "HIGH").otherwise("MEDIUM").alias("confidence"))
 
 
+PUBLIC_DOMAINS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "mail.ru", "yandex.ru", "users.noreply.github.com", "noreply.github.com")
+#: Names up to this length meet by deletion variants, longer ones by an unedited piece.
+_SHORT = 15
+
+
+def name_keys(name: str, edits: int) -> tuple[set[str], set[str]]:
+    """(own keys, keys to look for): two names within ``edits`` edits have an own key of the one among the looked-for keys of the other.
+
+    Both leave an equal text if each loses at most ``edits`` characters. For long names that are too
+    many texts; there one of ``edits`` + 1 pieces is unedited and stands at most ``edits`` places off.
+    """
+    own, wanted, n = set(), set(), len(name)
+    if n <= _SHORT + edits:
+        for k in range(min(edits, n) + 1):
+            for gone in combinations(range(n), k):
+                cut, at = [], 0
+                for g in gone:
+                    cut.append(name[at:g])
+                    at = g + 1
+                own.add("d" + "".join(cut) + name[at:])
+        wanted |= own
+    pieces = lambda size: [(i, i * size // (edits + 1), (i + 1) * size // (edits + 1)) for i in range(edits + 1)]
+    if n > _SHORT:
+        own |= {f"p{n}:{i}:{name[x:y]}" for i, x, y in pieces(n)}
+        for size in range(max(n - edits, _SHORT + 1), n + edits + 1):
+            for i, x, y in pieces(size):
+                wanted |= {f"p{size}:{i}:{name[x + s : y + s]}" for s in range(-edits, edits + 1) if x + s >= 0 and y + s <= n}
+    return own, wanted
+
+
+def near_names(names: DataFrame, edits: int) -> DataFrame:
+    """names (scope, name) -> scope, x, y: the pairs x < y of one scope that are 1 to ``edits`` edits apart."""
+
+    def keyed(side: int):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield part.assign(key=[sorted(name_keys(x, edits)[side]) for x in part["name"]]).explode("key")[["scope", "name", "key"]]
+
+        return run
+
+    rows = names.distinct()
+    sides = [
+        rows.mapInPandas(keyed(side), "scope string, name string, key string").select("scope", F.col("name").alias(x), F.xxhash64("key").alias("key"))
+        for side, x in enumerate("xy")
+    ]
+    met = sides[0].join(sides[1], ["scope", "key"]).where("x <> y")
+    met = met.select("scope", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return met.where(F.levenshtein("x", "y", edits).between(1, edits))
+
+
+def _developers(people: DataFrame) -> DataFrame:
+    email = F.coalesce(F.lower("email"), F.lit(""))
+    rows = people.select("id", "login", email.alias("email"), F.coalesce(normal_name(F.col("name")), F.lit("")).alias("name"), F.get(F.split(email, "@"), 1).alias("domain"))
+    words = F.split("name", " ")
+    first = F.get(words, 0)
+    rows = rows.withColumns({"first": first, "last": F.get(words, F.size(words) - 1), "letter": F.substring(first, 1, 1)})
+    return rows.withColumn("initial", (F.length("first") <= 2) & (F.length(F.replace(F.col("first"), F.lit("."), F.lit(""))) == 1))
+
+
+def _side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    return rows.select(F.col("id").alias(name), F.col("email").alias(f"{name}_email"), *columns)
+
+
+def _met(rows: DataFrame, rank: int) -> DataFrame:
+    rows = rows.where("a <> b AND a_email <> b_email")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(rank).alias("rank"))
+
+
+def _loose_pairs(rows: DataFrame) -> DataFrame:
+    """a, b, rank of the rules that are no equality: initial and last name (3), same domain (2), spelling (1)."""
+    shorts = _side(rows.where("initial AND last <> ''"), "a", "last", F.substring("first", 1, 1).alias("letter"), F.col("first").alias("own"))
+    initials = shorts.join(_side(rows, "b", "last", "letter", "first"), ["last", "letter"]).where("own <> first")
+    private = rows.where((F.col("domain") != "") & ~F.col("domain").isin(*PUBLIC_DOMAINS))
+    found = _met(initials, 3)
+    for scoped, edits, rank in ((private.withColumn("scope", F.col("domain")), 3, 2), (rows.withColumn("scope", F.lit("")), 2, 1)):
+        near = near_names(scoped.select("scope", "name"), edits)
+        near = near.join(_side(scoped, "a", "scope", F.col("name").alias("x")), ["scope", "x"]).join(_side(scoped, "b", "scope", F.col("name").alias("y")), ["scope", "y"])
+        found = found.unionByName(_met(near, rank))
+    return found
+
+
+def find_matches(people: DataFrame) -> DataFrame:
+    """people (id, name, login, email) -> a < b, confidence, reason of each pair that a rule links; the first rule that does counts.
+
+    HIGH name (equal), HIGH login, MEDIUM initial (and equal last word), MEDIUM domain (not a public
+    one, names within 3 edits), LOW spelling (names within 2 edits). Equal e-mails never match.
+    """
+    rows = _developers(people)
+    found = _loose_pairs(rows)
+    for column, part, rank in (("name", rows, 5), ("login", rows.where("login <> ''"), 4)):
+        found = found.unionByName(_met(_side(part, "a", column).join(_side(part, "b", column), column), rank))
+    best = found.groupBy("a", "b").agg(F.max("rank").alias("rank"))
+    at = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rank"))
+    return best.select("a", "b", at("LOW", "MEDIUM", "MEDIUM", "HIGH", "HIGH").alias("confidence"), at("spelling", "domain", "initial", "login", "name").alias("reason"))
+
+
+def match_links(people: DataFrame) -> DataFrame:
+    """a, b with the components of ``find_matches``: people of one name or login are linked to its smallest id, not each to each.
+
+    Where a name or login has two e-mails, each of its people has another e-mail than some other one, so all are one component.
+    """
+    rows = _developers(people)
+    found = _loose_pairs(rows).select("a", "b")
+    for column, part in (("name", rows), ("login", rows.where("login <> ''"))):
+        least = part.groupBy(column).agg(F.min("id").alias("a"), F.min("email").alias("x"), F.max("email").alias("y")).where("x <> y")
+        found = found.unionByName(least.join(part, column).where("a <> id").select("a", F.col("id").alias("b")))
+    return found.distinct()
+
+
 def _kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
