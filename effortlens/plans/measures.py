@@ -68,6 +68,27 @@ _MATCHES = """matches AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.name = b.name
   AND (a.name = b.name OR (a.domain = b.domain AND a.last = b.last AND levenshtein(a.name, b.name) <= 3)))"""
 
 
+def _everyone(spark, d):
+    """Every customer as a developer: name, sometimes a login, e-mail; two to three share a name, some names are misspelt or begin with an initial."""
+    key = F.col("c_custkey")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("ann", "anne", "ben", "b.", "cora", "dora", "finn")]), (key % 7 + 1).cast("int"))
+    last = F.substring(F.md5(F.floor(key / 20).cast("string")), 1, 8)
+    last = F.when(key % 11 == 0, F.concat(F.substring(last, 1, 7), F.lit("z"))).otherwise(last)
+    domain = F.when(key % 3 == 0, "Gmail.com").otherwise(F.concat(F.lit("Firm"), F.col("c_nationkey").cast("string"), F.lit(".example")))
+    login = F.when(key % 5 == 0, F.concat(F.lit("u"), F.floor(key / 13).cast("string")))
+    email = F.concat(F.lit("p"), F.floor(key / 2).cast("string"), F.lit("@"), domain)
+    return table(spark, d, "customer").select(key.alias("id"), F.concat_ws(" ", word, last).alias("name"), login.alias("login"), email.alias("email"))
+
+
+def _match_chain_all(spark, d):
+    """Every supplier can be found; keys beyond the suppliers, and absent ones, miss."""
+    key = F.col("c_custkey")
+    provider = F.when(key % 4 != 0, key * 3)
+    wanted = table(spark, d, "customer").select("c_custkey", F.when(key % 6 != 0, F.concat(F.lit("s"), F.floor(key / 5).cast("string"))).alias("login"), provider.alias("provider"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("login"), F.col("s_suppkey").alias("found"))
+    return identity.first_match(wanted, [("provider", s.select("provider", "found")), ("login", s.select("login", "found"))]).select("c_custkey", "found", "found_by")
+
+
 def _match_chain(spark, d):
     wanted = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("s"), (F.col("c_custkey") % 40).cast("string")).alias("login"), (F.col("c_custkey") % 30).alias("provider"))
     s = table(spark, d, "supplier")
@@ -190,6 +211,9 @@ QUERIES = {
         """SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS found, CASE WHEN a.s_suppkey IS NOT NULL THEN 'provider' WHEN b.s_suppkey IS NOT NULL THEN 'login' END AS found_by
         FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey % 30 AND a.s_suppkey < 10 LEFT JOIN supplier b ON b.s_suppkey = c_custkey % 40 AND b.s_suppkey < 25""",
     ),
+    "developer_matches": (lambda spark, d: identity.find_matches(_everyone(spark, d)), None),
+    "developer_groups": (lambda spark, d: identity.match_groups(identity.match_links(_everyone(spark, d))).select(F.col("id"), F.col("group").alias("group_id")), None),
+    "match_chain_all": (_match_chain_all, None),
     "identity_health": (
         lambda spark, d: identity.health(aliases(spark, d).withColumn("team", F.crc32("email") % 7), "team").drop("team").groupBy("health").agg(F.sum("resolved").alias("resolved"), F.sum("unresolved").alias("unresolved")),
         None,

@@ -2,7 +2,11 @@
 
 import random
 
+import pandas as pd
+
 from effortlens.operators import identity
+from effortlens.plans import measures, registry
+from tests.compare import SF
 
 SCHEMA = "id long, name string, login string, email string"
 
@@ -86,3 +90,21 @@ def test_near_names_keys_lose_nothing():
         for limit in range(max(k, 2), 4):
             assert identity.name_keys(a, limit)[0] & identity.name_keys(b, limit)[1]
             assert identity.name_keys(b, limit)[0] & identity.name_keys(a, limit)[1]
+
+
+def test_queries_leave_no_customer_out(spark):
+    people = [tuple(r) for r in measures._everyone(spark, SF).collect()]
+    assert {p[0] for p in people} == set(pd.read_parquet(f"{SF}/customer.parquet").c_custkey)
+    wanted = {(p[0], q[0]): m for p in people for q in people if p[0] < q[0] and (m := match(p, q))}
+    assert {(r["a"], r["b"]): (r["confidence"], r["reason"]) for r in registry.QUERIES["developer_matches"](spark, SF).collect()} == wanted
+    found = {r["id"]: r["group_id"] for r in registry.QUERIES["developer_groups"](spark, SF).collect()}
+    assert set(found) == {x for pair in wanted for x in pair}
+    assert all(found[a] == found[b] for a, b in wanted)
+
+
+def test_match_chain_finds_every_supplier_that_is_asked_for(spark):
+    suppliers = set(pd.read_parquet(f"{SF}/supplier.parquet").s_suppkey)
+    rows = {r["c_custkey"]: (r["found"], r["found_by"]) for r in registry.QUERIES["match_chain_all"](spark, SF).collect()}
+    for key in pd.read_parquet(f"{SF}/customer.parquet").c_custkey:
+        by_id, by_login = key % 4 != 0 and key * 3 in suppliers, key % 6 != 0 and key // 5 in suppliers
+        assert rows[key] == ((key * 3, "provider") if by_id else (key // 5, "login") if by_login else (None, None))
