@@ -91,6 +91,15 @@ def daily_effort(commits: DataFrame) -> DataFrame:
     return rows.select("email", "day", "sha", "entry_day", cents.alias("cents")).where("cents > 0")
 
 
+def effort_rows(commits: DataFrame) -> DataFrame:
+    """email, day, placed, overhead: a commit's placed cents on the days they went to, what could not be placed on its own day."""
+    parts = daily_effort(commits)
+    placed = parts.groupBy("email", F.col("entry_day").alias("day"), "sha").agg(F.sum("cents").alias("placed"))
+    left = commits.select("email", "day", "sha", "cents").join(placed, ["email", "day", "sha"], "left")
+    left = left.select("email", "day", F.lit(0).cast("long").alias("placed"), (F.col("cents") - F.coalesce("placed", F.lit(0))).alias("overhead"))
+    return parts.select("email", "day", F.col("cents").alias("placed"), F.lit(0).cast("long").alias("overhead")).unionByName(left.where("overhead > 0"))
+
+
 def developer_metrics(commits: DataFrame, auto: bool = True) -> DataFrame:
     """Per developer: commits, total, placed and overhead cents, work days, FTE days, share, two ratios."""
     totals = commits.groupBy("email").agg(F.count("*").alias("n_commits"), F.sum("cents").alias("total_cents"), F.max("day").alias("last_commit"))

@@ -18,10 +18,29 @@ def _base(spark, d):
 
 
 def _days(spark, d):
-    """Each commit on its own day, at most the daily cap: the frame that timelines are checked on."""
+    """Each commit on its own day, at most the daily cap a commit: nothing is spread. SQL checks the buckets on it; the queries ``..._placed`` have spread days."""
     return _base(spark, d).groupBy("email", "day").agg(F.sum(F.least("cents", F.lit(500))).alias("cents"))
 
 
+def _placed(spark, d):
+    """email, day, cents placed by spreading: at most the daily cap on each day."""
+    return spread.placed_days(_base(spark, d)).groupBy("email", "day").agg(F.sum("cents").alias("cents"))
+
+
+def _effort_timeline(unit):
+    return lambda spark, d: timeline.effort_buckets(spread.effort_rows(_base(spark, d)), _base(spark, d), unit)
+
+
+def _placed_ratios(spark, d):
+    percent = F.floor(F.col("ratio_raw") * 100 + 0.5) / 100
+    return spread.developer_metrics(_base(spark, d)).select("email", percent.alias("percent"), scalars.colour(percent).alias("colour"))
+
+
+def _placed_norm(spark, d):
+    means = spread.developer_metrics(_base(spark, d)).where("work_days > 0 AND total_cents > 0").select((F.col("total_cents") / F.col("work_days")).alias("mean"))
+    return means.agg((F.floor(F.median("mean") * 100 + 0.5) / 100).alias("norm"))
+
+
 def _timeline(unit):
     key = {
         "week": "CAST(isoyear(day) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(day) AS VARCHAR), 2, '0')",
@@ -172,6 +191,15 @@ QUERIES = {
             _DAYS,
         ),
     ),
+    "timeline_week_placed": (_effort_timeline("week"), None),
+    "timeline_month_placed": (_effort_timeline("month"), None),
+    "timeline_quarter_placed": (_effort_timeline("quarter"), None),
+    "timeline_year_placed": (_effort_timeline("year"), None),
+    "grouping_sets_placed": (lambda spark, d: timeline.four_grains(_placed(spark, d)), None),
+    "gap_fill_placed": (lambda spark, d: timeline.chart_gaps(_placed(spark, d).select("email", "day").union(_base(spark, d).select("email", "day"))), None),
+    "ghost_ratio_placed": (_placed_ratios, None),
+    "fte_days_placed": (lambda spark, d: spread.developer_metrics(_base(spark, d)).select("email", "fte_days"), None),
+    "median_norm_placed": (_placed_norm, None),
     "scope_work_days": (
         _workdays,
         with_frames(
