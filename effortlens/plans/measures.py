@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from effortlens.functions import scalars
 from effortlens.operators import accuracy, billing, identity, scope, spread, timeline
 from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, TRUTH, with_frames
-from effortlens.sources.tables import aliases, commits, ground_truth, job_events, jobs, table
+from effortlens.sources.tables import aliases, all_ground_truth, commits, ground_truth, job_events, jobs, table
 
 _BASE = "job_id IS NULL AND method <> 'error'"
 _DAYS = f"days AS (SELECT email, day, CAST(sum(least(cents, 500)) AS BIGINT) AS cents FROM commits WHERE {_BASE} GROUP BY email, day)"
@@ -116,8 +116,8 @@ def _match_chain(spark, d):
     return identity.first_match(wanted, [("provider", by_id), ("login", by_login)]).select("c_custkey", "found", "found_by")
 
 
-def _est(spark, d):
-    truth = accuracy.consensus(ground_truth(spark, d)).withColumnRenamed("cents", "truth")
+def _est(spark, d, source=ground_truth):
+    truth = accuracy.consensus(source(spark, d)).withColumnRenamed("cents", "truth")
     return commits(spark, d).join(truth, "sha").select("model", "category", F.col("cents").cast("double").alias("estimate"), "truth", "sha")
 
 
@@ -125,9 +125,14 @@ def _r(c, digits=4):
     return F.floor(F.col(c) * 10**digits + 0.5) / 10**digits
 
 
-def _errors(by):
+def _author_stats(truth):
+    given = F.count("cents")
+    return truth.groupBy("author").agg(given.alias("n"), F.sum("cents").alias("cents"), F.median("cents").alias("median_cents"), (F.sum("cents") / given).alias("mean_cents"))
+
+
+def _errors(by, source=ground_truth):
     def run(spark, d):
-        rows = accuracy.errors(_est(spark, d).where(F.col(by).isNotNull()), [by])
+        rows = accuracy.errors(_est(spark, d, source).where(F.col(by).isNotNull()), [by])
         return rows.select(by, "n", *[_r(c).alias(c) for c in ("mae", "r", "mape", "median_ape")])
 
     rnd = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
@@ -327,6 +332,10 @@ QUERIES = {
     "gt_consensus": (lambda spark, d: accuracy.consensus(ground_truth(spark, d)), with_frames("SELECT sha, median(cents) AS cents FROM truth GROUP BY sha", TRUTH)),
     "run_mae_corr": _errors("model"),
     "accuracy_by_category": _errors("category"),
+    "gt_author_stats_all": (lambda spark, d: _author_stats(all_ground_truth(spark, d)), None),
+    "gt_consensus_all": (lambda spark, d: accuracy.consensus(all_ground_truth(spark, d)), None),
+    "run_mae_corr_all": (_errors("model", all_ground_truth)[0], None),
+    "accuracy_by_category_all": (_errors("category", all_ground_truth)[0], None),
     "sample_percentiles": (
         _percentiles,
         with_frames(
