@@ -7,9 +7,10 @@ import re
 
 KEEP, DROP, OPEN = 1, 2, 0
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|head|textarea|select"
+_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select"
+_ENDS = {raw: re.compile(rf"</{raw}\s*>", re.I) for raw in (*_RAW.split("|"), "title")}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>(?>[^<>"']+|"[^"<]*"|'[^'<]*')*+)>"""
     r"|<[a-zA-Z/!?][^<>]*>",
     re.S | re.I,
@@ -25,6 +26,8 @@ _NESTING = frozenset(
 )
 _BLOCK = _NESTING | frozenset("h1 h2 h3 h4 h5 h6 hr p caption".split())
 _GAP = frozenset("br td th img option wbr".split())
+# What may stand in <head>; anything else ends it, as its end tag may be left out.
+_HEAD = frozenset("head title meta link base basefont bgsound script style noscript template noframes object".split())
 # Boilerplate by element and by the words of class, id and role.
 _DROP_TAGS = frozenset("nav footer aside form menu dialog button".split())
 _DROP_WORDS = frozenset(
@@ -55,6 +58,8 @@ def lines(page: str) -> list[tuple[str, int]]:
     stack: list[tuple[str, int]] = []
     n_drop = n_keep = 0
     at = 0
+    in_head = False
+    endless: set[str] = set()  # names without an end tag from here on
 
     def flush() -> None:
         if parts:
@@ -66,16 +71,56 @@ def lines(page: str) -> list[tuple[str, int]]:
                 out.append((text, DROP if n_drop else KEEP if n_keep else OPEN))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
+    def after(name: str, start: int) -> int | None:
+        """Where the element's end tag ends; null if it has none."""
+        found = None if name in endless else _ENDS[name].search(page, start)
+        if found is None:
+            endless.add(name)
+        return found and found.end()
+
+    def leave_head() -> None:
+        nonlocal in_head, n_drop
+        in_head = False
+        flush()
+        k = next((k for k, (name, _) in enumerate(stack) if name == "head"), len(stack))
+        n_drop -= sum(kind == DROP for _, kind in stack[k:])
+        del stack[k:]
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
+            if in_head and stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+                leave_head()
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        raw, tag = m["raw"], m["tag"]
+        if raw:
+            raw = raw.lower()
+            if in_head and raw not in _HEAD:
+                leave_head()
+            end = after(raw, at)
+            if end is None and raw not in ("script", "style"):  # an ordinary dropped element
+                flush()
+                stack.append((raw, DROP))
+                n_drop += 1
+                continue
+            at = len(page) if end is None else end
+            parts.append(" ")
+            continue
         if tag is None:
-            if m["raw"]:
-                parts.append(" ")
             continue
         tag = tag.lower()
+        if not m["end"]:
+            if in_head and tag not in _HEAD:
+                leave_head()
+            if tag == "head":
+                flush()
+                in_head = True
+                stack.append((tag, DROP))
+                n_drop += 1
+                continue
+            if in_head and tag == "title" and (end := after(tag, at)):
+                at = end
+                continue
         if tag in _BLOCK:
             flush()
         elif tag in _GAP:
@@ -101,6 +146,8 @@ def lines(page: str) -> list[tuple[str, int]]:
             n_drop += kind == DROP
             n_keep += kind == KEEP
     if at < len(page):
+        if in_head and stack and stack[-1][0] == "head" and not page[at:].isspace():
+            leave_head()
         parts.append(page[at:])
     flush()
     return out

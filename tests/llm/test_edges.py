@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, jaccard, lines, mixing, pages, passages, quality, substrings, tokencount, tokenfile
+from effortlens.llm import decontaminate, jaccard, lines, markup, mixing, pages, passages, quality, substrings, tokencount, tokenfile
 from effortlens.llm.queries import tokenizer_file
 from effortlens.llm.storage import new_folder
 from effortlens.llm.tokentree import TokenTree, ends_to_chars, leaf_ends
@@ -145,6 +145,24 @@ def test_differencing_decides_beside_an_article(spark):
     assert {"Teaser 3", "Body of page 3"} <= set(found[4].split("\n\n"))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><meta charset='utf-8'><title>T</title><body><p>Text</p></body></html>", ["Text"]),
+        ("<html><head><title>a <div> b</title><style>p{}</style><p>Text<p>More", ["Text", "More"]),
+        ("<head><script>x</script><noscript>off<body><p>Text", ["Text"]),
+        ("<head><title>T</title></head><body><header>Top</header><p>Text</p>", ["Text"]),
+        ("<body><div><select><option>a</div><p>Text</p>", ["Text"]),
+        ("<body><div><svg><text>x</div><p>Text</p><svg><text>y</text></div>", ["Text"]),
+        ("<body><ul><li><object data=x>old</ul><p>Text</p><script>p(1)", ["Text"]),
+        ("<body><p>Text <svg><text>x</text></svg>more</p>", ["Text more"]),
+        ("<head>Text", ["Text"]),
+    ],
+)
+def test_markup_without_end_tags_keeps_the_text(page, text):
+    assert [line for line, kind in markup.lines(page) if kind != markup.DROP] == text
+
+
 def test_orc_files_prune_by_id(spark, odd):
     folder = new_folder(spark, "tokens")
     tokenfile.write_tokens(odd[1].where("doc_id IS NOT NULL"), folder, tokenizer_file())
