@@ -80,7 +80,7 @@ def near_names(names: DataFrame, edits: int) -> DataFrame:
         rows.mapInPandas(keyed(side), "scope string, name string, key string").select("scope", F.col("name").alias(x), F.xxhash64("key").alias("key"))
         for side, x in enumerate("xy")
     ]
-    met = sides[0].join(sides[1], ["scope", "key"]).where("x <> y")
+    met = sides[0].join(sides[1].hint("merge"), ["scope", "key"]).where("x <> y")
     met = met.select("scope", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return met.where(F.levenshtein("x", "y", edits).between(1, edits))
 
