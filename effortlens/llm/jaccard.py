@@ -9,10 +9,12 @@ are dropped by an aggregate before anything is joined.
 
 The rest meet by gram. Emitting all pairs of a large group of near copies would be quadratic, so
 nodes are first paired with one centre per gram, verified, and merged into components; grams all of
-whose nodes are in one component are then done. After a few rounds of centres the remaining pairs,
-those between different components, are emitted under the length and positional filters, each
-verified once, with the suffix filter before the sets are intersected. Pairs inside a component
-cannot change it, so components are exact.
+whose nodes are in one component are then done. The centre is the node with the fewest rare grams in
+front, which is the one nearest to what its group was copied from: where a node is similar to any
+other of its group, it is similar to that centre, but for edits that several copies share. The
+remaining pairs, those between different components, are emitted under the length and positional
+filters, each verified once, with the suffix filter before the sets are intersected. Pairs inside a
+component cannot change it, so components are exact.
 
 Defined cases: words are split at ASCII white space after lower-casing A-Z; a text of fewer than
 ``width`` words is one gram, its whole sequence; a text without words and a null text are linked
@@ -41,7 +43,9 @@ PERCENT = 80
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 16
 #: Rounds of one centre per gram before the pairs that are left are emitted.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
+#: Type of a node id, a digest of 128 bits; sets of equal digest are one node.
+NODE = "binary"
 
 
 def _gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +69,21 @@ def _gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
 
 
 def _node_ids(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set sizes, 64-bit node ids) of the texts; a node id is a digest of the set."""
+    """(set sizes, node ids of two 64-bit halves a row) of the texts; a node id is a digest of the set."""
     n = np.bincount(doc, minlength=n_docs)
-    sums = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(wordhash.mix(h ^ np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
     ends = np.cumsum(n)
-    total = sums[ends] - sums[ends - n]
-    return n, wordhash.as_long(wordhash.mix(total * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)))
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    halves = []
+    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        np.cumsum(wordhash.mix(h ^ np.uint64(salt)), out=sums[1:])
+        total = sums[ends] - sums[ends - n]
+        halves.append(wordhash.mix(total * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)))
+    return n, np.stack(halves, axis=1)
+
+
+def _as_nodes(node: np.ndarray) -> pa.Array:
+    raw = pa.py_buffer(np.ascontiguousarray(node).tobytes())
+    return pa.Array.from_buffers(pa.binary(16), len(node), [None, raw]).cast(pa.binary())
 
 
 def _profile(width: int):
@@ -87,7 +99,7 @@ def _profile(width: int):
                 sketch += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 none = pa.nulls(j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(node), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())],
+                    [ids.slice(i, j - i), pa.array(n, pa.int64()), _as_nodes(node), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())],
                     ["id", "n", "node", "block", "salt", "counts"],
                 )
         if kind is None:
@@ -99,7 +111,7 @@ def _profile(width: int):
             [
                 empty.cast(kind),
                 empty.cast(pa.int64()),
-                empty.cast(pa.int64()),
+                empty.cast(pa.binary()),
                 pa.array([b // SKETCH_BLOCK for b in blocks], pa.int32()),
                 pa.array([salt] * len(blocks), pa.int32()),
                 pa.array([zlib.compress(sketch[b : b + SKETCH_BLOCK].tobytes(), 1) for b in blocks], pa.binary()),
@@ -151,7 +163,7 @@ def _prefix_rows(width: int, percent: int, ranks):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(wordhash.as_long(h[order][use])),
-                        pa.array(node[doc]),
+                        _as_nodes(node[doc]),
                         pa.array(n[doc].astype(np.int32)),
                         pa.array(pos.astype(np.int32)),
                     ],
@@ -170,7 +182,7 @@ def _packed_sets(width: int):
                 n, node = _node_ids(doc, h, j - i)
                 some = np.flatnonzero(n)
                 z = [zlib.compress(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split()), 1) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(z, pa.binary())], ["node", "z"])
+                yield pa.RecordBatch.from_arrays([_as_nodes(node[some]), pa.array(z, pa.binary())], ["node", "z"])
 
     return rows
 
@@ -192,7 +204,7 @@ def _verified(width: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """a, b, za, zb -> a, b of the pairs that are similar."""
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[bytes, np.ndarray] = {}
             keep = []
             left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, (a, b) in enumerate(zip(left, right, strict=True)):
@@ -217,7 +229,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     """The pairs (a, b) whose sets are similar."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    return with_b.select("a", "b", "za", "zb").mapInArrow(_verified(width, percent), "a long, b long")
+    return with_b.select("a", "b", "za", "zb").mapInArrow(_verified(width, percent), f"a {NODE}, b {NODE}")
 
 
 def _may_be_similar(n: str, pos: str, m: str, at: str, percent: int):
@@ -236,22 +248,23 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profile = stored(
-        texts.mapInArrow(_profile(width), f"id {kind}, n long, node long, block int, salt int, counts binary"), "profile"
+        texts.mapInArrow(_profile(width), f"id {kind}, n long, node {NODE}, block int, salt int, counts binary"), "profile"
     )
     members = profile.where("block IS NULL").select("id", "n", "node")
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(profile))
 
-    prefixes = texts.select("text").mapInArrow(_prefix_rows(width, percent, ranks), "gram long, node long, n int, pos int")
+    prefixes = texts.select("text").mapInArrow(_prefix_rows(width, percent, ranks), f"gram long, node {NODE}, n int, pos int")
     again = stored(prefixes.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     shared = stored(prefixes.join(again, "gram", "left_semi").distinct(), "shared")
 
     several = shared.groupBy("gram").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("gram")
     shared = stored(shared.join(several, "gram", "left_semi"), "shared")
-    wanted = shared.select("node").distinct()
-    sets = stored(
-        texts.select("text").mapInArrow(_packed_sets(width), "node long, z binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]),
-        "sets",
-    )
+    # how many rarer grams stand before the first that is shared, and how many are shared
+    nodes = stored(shared.groupBy("node").agg(F.min("pos").alias("lead"), F.count("*").alias("n_shared")), "nodes")
+    shared = stored(shared.join(nodes, "node"), "led")
+    packed = texts.select("text").mapInArrow(_packed_sets(width), f"node {NODE}, z binary")
+    # equal sets are made one before they are shuffled: a set may have any number of copies
+    sets = stored(packed.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi"), "sets")
 
     labels = None
     for number in range(STAR_ROUNDS + 1):
@@ -267,7 +280,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         merged = connected_components(links)
         labels = merged if labels is None else stored(_merged(labels, merged), "labels")
     if labels is None:
-        labels = members.sparkSession.createDataFrame([], "node long, label long")
+        labels = members.sparkSession.createDataFrame([], f"node {NODE}, label {NODE}")
     return members, labels
 
 
@@ -276,9 +289,9 @@ def _relabelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _star_pairs(now: DataFrame, number: int, percent: int) -> DataFrame:
-    """Each node with the centre of its gram; another order of nodes makes other centres every round."""
-    spread = F.xxhash64(F.lit(number), "node") if number else F.col("node")
-    centre = now.groupBy("gram").agg(F.min(F.struct(spread.alias("o"), "node", "n", "pos", "label")).alias("c"))
+    """Each node with the centre of its gram; further rounds break ties in another order."""
+    order = F.struct("lead", -F.col("n_shared"), F.xxhash64(F.lit(number), "node"))
+    centre = now.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label")).alias("c"))
     centre = centre.select("gram", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "pos", "label")])
     met = now.join(centre, "gram").where((F.col("label") != F.col("c_label")) & _may_be_similar("n", "pos", "c_n", "c_pos", percent))
     return met.select(*_ordered_pair("node", "c_node"))
@@ -327,4 +340,5 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     """
     found = components(docs, width, percent, id_col, text_col)
     gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"))
+    return boxed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_doc.*")
