@@ -77,6 +77,11 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoc
         {"whole": F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")}
     )
     planned = planned.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
+    # a rest that rounds up to the whole source is one repetition more
+    full = (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size"))
+    planned = planned.withColumns(
+        {"whole": F.col("whole") + full.cast("long"), "rest": F.when(full, F.col("rest") - F.col("source_size")).otherwise(F.col("rest"))}
+    )
 
     digits = max(1, math.ceil(math.log((summary["most"] or 1) / BIN_ROWS + 1, 16)))
     in_bin = F.substring("key", 1, digits)
