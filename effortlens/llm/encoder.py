@@ -2,23 +2,29 @@
 
 The pre-tokenizer of the vocabulary never joins what stands before a single space to what follows
 it, so a text whose spaces are single may be encoded piece by piece, each piece with the space in
-front of it. Pieces repeat, so each batch encodes its distinct new pieces only; a bounded cache
-lives as long as the Python worker. Other texts (two white-space characters together of which one
-is a space) are encoded whole. Ids are those of encoding each whole text.
+front of it. Pieces repeat, so only distinct new pieces are encoded. They are encoded many at a
+time, one after the other in one string: a token that starts with a space starts a piece, so the
+tokens fall apart into pieces again. A cache, bounded in pieces and bytes, lives as long as the Python
+worker; when it is full, what has been used once only goes. Other texts (two white-space characters
+together of which one is a space) are encoded whole. Ids are those of encoding each whole text.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker, about 200 bytes each.
-MAX_CACHED = 1_000_000
+#: Bounds of the cache of a worker: pieces (about 200 bytes each) and bytes of their texts.
+MAX_CACHED = 300_000
+MAX_CACHED_BYTES = 16 << 20
 #: Bytes of text handled at a time.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
+#: Characters of new pieces encoded as one string.
+JOINED_CHARS = 1 << 16
 
 _WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _WHOLE = rf" [{_WHITE}]|[{_WHITE}] |\x01"
@@ -33,48 +39,99 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens per string, all tokens)."""
+    lists = [e.ids for e in encodings]
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return lengths, np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(lengths.sum()))
+
+
 class Encoder:
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, max_cached: int = MAX_CACHED, max_bytes: int = MAX_CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._max = max_cached
-        self._clear()
-
-    def _clear(self) -> None:
+        self._max, self._max_bytes = max_cached, max_bytes
+        n = self._tokenizer.get_vocab_size()
+        self._kind = np.uint16 if n <= 1 << 16 else np.uint32
+        space = "Ġ"  # the letter that stands for a space in byte-level vocabularies
+        self._opens = np.array([(self._tokenizer.id_to_token(k) or "").startswith(space) for k in range(n)])
         self._known: dict[str, int] = {}
-        self._pool = np.empty(1 << 16, dtype=np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self._end = np.zeros(1 << 12, dtype=np.int64)  # of each piece in the pool; its start is the end before it
-        self._n = 1
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = found.ids
-            at = int(self._end[self._n - 1])
-            if at + len(ids) > len(self._pool):
-                self._pool = np.concatenate([self._pool, np.empty(max(len(self._pool), len(ids)), self._pool.dtype)])
-            if self._n == len(self._end):
-                self._end = np.concatenate([self._end, np.zeros(self._n, np.int64)])
-            self._pool[at : at + len(ids)] = ids
-            self._end[self._n] = at + len(ids)
-            self._known[piece] = self._n
-            self._n += 1
+        self._pool = np.empty(0, dtype=self._kind)
+        self._end = np.zeros(1, dtype=np.int64)  # of each piece in the pool; its start is the end before it
+        self._uses = np.zeros(1, dtype=np.int64)
+        self._bytes = 0
+
+    def _forget(self) -> None:
+        """Keep what has been used more than once, if that is less than half of what may be kept."""
+        keep = np.flatnonzero(self._uses > 1)
+        if len(keep) > self._max // 2 or self._bytes > self._max_bytes:
+            keep = keep[np.argsort(-self._uses[keep], kind="stable")][: self._max // 8]
+        new = np.zeros(len(self._end), dtype=np.int64)
+        new[keep] = np.arange(1, len(keep) + 1)
+        pool = self.gather(self._end[keep - 1], self._end[keep] - self._end[keep - 1])
+        counts = self._end[keep] - self._end[keep - 1]
+        self._known = {p: int(new[slot]) for p, slot in self._known.items() if new[slot]}
+        self._pool, self._end = pool, np.concatenate([[0], np.cumsum(counts)])
+        self._uses = np.concatenate([[0], np.ones(len(keep), dtype=np.int64)])
+        self._bytes = sum(map(len, self._known))
+
+    def _learn(self, pieces: list[str], edges: list[str]) -> None:
+        """``edges``: the first and last pieces of texts, which alone may lack the space in front or end in white space."""
+        odd = {p for p in edges if not p.startswith(" ") or len(p) == 1 or p[-1].isspace()}
+        joined = [p for p in pieces if p not in odd]
+        apart = [p for p in pieces if p in odd]
+        counts, ids = [], []
+        at = 0
+        while at < len(joined):
+            some, chars = at, 0
+            while at < len(joined) and chars < JOINED_CHARS:
+                chars += len(joined[at])
+                at += 1
+            _, tokens = _flat(self._tokenizer.encode_batch_fast(["".join(joined[some:at])], add_special_tokens=False))
+            starts = np.flatnonzero(self._opens[tokens])
+            if len(starts) == at - some and starts[0] == 0:
+                counts.append(np.diff(starts, append=len(tokens)))
+                ids.append(tokens)
+            else:
+                each = _flat(self._tokenizer.encode_batch_fast(joined[some:at], add_special_tokens=False))
+                counts.append(each[0])
+                ids.append(each[1])
+        if apart:
+            each = _flat(self._tokenizer.encode_batch_fast(apart, add_special_tokens=False))
+            counts.append(each[0])
+            ids.append(each[1])
+        order = [*joined, *apart]
+        first = len(self._end)
+        self._known.update(zip(order, range(first, first + len(order)), strict=True))
+        self._pool = np.concatenate([self._pool, *[x.astype(self._kind) for x in ids]])
+        self._end = np.concatenate([self._end, self._end[-1] + np.cumsum(np.concatenate(counts))])
+        self._uses = np.concatenate([self._uses, np.zeros(len(order), dtype=np.int64)])
+        self._bytes += sum(map(len, order))
 
     def encode_whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    def count_few(self, texts: list[str]) -> list[int]:
+        """Tokens of a few short strings, past the cache."""
+        return [len(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts fit for it: (first piece of each text and one more, pool start and token count of each piece)."""
+        if len(self._known) > self._max or self._bytes > self._max_bytes:
+            self._forget()
         marked = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
         first = np.asarray(marked.offsets).astype(np.int64)
         coded = marked.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self._known) + len(distinct) > self._max:
-            self._clear()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if new := [p for p in distinct if p not in self._known]:
-            self._learn(new)
-        slot = np.fromiter((self._known[p] for p in distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
+            filled = np.flatnonzero(np.diff(first))
+            edges = np.concatenate([first[filled], first[filled + 1] - 1]) - first[0]
+            self._learn(new, coded.take(pa.array(edges)).to_pylist())
+        slots = np.fromiter(map(self._known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        slot = slots[np.asarray(coded.indices)]
+        self._uses[slots] += np.bincount(np.asarray(coded.indices), minlength=len(slots))
         start = self._end[slot - 1]
         return first - first[0], start, self._end[slot] - start
 
@@ -99,12 +156,22 @@ class Encoder:
         lengths[fit] = sums[first[1:]] - sums[first[:-1]]
         if fit.all():
             return lengths, tokens
-        whole = {int(k): self.encode_whole(texts[int(k)].as_py()) for k in np.flatnonzero(~fit)}
-        for k, ids in whole.items():
-            lengths[k] = len(ids)
+        whole, ids = _flat(self._tokenizer.encode_batch_fast(texts.filter(pa.array(~fit)).to_pylist(), add_special_tokens=False))
+        lengths[~fit] = whole
         out = np.empty(int(lengths.sum()), dtype=tokens.dtype)
         own = np.repeat(fit, lengths)
         out[own] = tokens
-        if whole:
-            out[~own] = np.concatenate([np.array(whole[k], dtype=tokens.dtype) for k in sorted(whole)])
+        out[~own] = ids
         return lengths, out
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; null is an empty text."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        fit = self.fits(texts)
+        first, _, count = self.pieces(texts.filter(pa.array(fit)))
+        sums = np.concatenate([[0], np.cumsum(count)])
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        lengths[fit] = sums[first[1:]] - sums[first[:-1]]
+        if not fit.all():
+            lengths[~fit] = self.count_few(texts.filter(pa.array(~fit)).to_pylist())
+        return lengths
