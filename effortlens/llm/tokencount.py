@@ -1,31 +1,41 @@
 """Edit-aware token counts: segment trees over pre-tokens, kept per document and updated by edits.
 
-``build_trees`` encodes every text once and keeps the leaves of its tree. ``apply_edits`` takes a
-document, its tree and a list of edits and encodes again only the leaves that an edit touches (and
-a neighbour where an edit spoils the cut between them), so a change of a few words in a very long
-text costs a few hundred characters. Both are narrow: documents are never shuffled or gathered.
+``build_trees`` encodes every text once and keeps the tree of its token counts, all levels of it.
+``apply_edits`` takes a document, its tree and a list of edits and encodes again only the leaves
+that an edit touches (and a neighbour where an edit spoils the cut between them), then renews the
+sums above them, so a change of a few words in a very long text costs a few hundred characters.
+Both are narrow: documents are never shuffled or gathered, and a few megabytes of text are held at
+a time (a longer text alone).
 
 Defined cases: a null text is empty and has no tokens; null edits are none; edits are applied in
 the order of their start, positions are code points of the text before all edits, those that reach
 beyond the text end with it and one that starts before the end of the one before it starts there;
-repeated rows are counted one by one; an empty table gives an empty result.
+repeated rows are counted one by one; an empty table gives an empty result. A very long text has
+many leaves, except where it is one pre-token, such as letters without a break.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effortlens.llm.encoder import RUN_BYTES, encoder_for
-from effortlens.llm.tokentree import TokenTree, ends_to_chars, leaf_counts, leaf_ends
+from effortlens.llm.tokentree import TokenTree, all_levels, leaf_ends, leaf_texts
 from effortlens.llm.wordhash import text_runs
 
 TREE = "struct<chars: array<int>, tokens: array<int>>"
 EDITS = "array<struct<start: int, end: int, inserted: string>>"
-_TREE_TYPE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+
+
+def _tree_array(chars: list[np.ndarray], tokens: list[np.ndarray]) -> pa.Array:
+    """Trees as one struct array."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in chars])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *x]).astype(np.int32))) for x in (chars, tokens)]
+    return pa.StructArray.from_arrays(lists, ["chars", "tokens"])
 
 
 def _tree_rows(path: str):
@@ -35,22 +45,15 @@ def _tree_rows(path: str):
         for batch in batches:
             for i, j, _, _ in text_runs(batch.column(1), RUN_BYTES):
                 texts = batch.column(1).slice(i, j - i)
-                filled = texts.fill_null("").cast(pa.large_string())
-                fit = encoder.fits(filled)
-                first, _, count = encoder.pieces(filled.filter(pa.array(fit)))
-                trees, piecewise = [], 0
-                for text, whole in zip(filled.to_pylist(), fit, strict=True):
-                    ends = leaf_ends(text)
-                    if whole:
-                        counts = count[first[piecewise] : first[piecewise + 1]].tolist()
-                        piecewise += 1
-                        tokens = leaf_counts(text, counts, ends)
-                    else:
-                        tokens = [len(encoder.encode_whole(text[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
-                    trees.append({"chars": ends_to_chars(ends), "tokens": tokens})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), texts, pa.array(trees, _TREE_TYPE)], ["doc", "text", "tree"]
-                )
+                ends, leaves = [], []
+                for text in texts.to_pylist():
+                    ends.append(leaf_ends(text or ""))
+                    leaves += leaf_texts(text or "", ends[-1])
+                counts = np.split(encoder.count(pa.array(leaves, pa.large_string())), np.cumsum([len(e) for e in ends])[:-1])
+                del leaves
+                chars = [all_levels(np.diff(e, prepend=0)) for e in ends]
+                trees = _tree_array(chars, [all_levels(c) for c in counts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), texts, trees], ["doc", "text", "tree"])
 
     return rows
 
@@ -63,8 +66,8 @@ def build_trees(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
 
 
 def count_tokens(trees: DataFrame) -> DataFrame:
-    """doc and n_tokens of each kept tree; texts are not read."""
-    return trees.select("doc", F.aggregate("tree.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
+    """doc and n_tokens of each kept tree, from its root; texts are not read."""
+    return trees.select("doc", F.coalesce(F.try_element_at("tree.tokens", F.lit(-1)), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def _in_order(edits: list[dict], n: int) -> list[tuple[int, int, str]]:
@@ -82,29 +85,28 @@ def _edited_rows(path: str):
         """doc, text, tree, edits -> doc, text, tree, n_before, n_tokens, n_encoded (after the edits)."""
         encoder = encoder_for(path)
         for batch in batches:
-            texts, trees, before, after, encoded = [], [], [], [], []
-            for k in range(batch.num_rows):
-                kept = batch.column(2)[k].as_py()
-                tree = TokenTree(batch.column(1)[k].as_py() or "", kept["chars"], kept["tokens"])
-                before.append(tree.n_tokens)
-                for start, end, inserted in reversed(_in_order(batch.column(3)[k].as_py(), len(tree.text))):
-                    tree.edit(start, end, inserted, encoder)
-                chars, tokens = tree.leaves()
-                texts.append(tree.text)
-                trees.append({"chars": chars, "tokens": tokens})
-                after.append(tree.n_tokens)
-                encoded.append(tree.encoded_chars)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(texts, pa.string()),
-                    pa.array(trees, _TREE_TYPE),
-                    pa.array(before, pa.int64()),
-                    pa.array(after, pa.int64()),
-                    pa.array(encoded, pa.int64()),
-                ],
-                ["doc", "text", "tree", "n_before", "n_tokens", "n_encoded"],
-            )
+            for i, j, _, _ in text_runs(batch.column(1), RUN_BYTES):
+                part = batch.slice(i, j - i)
+                before, trees = [], []
+                old = part.column(2)
+                for k, (text, edits) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    kept = old[k]
+                    tree = TokenTree(text or "", kept["chars"].values.to_numpy(), kept["tokens"].values.to_numpy())
+                    before.append(tree.n_tokens)
+                    for start, end, inserted in reversed(_in_order(edits, len(tree.text))):
+                        tree.edit(start, end, inserted, encoder.count_few)
+                    trees.append(tree)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([t.text for t in trees], pa.string()),
+                        _tree_array([t.chars for t in trees], [t.tokens for t in trees]),
+                        pa.array(before, pa.int64()),
+                        pa.array([t.n_tokens for t in trees], pa.int64()),
+                        pa.array([t.encoded_chars for t in trees], pa.int64()),
+                    ],
+                    ["doc", "text", "tree", "n_before", "n_tokens", "n_encoded"],
+                )
 
     return rows
 

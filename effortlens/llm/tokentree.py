@@ -1,33 +1,44 @@
 """A segment tree of token counts over the pre-tokens of one text.
 
-Leaves are runs of about ``LEAF_CHARS`` characters, cut where a pre-token starts with a single
-space between two other characters: the vocabulary's pre-tokenizer never joins across such a place,
-so the leaves' counts add up. Inner nodes hold the sums of characters and tokens of two children.
-An edit descends by characters to the leaves it touches; only those are encoded again, widened to a
-neighbour where the edit has spoilt the cut between them, and the sums above them are renewed.
+A leaf is a run of whole pre-tokens, the shortest of ``LEAF_CHARS`` characters or more. Pre-tokens
+of byte-level vocabularies are runs of letters, of digits or of other signs, with one space in front
+if there is one, runs of white space, and a few endings after an apostrophe; so a pre-token ends
+wherever, after a letter, digit or sign, another kind of character or white space follows, but for
+the apostrophe. A leaf's tokens do not depend on what stands around it. Only a text that is one long
+pre-token, such as letters without a break, is one leaf.
+
+The tree is two arrays, characters and tokens, of all levels one after the other: the leaves, then
+sums of two by two, up to the root, which comes last. An edit descends by characters to the leaves
+it touches; only those are encoded again, widened to a neighbour where the edit has spoilt the cut
+between them. If as many leaves come back, only the sums on their paths to the root are renewed.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from itertools import accumulate
-
-from effortlens.llm.encoder import Encoder
+import numpy as np
+import regex
 
 LEAF_CHARS = 128
+# characters that not every library takes for white space are left out
+_CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'\x1C-\x1F\x85\u180E])(?=[ \t-\r\u3000\p{L}\p{N}])")
+#: No cut stands within a special token, which the vocabulary finds before it looks at pre-tokens.
+SPECIAL = "<|endoftext|>"
 
 
 def is_cut(text: str, at: int) -> bool:
     """Whether ``text`` may be cut before position ``at``."""
-    return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
+    if not 0 < at < len(text) or _CUT.match(text, at) is None:
+        return False
+    found = text.find(SPECIAL, max(0, at - len(SPECIAL) + 1), at + len(SPECIAL) - 1)
+    return found < 0 or found >= at or found + len(SPECIAL) <= at
 
 
 def leaf_ends(text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
-    """Ends of the leaves of a text; a stretch without a cut is one leaf, however long."""
+    """Ends of the leaves of a text."""
     ends, at = [], leaf_chars
-    while at < len(text):
-        at = text.find(" ", at)
-        if at < 0:
+    while at < len(text) and (found := _CUT.search(text, at)):
+        at = found.start()
+        if at >= len(text):
             break
         if is_cut(text, at):
             ends.append(at)
@@ -39,82 +50,102 @@ def leaf_ends(text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
     return ends
 
 
+def leaf_texts(text: str, ends: list[int]) -> list[str]:
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def n_nodes(n_leaves: int) -> int:
+    """Length of a tree's arrays."""
+    total = n_leaves
+    while n_leaves > 1:
+        n_leaves = (n_leaves + 1) // 2
+        total += n_leaves
+    return total
+
+
+def all_levels(leaves: np.ndarray) -> np.ndarray:
+    """Leaves -> the whole array of a tree; no leaves, no tree."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), 2)))
+    return np.concatenate(levels)
+
+
+def level_sizes(n: int) -> list[int]:
+    """Sizes of the levels of a tree whose arrays have ``n`` entries."""
+    low, high = 0, n
+    while low < high:  # n_nodes grows with the leaves
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if n_nodes(middle) < n else (low, middle)
+    sizes = [low]
+    while sizes[-1] > 1:
+        sizes.append((sizes[-1] + 1) // 2)
+    return sizes
+
+
 class TokenTree:
-    """``levels[0]`` are the leaves as [characters, tokens], each further level sums of two, the last one is the root."""
-
-    def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text = text
-        self.levels: list[list[list[int]]] = [[list(x) for x in zip(chars, tokens, strict=True)] or [[0, 0]]]
-        while len(self.levels[-1]) > 1:
-            low = self.levels[-1]
-            self.levels.append([self._sum(low, k) for k in range(0, len(low), 2)])
-        self.encoded_chars = 0
+    """The tree of one text. ``count`` gives the tokens of a list of strings."""
 
-    @staticmethod
-    def _sum(low: list[list[int]], k: int) -> list[int]:
-        if k + 1 == len(low):
-            return list(low[k])
-        return [low[k][0] + low[k + 1][0], low[k][1] + low[k + 1][1]]
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, leaf_chars: int = LEAF_CHARS):
+        self.text, self.leaf_chars = text, leaf_chars
+        self.chars, self.tokens = np.array(chars, dtype=np.int32), np.array(tokens, dtype=np.int32)
+        self.sizes = level_sizes(len(self.chars))
+        self.encoded_chars = 0
 
     @property
     def n_tokens(self) -> int:
-        return self.levels[-1][0][1]
+        return int(self.tokens[-1]) if len(self.tokens) else 0
 
     def leaf_at(self, position: int) -> tuple[int, int]:
         """(leaf, its first character) that holds a character; the last leaf for the end of the text."""
         k, start = 0, 0
-        for level in reversed(self.levels[:-1]):
+        base = len(self.chars) - 1
+        for size in reversed(self.sizes[:-1]):
+            base -= size
             k *= 2
-            if k + 1 < len(level) and position >= start + level[k][0]:
-                start += level[k][0]
+            left = int(self.chars[base + k])
+            if k + 1 < size and position >= start + left:
+                start += left
                 k += 1
         return k, start
 
-    def _set(self, leaf: int, chars: int, tokens: int) -> None:
-        self.levels[0][leaf] = [chars, tokens]
-        k = leaf
-        for low, level in zip(self.levels, self.levels[1:], strict=False):
-            k //= 2
-            level[k] = self._sum(low, 2 * k)
-
-    def edit(self, start: int, end: int, inserted: str, encoder: Encoder) -> None:
+    def _renew(self, first: int, last: int) -> None:
+        """Sums above the leaves first..last."""
+        base = 0
+        for size, above in zip(self.sizes, self.sizes[1:], strict=False):
+            first, last = first // 2, last // 2
+            for values in (self.chars, self.tokens):
+                pairs = values[base + 2 * first : base + min(2 * last + 2, size)]
+                values[base + size + first : base + size + last + 1] = np.add.reduceat(pairs, np.arange(0, len(pairs), 2))
+            base += size
+            assert above > last
+
+    def edit(self, start: int, end: int, inserted: str, count) -> None:
         """Replace the characters start..end by ``inserted``; positions are those of the text now."""
-        leaves = self.levels[0]
-        first, a = self.leaf_at(start)
-        last, b = (first, a) if end <= start else self.leaf_at(end - 1)
-        b += leaves[last][0]
+        n_leaves = self.sizes[0]
         self.text = self.text[:start] + inserted + self.text[end:]
+        first = last = a = b = 0
+        if n_leaves:
+            first, a = self.leaf_at(start)
+            last, b = (first, a) if end <= start else self.leaf_at(end - 1)
+            b += int(self.chars[last])
         b += len(inserted) - (end - start)
         while a > 0 and not is_cut(self.text, a):  # the cut in front is spoilt
             first -= 1
-            a -= leaves[first][0]
+            a -= int(self.chars[first])
         while b < len(self.text) and not is_cut(self.text, b):
             last += 1
-            b += leaves[last][0]
+            b += int(self.chars[last])
         region = self.text[a:b]
         self.encoded_chars += len(region)
-        self._set(first, len(region), len(encoder.encode_whole(region)) if region else 0)
-        for k in range(first + 1, last + 1):
-            self._set(k, 0, 0)
-
-    def leaves(self) -> tuple[list[int], list[int]]:
-        """(characters, tokens) of the leaves that are not empty."""
-        full = [x for x in self.levels[0] if x[0]]
-        return [x[0] for x in full], [x[1] for x in full]
-
-
-def ends_to_chars(ends: list[int]) -> list[int]:
-    return [b - a for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def pieces_per_leaf(text: str, ends: list[int]) -> list[int]:
-    """For a text whose spaces are all cuts: the number of its pieces up to each leaf's end."""
-    spaces = [k for k, c in enumerate(text) if c == " " and k]
-    return [1 + bisect_right(spaces, end - 1) for end in ends]
-
-
-def leaf_counts(text: str, counts: list[int], ends: list[int]) -> list[int]:
-    """Tokens of each leaf from the tokens of the pieces of a text."""
-    sums = [0, *accumulate(counts)]
-    upto = [sums[min(p, len(counts))] for p in pieces_per_leaf(text, ends)]
-    return [b - a for a, b in zip([0, *upto], upto, strict=False)]
+        ends = leaf_ends(region, self.leaf_chars)
+        chars = np.diff(ends, prepend=0).astype(np.int32)
+        tokens = np.asarray(count(leaf_texts(region, ends)), dtype=np.int32)
+        if n_leaves and len(ends) == last + 1 - first:
+            self.chars[first : last + 1], self.tokens[first : last + 1] = chars, tokens
+            self._renew(first, last)
+            return
+        rest = min(last + 1, n_leaves)
+        self.chars = all_levels(np.concatenate([self.chars[:first], chars, self.chars[rest:n_leaves]]))
+        self.tokens = all_levels(np.concatenate([self.tokens[:first], tokens, self.tokens[rest:n_leaves]]))
+        self.sizes = level_sizes(len(self.chars))
