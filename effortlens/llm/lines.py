@@ -213,13 +213,14 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their own columns, their texts without the repeated lines."""
     found = repeated_lines(docs, min_chars, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("tie").alias("_tie"), "removed")
-    columns = docs.columns
-    tied = docs.mapInArrow(_append_tie(columns.index(text_col)), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _tie long")
-    tied = tied.withColumnRenamed("_tie", "_own")
-    joined = tied.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
+    tied = boxed.mapInArrow(_append_tie(1), f"_doc {boxed.schema['_doc'].dataType.simpleString()}, _text string, _own long")
+    joined = tied.join(found, F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(gone, i))
-    return joined.withColumn(text_col, F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))).select(*columns)
+    kept = F.filter(F.split("_text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    out = {c: F.col(f"_doc.`{c}`") for c in docs.columns}
+    out[text_col] = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("_text"))
+    return joined.select(*[c.alias(name) for name, c in out.items()])
 
 
 def _append_tie(text_at: int):
@@ -229,6 +230,6 @@ def _append_tie(text_at: int):
                 finished(Hasher.of(points, 1).span(edges[:-1], edges[1:]), np.diff(edges)) for _, _, points, edges in _runs(batch.column(text_at))
             ]
             tie = as_long(np.concatenate(ties)) if ties else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tie)], [*batch.schema.names, "_tie"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tie)], [*batch.schema.names, "_own"])
 
     return rows

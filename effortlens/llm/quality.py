@@ -93,9 +93,10 @@ def statistics(text: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default), the base columns and n_lines (long)."""
-    kept = keep if keep is not None else docs.columns
-    return docs.select(*kept, statistics(F.col(text_col)).alias("_stats")).select(*kept, "_stats.*")
+    """``keep`` columns (by default all that are not named like a statistic), the base columns and n_lines (long)."""
+    kept = keep if keep is not None else [c for c in docs.columns if c not in (*BASE, "n_lines")]
+    names = [F.col(f"`{c}`") for c in kept]
+    return docs.select(*names, statistics(F.col(text_col)).alias("_stats")).select(*names, "_stats.*")
 
 
 @dataclass(frozen=True)
@@ -231,10 +232,20 @@ def rejecting_rule(rules: list[Rule], get=F.col) -> Column:
 
 
 def assess(docs: DataFrame, rules: list[Rule], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, the base columns, base_failed, rejected_by (int, null if no rule holds), kept."""
-    kept = keep if keep is not None else docs.columns
-    stats = text_statistics(docs, text_col, kept)
-    marked = stats.select(*kept, *BASE, base_failed().alias("base_failed"), rejecting_rule(rules).alias("rejected_by"))
+    """``keep`` columns, the base columns, base_failed, rejected_by (int, null if no rule holds), kept.
+
+    By default all columns are kept but those whose names the result has itself.
+    """
+    own = (*BASE, "base_failed", "rejected_by", "kept")
+    kept = keep if keep is not None else [c for c in docs.columns if c not in own]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), statistics(F.col(text_col)).alias("_stats"))
+    get = lambda c: F.col("_stats")[c]
+    marked = held.select(
+        *[F.col(f"_doc.`{c}`").alias(c) for c in kept],
+        *[get(c).alias(c) for c in BASE],
+        base_failed(get).alias("base_failed"),
+        rejecting_rule(rules, get).alias("rejected_by"),
+    )
     return marked.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 

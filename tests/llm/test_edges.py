@@ -2,16 +2,20 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from effortlens.llm import decontaminate, jaccard, lines, markup, mixing, pages, passages, quality, substrings, tokencount, tokenfile
 from effortlens.llm.queries import tokenizer_file
 from effortlens.llm.storage import new_folder
-from effortlens.llm.tokentree import TokenTree, ends_to_chars, leaf_ends
+from effortlens.llm.tokentree import TokenTree, all_levels, leaf_ends, leaf_texts
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, pos int, label string, words string"
+#: Names that operators use for columns of their own.
+CLASH = ["removed", "_gone", "n_words", "_doc", "_text", "_id", "_own", "_tie", "part", "kept", "size", "key", "node", "gram", "n", "doc", "tree", "whole", "_found", "_stats", "hits", "h", "digest"]
 BENCH = "item_id long, text string"
 
 
@@ -21,7 +25,8 @@ def prose(seed, n):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, None, s, None, "x", 1, "y", "z") for i, t, s in rows], SCHEMA)
+    docs = spark.createDataFrame([(i, t, None, s, None, "x", 1, "y", "z") for i, t, s in rows], SCHEMA)
+    return docs.withColumns({c: F.lit("clash") for c in CLASH})
 
 
 @pytest.fixture(scope="module")
@@ -60,8 +65,12 @@ OPERATORS = {
     "mixing": lambda d, b: mixing.apportion(d),
     "token_files": lambda d, b: tokenfile.tokenised(d, tokenizer_file()),
     "token_counts": lambda d, b: tokencount.count_tokens(tokencount.build_trees(d, tokenizer_file())),
+    "apply_edits": lambda d, b: tokencount.apply_edits(tokencount.build_trees(d, tokenizer_file()), tokencount.revision(F.col("text")), tokenizer_file()),
+    "mix": lambda d, b: mixing.mix(d, n_chars_col="n_chars").dropDuplicates(["doc_id", "text"]),
+    "keep_first": lambda d, b: jaccard.keep_first(d),
+    "keep_good": lambda d, b: quality.keep_good(d, []),
 }
-FEWER = {"remove_contaminated"}
+FEWER = {"remove_contaminated", "mix", "keep_first", "keep_good"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -177,14 +186,82 @@ def test_tree_edits_against_encoding_anew():
     encoder, r = Encoder(tokenizer_file()), random.Random(8)
     text = prose(3, 120) + "\n\n  It's  odd… <|endoftext|> ünïcode 　x " + prose(4, 60)
     ends = leaf_ends(text, 40)
-    parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    tree = TokenTree(text, ends_to_chars(ends), [len(encoder.encode_whole(p)) for p in parts])
+    tree = TokenTree(text, all_levels(np.diff(ends, prepend=0)), all_levels(encoder.count(pa.array(leaf_texts(text, ends)))), 40)
     assert tree.n_tokens == len(encoder.encode_whole(text))
-    for _ in range(150):
+    for _ in range(250):
         a = r.randrange(len(tree.text) + 1)
         b = min(len(tree.text), a + r.choice([0, 1, 3, 30, 90]))
-        tree.edit(a, b, r.choice(["", " ", "  ", "x", " new words ", "\n", "'s", "<|endo", " 12 34"]), encoder)
+        tree.edit(a, b, r.choice(["", " ", "  ", "x", " new words ", "\n", "'s", "<|endo", " 12 34", "漢字。かな", prose(9, 30)]), encoder.count_few)
         assert tree.n_tokens == len(encoder.encode_whole(tree.text))
+        assert tree.chars[: tree.sizes[0]].sum() == len(tree.text) == (tree.chars[-1] if len(tree.chars) else 0)
+        assert (tree.tokens == all_levels(tree.tokens[: tree.sizes[0]])).all()
+
+
+def test_texts_without_spaces_have_many_leaves_and_an_edit_touches_few():
+    from effortlens.llm.encoder import Encoder
+
+    encoder, text = Encoder(tokenizer_file()), "漢字と12。かな," * 2000
+    ends = leaf_ends(text)
+    assert len(ends) > 100
+    tree = TokenTree(text, all_levels(np.diff(ends, prepend=0)), all_levels(encoder.count(pa.array(leaf_texts(text, ends)))))
+    tree.edit(9000, 9003, "neu", encoder.count_few)
+    assert tree.n_tokens == len(encoder.encode_whole(tree.text)) and tree.encoded_chars < 600
+
+
+def test_encoder_that_forgets_still_agrees():
+    from effortlens.llm.encoder import Encoder
+
+    encoder = Encoder(tokenizer_file(), max_cached=200, max_bytes=2000)
+    texts = [prose(k, 40) + t for k, t in enumerate(["", " ", "\n", "\n\n", " .", "  two", " <|endoftext|> x", "\u3000", " é\n"] * 4)]
+    for k in range(0, len(texts), 3):
+        lengths, ids = encoder.encode(pa.array(texts[k : k + 3]))
+        whole = [encoder.encode_whole(t) for t in texts[k : k + 3]]
+        assert lengths.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+
+
+def test_edits_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "a b c"), (4, prose(2, 200)), (4, prose(2, 200)), (5, "x" * 3000)]
+    trees = tokencount.build_trees(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file())
+    edits = F.expr("array(struct(3 as start, 900 as end, 'two' as inserted), struct(1 as start, 2 as end, cast(null as string) as inserted), struct(5000 as start, 1 as end, ' end' as inserted))")
+    from effortlens.llm.encoder import Encoder
+
+    encoder = Encoder(tokenizer_file())
+    for r in tokencount.apply_edits(trees, edits, tokenizer_file()).collect():
+        text = dict(rows)[r["doc"]["doc_id"]] or ""
+        n = len(text)
+        want = text[: min(1, n)] + text[min(2, n) : min(3, n)] + "two" + text[min(900, n) :] + " end"
+        assert (r["text"], r["n_before"], r["n_tokens"]) == (want, len(encoder.encode_whole(text)), len(encoder.encode_whole(want)))
+        assert r["tree"]["tokens"][-1] == r["n_tokens"]
+
+
+def test_token_starts_do_not_depend_on_files(spark):
+    docs = frame(spark, [(i % 150, prose(i, 1 + i % 50), "s") for i in range(200)])
+    want = {(r["doc_id"], r["start"], r["ids_crc32"]) for r in tokenfile.tokenised(docs, tokenizer_file()).collect()}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        found = tokenfile.tokenised(docs, tokenizer_file()).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert {(r["doc_id"], r["start"], r["ids_crc32"]) for r in found} == want
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+@pytest.mark.parametrize("sizes", [{"a": [20], "b": [30], "c": [25, 26]}, {"a": [20], "b": [30], "c": [25, 27]}, {"a": [7, 7], "b": [1], "c": [40], "d": [3]}])
+def test_every_source_comes_near_its_target(spark, sizes):
+    rows = [(100 * k + i, " ".join(["w"] * n), s) for k, (s, docs) in enumerate(sizes.items()) for i, n in enumerate(docs)]
+    docs = frame(spark, rows)
+    source = {i: s for i, _, s in rows}
+    taken, target = {}, {}
+    for r in mixing.apportion(docs).collect():
+        s = source[r["doc_id"]]
+        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes), (taken, target)
+    mixed = {r["source"]: r["n"] for r in mixing.mix(docs).select("source", mixing.word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert {s: n for s, n in taken.items() if n} == mixed
 
 
 def test_rules_reject_what_they_learn():
