@@ -1,16 +1,18 @@
 """Benchmark decontamination [native]: a broadcast hash set of the benchmark's word windows.
 
 Every benchmark item is cut into windows of ``width`` consecutive words (an item of fewer words is
-one window). The set of window hashes goes to all tasks; each document hashes its own windows of
-the same lengths, looks them up, verifies hits on the words themselves and reports what is hit.
+one window). The set of their 64-bit hashes is a table of slots, built by an aggregate and handed to
+all tasks as the result of a scalar subquery; each document hashes its own windows of the same
+lengths, looks each up in its slot, verifies hits on the words themselves and reports what is hit.
 Only Spark SQL functions are used, and the scan of the documents needs no shuffle: hit counts and
-the verdict are computed inside the row.
+the verdict are computed inside the row. A benchmark whose windows pass ``max_broadcast_bytes``
+(about a million windows) is not sent to all tasks; there hashes are joined by shuffle instead.
 
 Defined cases: a null or wordless text has no words, no hits and is clean; a null or wordless item
 has no windows; repeated rows (documents or items) are judged one by one, items of equal text are
 all reported; null ids are carried (documents) or ignored in the list of items; an empty table
 gives an empty or all-clean result. Only the columns named below are read, so further columns of
-any name do no harm.
+any name do no harm. A very long text costs its own hashes, 8 bytes a word and level of doubling.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from effortlens.llm.storage import checkpointed, stored
 from effortlens.llm.words import ITEM_BREAK, ascii_lower, covered, let, positions, split_words, window_hashes
 
-#: More distinct windows than this are not sent to all tasks; documents and windows are joined by shuffle instead.
-MAX_BROADCAST_WINDOWS = 50_000
+#: Windows of more bytes than this are not sent to all tasks; documents and windows are joined by shuffle instead.
+MAX_BROADCAST_BYTES = 128 << 20
+#: Bytes that a window takes in the set beside its words.
+SLOT_BYTES = 64
 WIDTH = 13
 
 
@@ -66,74 +71,83 @@ def _spans(words: Column, starts: Column, width: int) -> Column:
     )
 
 
-def _in_row(text: Column, windows: list, body) -> Column:
-    """``body(words, hits)`` of a text, both computed once; hits are found with sets small enough for every task.
+def _slot(h: Column, n_slots: int) -> Column:
+    return F.pmod(h, F.lit(n_slots)).cast("int")
 
-    A window whose hash is in the set is kept if its words are in the set of grams. Grams hold
-    only letters, digits and spaces of ASCII and characters above it, so they need no escape.
-    """
-    by_len: dict[int, list] = {}
-    for row in windows:
-        by_len.setdefault(row["len"], []).append(row)
+
+def _hits_of_length(words: Column, hashes: Column, width: int, n_slots: int) -> Column:
+    """Hits among the windows of a width; ``_hashes`` and ``_grams`` are the slots of the set."""
+    last = F.size(words) - width
+    known = lambda h: F.array_contains(F.get("_hashes", _slot(h, n_slots)), h)
+    found = F.transform(hashes, lambda h, i: F.when(known(h) & (i <= last), i + 1))
+    same = lambda s: F.array_contains(F.get("_grams", _slot(F.element_at(hashes, s["pos"]), n_slots)), s["gram"])
+    return F.filter(_spans(words, F.filter(found, lambda i: i.isNotNull()), width), same)
+
+
+def _in_row(text: Column, lengths: list[int], n_slots: int, body) -> Column:
+    """``body(words, hits)`` of a text, both computed once."""
     none = F.array().cast(_HITS)
 
     def found(words: Column) -> Column:
-        if not by_len:
+        if not lengths:
             return none
-
-        def hits(hashes: dict[int, Column]) -> Column:
-            parts = [_hits_of_length(words, hashes[w], w, rows) for w, rows in sorted(by_len.items())]
-            return F.array_sort(F.concat(none, *parts))
-
-        return window_hashes(words, sorted(by_len), hits)
+        hits = lambda hashes: F.array_sort(F.concat(none, *[_hits_of_length(words, hashes[w], w, n_slots) for w in lengths]))
+        return window_hashes(words, lengths, hits)
 
     return let(_words(text), lambda words: let(found(words), lambda hits: body(words, hits)))
 
 
-def _hits_of_length(words: Column, hashes: Column, width: int, rows: list) -> Column:
-    wanted, grams = {row["h"] for row in rows}, {row["gram"] for row in rows}
-    last = F.size(words) - width
-    found = F.transform(hashes, lambda h, i: F.when(h.isin(wanted) & (i <= last), i + 1))
-    return F.filter(_spans(words, F.filter(found, lambda i: i.isNotNull()), width), lambda s: s["gram"].isin(grams))
+def _slots(hashed: DataFrame, n_slots: int) -> DataFrame:
+    """One row: hashes and grams, arrays of ``n_slots`` arrays."""
+    filled = hashed.groupBy(_slot(F.col("h"), n_slots).alias("slot")).agg(F.collect_list(F.struct("h", "gram")).alias("found"))
+    every = hashed.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
+    table = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("found", F.array().cast("array<struct<h:long,gram:string>>")).alias("found")))).alias("t"))
+    return checkpointed(table.select(F.transform("t", lambda x: x["found"]["h"]).alias("hashes"), F.transform("t", lambda x: x["found"]["gram"]).alias("grams")))
 
 
-def _small_set(windows: DataFrame, width: int, most: int) -> list | None:
-    """The windows with their hashes, or None if there are more than ``most``."""
-    found = windows.select("gram", "len", _gram_hash(F.col("gram"), width).alias("h")).limit(most + 1).collect()
-    return found if len(found) <= most else None
+def _by_shuffle(docs: DataFrame, hashed: DataFrame, lengths: list[int], text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, _words and _hits, from a join of the hashes of all document windows with the benchmark's."""
+    tokens = docs.select(*[F.col(c) for c in keep], _words(F.col(text_col)).alias("_words"), F.monotonically_increasing_id().alias("_row"))
+    tokens = stored(tokens, "words")  # read twice, with one number a row
+    none = F.array().cast("array<struct<pos:int,len:int,h:long>>")
 
+    def of_width(hashes: Column, width: int) -> Column:
+        valid = F.slice(hashes, 1, F.greatest(F.size("_words") - (width - 1), F.lit(0)))
+        return F.transform(valid, lambda h, i: F.struct((i + 1).alias("pos"), F.lit(width).alias("len"), h.alias("h")))
 
-def _by_shuffle(docs: DataFrame, windows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, _words and _hits, from a join of all document windows with the benchmark's."""
-    lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # at most the width of them
-    tokens = docs.select(*[F.col(c) for c in keep], _words(F.col(text_col)).alias("_words"), F.monotonically_increasing_id().alias("_row"))
-    n = F.size("_words")
-    spans = F.concat(F.array().cast(_HITS), *[_spans(F.col("_words"), positions(n, w), w) for w in sorted(lengths)])
+    def windows(hashes: dict[int, Column]) -> Column:
+        return F.concat(none, *[of_width(hashes[w], w) for w in lengths])
+
+    spans = window_hashes(F.col("_words"), lengths, windows) if lengths else none
     hits = (
         tokens.select("_row", F.explode(spans).alias("s"))
         .select("_row", "s.*")
-        .join(windows.select("gram", "len"), ["gram", "len"], "left_semi")
+        .join(hashed.select("h", "len", "gram"), ["h", "len"])
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "len", "gram"))).alias("_hits"))
+        .agg(F.array_sort(F.collect_set(F.struct("pos", "len", "gram"))).alias("_met"))
     )
-    joined = tokens.join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS)))
-    return joined.drop("_row")
+    joined = tokens.join(hits, "_row", "left")
+    same = F.filter("_met", lambda s: _gram(F.col("_words"), s["pos"], s["len"]) == s["gram"])
+    return joined.withColumn("_hits", F.coalesce(same, F.array().cast(_HITS))).drop("_row", "_met")
 
 
-def judged(docs: DataFrame, bench: DataFrame, body, width: int, text_col: str, keep: list[str], max_broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, bench: DataFrame, body, width: int, text_col: str, keep: list[str], max_broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(``keep`` columns and _found = ``body(words, hits)`` per document row, windows).
 
-    Hits are array<struct(pos, len, gram)>, sorted. Within ``max_broadcast_windows`` distinct
-    windows the set is part of the scan. Beyond it every document window is joined with the
-    benchmark's by shuffle on its text, and hits return by row.
+    Hits are array<struct(pos, len, gram)>, sorted.
     """
     windows = benchmark_windows(bench, width)
-    small = _small_set(windows, width, max_broadcast_windows)
+    hashed = checkpointed(windows.select("gram", "len", _gram_hash(F.col("gram"), width).alias("h")))
+    by_length = hashed.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).collect()  # a row a length, ``width`` at most
+    lengths, n = sorted(r["len"] for r in by_length), sum(r["n"] for r in by_length)
     kept = [F.col(c) for c in keep]
-    if small is not None:
-        return docs.select(*kept, _in_row(F.col(text_col), small, body).alias("_found")), windows
-    rows = _by_shuffle(docs, windows, text_col, keep)
-    return rows.select(*kept, body(F.col("_words"), F.col("_hits")).alias("_found")), windows
+    if sum(r["bytes"] for r in by_length) + SLOT_BYTES * n > max_broadcast_bytes:
+        rows = _by_shuffle(docs, hashed, lengths, text_col, keep)
+        return rows.select(*kept, body(F.col("_words"), F.col("_hits")).alias("_found")), windows
+    n_slots = 1 << max(n, 15).bit_length()
+    table = _slots(hashed, n_slots)
+    rows = docs.select(*kept, F.col(text_col).alias("_of"), table.select("hashes").scalar().alias("_hashes"), table.select("grams").scalar().alias("_grams"))
+    return rows.select(*kept, _in_row(F.col("_of"), lengths, n_slots, body).alias("_found")), windows
 
 
 def contamination(
@@ -143,7 +157,7 @@ def contamination(
     numerator: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Per document row: id, n_words, n_hit, items (sorted array), contaminated.
 
@@ -154,7 +168,7 @@ def contamination(
         grams = F.array_distinct(F.transform(hits, lambda s: F.struct(s["gram"].alias("gram"), s["len"].alias("len"))))
         return F.struct(F.size(words).cast("long").alias("n_words"), covered(hits).cast("long").alias("n_hit"), grams.alias("grams"))
 
-    rows, windows = judged(docs, bench, body, width, text_col, [id_col], max_broadcast_windows)
+    rows, windows = judged(docs, bench, body, width, text_col, [id_col], max_broadcast_bytes)
     scored = rows.select(id_col, F.monotonically_increasing_id().alias("_row"), "_found.*")
     owners = windows.select("gram", "len", F.explode("items").alias("item"))
     listed = (
@@ -175,19 +189,19 @@ def remove_contaminated(
     width: int = WIDTH,
     numerator: int = 20,
     text_col: str = "text",
-    max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """The documents that are not contaminated, with their own columns; no shuffle within the broadcast bound."""
 
     def clean(words: Column, hits: Column) -> Column:
         return let(covered(hits), lambda n: (n == 0) | (n * numerator < F.size(words)))
 
-    boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
-    rows, _ = judged(boxed, bench, clean, width, "_text", ["_doc"], max_broadcast_windows)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
+    rows, _ = judged(boxed, bench, clean, width, "_text", ["_doc"], max_broadcast_bytes)
     return rows.where("_found").select("_doc.*")
 
 
-def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text_col: str = "text", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Documents with a column ``clean_text``: the normalised words that no benchmark window covers, joined by a space."""
 
     def rest(words: Column, hits: Column) -> Column:
@@ -199,6 +213,6 @@ def remove_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH, text_col
         tail = lambda a: F.concat(a["out"], F.slice(words, a["next"], F.greatest(F.lit(0), F.size(words) - a["next"] + 1)))
         return F.concat_ws(" ", F.aggregate(hits, start, step, tail))
 
-    boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
-    rows, _ = judged(boxed, bench, rest, width, "_text", ["_doc"], max_broadcast_windows)
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text"))
+    rows, _ = judged(boxed, bench, rest, width, "_text", ["_doc"], max_broadcast_bytes)
     return rows.select("_doc.*", F.col("_found").alias("clean_text"))

@@ -53,7 +53,7 @@ def odd(spark):
 
 OPERATORS = {
     "decontaminate": lambda d, b: decontaminate.contamination(d, b),
-    "decontaminate_by_shuffle": lambda d, b: decontaminate.contamination(d, b, max_broadcast_windows=0),
+    "decontaminate_by_shuffle": lambda d, b: decontaminate.contamination(d, b, max_broadcast_bytes=0),
     "remove_contaminated": lambda d, b: decontaminate.remove_contaminated(d, b),
     "remove_spans": lambda d, b: decontaminate.remove_spans(d, b),
     "lines": lambda d, b: lines.line_report(d),
@@ -291,3 +291,16 @@ def test_components_of_chains_stars_and_loops(spark):
             top[max(x, y)] = min(x, y)
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x["node"]: x["label"] for x in found} == {i: find(i) for i in list(top)}
+
+
+def test_large_and_small_benchmarks_take_either_way(spark, odd):
+    """10^5 windows go the same way as a few; the shuffle beyond the bound finds the same."""
+    bench = spark.createDataFrame([(k, prose(k, 260)) for k in range(420)] + [(9999, "two words"), (9998, None)], BENCH)
+    assert decontaminate.benchmark_windows(bench).count() > 100_000
+    docs = odd[1].where("doc_id IS NULL OR doc_id <> 3")
+    found = decontaminate.contamination(docs, bench)
+    assert "ScalarSubquery" in found._jdf.queryExecution().toString() or "scalar-subquery" in found._jdf.queryExecution().toString()
+    rows = {tuple(r) for r in found.select("doc_id", "n_words", "n_hit", F.concat_ws(",", "items"), "contaminated").collect()}
+    other = decontaminate.contamination(docs, bench, max_broadcast_bytes=0)
+    assert rows == {tuple(r) for r in other.select("doc_id", "n_words", "n_hit", F.concat_ws(",", "items"), "contaminated").collect()}
+    assert sum(r[4] for r in rows) == 6
