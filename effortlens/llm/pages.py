@@ -14,8 +14,9 @@ over many tasks; neighbours across a partition edge are found in a table of two
 Only line hashes travel for pairing. A page's own lines are shuffled once, compressed.
 
 Defined cases: a null or empty page gives an empty text; a null URL is a host of its own without
-path; repeated rows (equal URL and page) are paired once and each gets the result; an empty table
-gives an empty result.
+path; repeated rows (equal URL and page) are paired once and each gets the result; further columns
+are left aside; an empty table gives an empty result. A very long page is parsed in one task, in time
+proportional to its length, and aligned in lines x lines / 64 steps.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import hashlib
 import json
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,30 +118,35 @@ def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def common_lines(a: list[bytes], b: list[bytes]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence of a and b (Hunt and Szymanski)."""
-    where: dict[bytes, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple[int, int]] = []  # (position in a, node before)
-    top: list[int] = []
-    for i, x in enumerate(a):
-        for j in where.get(x, ()):
-            k = bisect_left(tails, j)
-            if k < len(tails) and tails[k] == j:
-                continue
-            nodes.append((i, top[k - 1] if k else -1))
-            if k == len(tails):
-                tails.append(j)
-                top.append(len(nodes) - 1)
-            else:
-                tails[k] = j
-                top[k] = len(nodes) - 1
-    out, at = [], top[-1] if top else -1
-    while at >= 0:
-        i, at = nodes[at]
-        out.append(i)
-    return out[::-1]
+    """Positions in ``a`` of a longest common subsequence of a and b.
+
+    What both begin and end with is set aside. For the rest, row i holds as the zero bits of one long
+    integer where the subsequence of a[:i] grows along b, so a row costs a few operations on
+    len(b) bits, whether lines repeat or not.
+    """
+    front = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    most = min(len(a), len(b)) - front
+    back = next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
+    mid_a, mid_b = a[front : len(a) - back], b[front : len(b) - back]
+    places: dict[bytes, int] = {}
+    for j, x in enumerate(mid_b):
+        places[x] = places.get(x, 0) | (1 << j)
+    every = (1 << len(mid_b)) - 1
+    rows = [every]
+    for x in mid_a:
+        row = rows[-1]
+        met = row & places.get(x, 0)
+        rows.append(((row + met) | (row - met)) & every)
+    found, j = [], len(mid_b)
+    for i in range(len(mid_a), 0, -1):
+        while j and mid_a[i - 1] != mid_b[j - 1] and rows[i] >> (j - 1) & 1:  # b[j - 1] adds nothing here
+            j -= 1
+        if not j:
+            break
+        if mid_a[i - 1] == mid_b[j - 1]:
+            found.append(front + i - 1)
+            j -= 1
+    return [*range(front), *reversed(found), *range(len(a) - back, len(a))]
 
 
 def _shared_prefix(a: str, b: str) -> int:

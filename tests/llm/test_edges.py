@@ -304,3 +304,69 @@ def test_large_and_small_benchmarks_take_either_way(spark, odd):
     other = decontaminate.contamination(docs, bench, max_broadcast_bytes=0)
     assert rows == {tuple(r) for r in other.select("doc_id", "n_words", "n_hit", F.concat_ws(",", "items"), "contaminated").collect()}
     assert sum(r[4] for r in rows) == 6
+
+
+def test_common_lines_against_dynamic_programming():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([bytes([r.randrange(5)]) for _ in range(r.randrange(14))] for _ in range(2))
+        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+        found = pages.common_lines(a, b)
+        assert len(found) == length[-1][-1] and found == sorted(set(found))
+        rest = iter(b)
+        assert all(a[i] in rest for i in found)
+    assert len(pages.common_lines([b"x"] * 20_000, [b"y"] + [b"x"] * 19_000 + [b"z"])) == 19_000
+
+
+def test_pages_of_odd_rows_and_their_gold_texts(spark):
+    """Template in <main> as well as around it: what neighbours share outside the article goes, the rest stays."""
+    page = (
+        "<html><head><title>t</title></head><body><div>Site {0[0]}</div><ul><li>Home</li><li>News</li></ul><div><h2>{1}</h2>"
+        "<p>Body &eacute; of\n  {1}</p><p>More on {1}</p></div><p>All rights reserved</p><div class=comments>me too {1}</div></body></html>"
+    )
+    rows = [(i, f"https://h.example/{'abc'[i % 3]}/{i:02d}", page.format("X", f"story {i}")) for i in range(9)]
+    gold = {i: f"story {i}\n\nBody é of story {i}\n\nMore on story {i}" for i in range(9)}
+    rows += [(20, rows[3][1], rows[3][2]), (21, None, "<p>alone"), (22, "", None), (23, "https://long.example/", "<p>" + "word " * 200_000)]
+    rows += [(24, "https://long.example/x", "".join(f"<p>line {k % 7}" for k in range(5000)))]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ["key", "sig", "z", "gone", "text", "host", "part", "edge"]})
+    found = {r["page_id"]: r["text"] for r in pages.extract(docs).collect()}
+    assert {i: found[i] for i in gold} == gold
+    assert found[20] == found[3] and found[21] == "alone" and found[22] == "" and found[23] == ("word " * 200_000).strip()
+    assert len(found[24].split("\n\n")) == 5000
+    assert pages.extract(docs.limit(0)).count() == 0
+    without = [text for text, kind in markup.lines(rows[0][2]) if kind != markup.DROP]
+    assert "\n\n".join(without) != gold[0]  # markup alone does not get there
+
+
+def test_near_lines_against_all_pairs(spark):
+    r = random.Random(12)
+    base = [prose(k, r.randrange(1, 6)) for k in range(12)]
+
+    def spoilt(line):
+        for _ in range(r.choice([0, 1, 1, 2])):
+            k = r.randrange(len(line) + 1)
+            line = r.choice([line[:k] + line[k + 1 :], line[:k] + "é" + line[k:], line[:k] + "q" + line[k + 1 :]])
+        return line
+
+    rows = [(i * 7 % 31, "\n".join(r.choice(["", " ", ""]) + spoilt(r.choice(base)) for _ in range(6)), "s") for i in range(31)]
+
+    def near(a, b):
+        if a == b:
+            return True
+        if min(len(a), len(b)) < lines.MIN_CHARS or abs(len(a) - len(b)) > 1:
+            return False
+        k = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
+
+    want, before = {}, []
+    for i, text, _ in sorted(rows):
+        want[i] = []
+        for no, line in enumerate(x.strip(" \t\r\x0b\x0c") for x in text.split("\n")):
+            if line:
+                if any(near(line, x) for x in before):
+                    want[i].append(no)
+                before.append(line)
+    assert {x["doc_id"]: x["removed"] for x in lines.line_report(frame(spark, rows)).collect()} == want
