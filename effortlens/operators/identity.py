@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effortlens.functions.scalars import email_domain, normal_name
+from effortlens.storage import checkpointed
 
 
 def match_pairs(people: DataFrame, domain_limit: int = 3) -> DataFrame:
@@ -144,22 +144,15 @@ def match_links(people: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="effortlens-"))
-    return df.checkpoint()
-
-
 def match_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     """id, group (smallest id that matches lead to) of everyone in a pair."""
-    both = _kept(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("group")))
+    both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("group")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
         step = labels.join(near, "id").select("id", F.least("group", "near").alias("to"), F.col("group").alias("was"))
         jump = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        moved = _kept(step.join(jump, "to").select("id", F.col("far").alias("group"), "was"))
+        moved = checkpointed(step.join(jump, "to").select("id", F.col("far").alias("group"), "was"))
         labels = moved.select("id", "group")
         if moved.where("group <> was").isEmpty():
             return labels
