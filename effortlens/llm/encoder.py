@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 
 #: Bounds of the cache of a worker: pieces (about 200 bytes each) and bytes of their texts.
 MAX_CACHED = 300_000
-MAX_CACHED_BYTES = 16 << 20
+MAX_CACHED_BYTES = 8 << 20
 #: Bytes of text handled at a time.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Characters of new pieces encoded as one string.
 JOINED_CHARS = 1 << 16
 
@@ -39,13 +39,6 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens per string, all tokens)."""
-    lists = [e.ids for e in encodings]
-    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return lengths, np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(lengths.sum()))
-
-
 class Encoder:
     def __init__(self, path: str, max_cached: int = MAX_CACHED, max_bytes: int = MAX_CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -63,6 +56,19 @@ class Encoder:
         self._uses = np.zeros(1, dtype=np.int64)
         self._bytes = 0
 
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens per string, all tokens), a few strings at a time: the library's own results are large."""
+        lengths, ids, at = [], [np.empty(0, dtype=self._kind)], 0
+        while at < len(texts):
+            first, chars = at, 0
+            while at < len(texts) and chars < JOINED_CHARS:
+                chars += len(texts[at])
+                at += 1
+            lists = [e.ids for e in self._tokenizer.encode_batch_fast(texts[first:at], add_special_tokens=False)]
+            lengths += map(len, lists)
+            ids.append(np.fromiter(chain.from_iterable(lists), dtype=self._kind))
+        return np.array(lengths, dtype=np.int64), np.concatenate(ids)
+
     def _forget(self) -> None:
         """Keep what has been used more than once, if that is less than half of what may be kept."""
         keep = np.flatnonzero(self._uses > 1)
@@ -89,17 +95,17 @@ class Encoder:
             while at < len(joined) and chars < JOINED_CHARS:
                 chars += len(joined[at])
                 at += 1
-            _, tokens = _flat(self._tokenizer.encode_batch_fast(["".join(joined[some:at])], add_special_tokens=False))
+            _, tokens = self._flat(["".join(joined[some:at])])
             starts = np.flatnonzero(self._opens[tokens])
             if len(starts) == at - some and starts[0] == 0:
                 counts.append(np.diff(starts, append=len(tokens)))
                 ids.append(tokens)
             else:
-                each = _flat(self._tokenizer.encode_batch_fast(joined[some:at], add_special_tokens=False))
+                each = self._flat(joined[some:at])
                 counts.append(each[0])
                 ids.append(each[1])
         if apart:
-            each = _flat(self._tokenizer.encode_batch_fast(apart, add_special_tokens=False))
+            each = self._flat(apart)
             counts.append(each[0])
             ids.append(each[1])
         order = [*joined, *apart]
@@ -115,7 +121,7 @@ class Encoder:
 
     def count_few(self, texts: list[str]) -> list[int]:
         """Tokens of a few short strings, past the cache."""
-        return [len(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._flat(texts)[0].tolist()
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts fit for it: (first piece of each text and one more, pool start and token count of each piece)."""
@@ -156,7 +162,7 @@ class Encoder:
         lengths[fit] = sums[first[1:]] - sums[first[:-1]]
         if fit.all():
             return lengths, tokens
-        whole, ids = _flat(self._tokenizer.encode_batch_fast(texts.filter(pa.array(~fit)).to_pylist(), add_special_tokens=False))
+        whole, ids = self._flat(texts.filter(pa.array(~fit)).to_pylist())
         lengths[~fit] = whole
         out = np.empty(int(lengths.sum()), dtype=tokens.dtype)
         own = np.repeat(fit, lengths)
