@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from effortlens.llm.wordhash import release_memory
+
 #: Bounds of the cache of a worker: pieces (about 200 bytes each) and bytes of their texts.
-MAX_CACHED = 300_000
+MAX_CACHED = 150_000
 MAX_CACHED_BYTES = 8 << 20
 #: Bytes of text handled at a time.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Characters of new pieces encoded as one string.
 JOINED_CHARS = 1 << 16
 
@@ -35,6 +37,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder_for(path: str) -> Encoder:
     """The encoder of this worker process for a vocabulary file."""
     if path not in _encoders:
+        release_memory()  # of operators that this worker has run before
         _encoders[path] = Encoder(path)
     return _encoders[path]
 

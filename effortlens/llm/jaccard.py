@@ -104,6 +104,7 @@ def _profile(width: int):
                 )
         if kind is None:
             return
+        wordhash.release_memory()
         blocks = range(0, SKETCH, SKETCH_BLOCK)
         empty = pa.nulls(len(blocks))
         salt = TaskContext.get().partitionId() // 512
@@ -169,6 +170,7 @@ def _prefix_rows(width: int, percent: int, ranks):
                     ],
                     ["gram", "node", "n", "pos"],
                 )
+        wordhash.release_memory()
 
     return rows
 
@@ -183,6 +185,7 @@ def _packed_sets(width: int):
                 some = np.flatnonzero(n)
                 z = [zlib.compress(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split()), 1) for k in some]
                 yield pa.RecordBatch.from_arrays([_as_nodes(node[some]), pa.array(z, pa.binary())], ["node", "z"])
+        wordhash.release_memory()
 
     return rows
 

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from effortlens.llm.encoder import RUN_BYTES, encoder_for
 from effortlens.llm.storage import new_folder
-from effortlens.llm.wordhash import text_runs
+from effortlens.llm.wordhash import release_memory, text_runs
 
 END_ID = 0
 ORC_OPTIONS = {
@@ -62,6 +62,8 @@ def _encoded(path: str, end_id: int):
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 place += int(ends[-1])
+            del batch
+            release_memory()
 
     return rows
 

@@ -7,12 +7,19 @@ doubling, so the cost of a window does not depend on its length.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to give back
+    _trim = None
+
 _RNG = np.random.RandomState(20250101)
 _BYTE = _RNG.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + _RNG.randint(0, 2, 256).astype(np.uint64)
 _BASE = 0x9E3779B97F4A7C17  # odd and 3 mod 4: far from a root of one
@@ -154,6 +161,14 @@ def text_runs(texts: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterato
         i = j
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on, and others share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
