@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that are handed to a Python worker at once; one longer row is handed over alone.
+BATCH_BYTES = 4 << 20
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder. A folder of this machine is set only where a local session names none; a cluster must name one."""
@@ -37,6 +42,18 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the Arrow batches of the jobs inside by bytes: ten thousand long texts are a large batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
@@ -44,5 +61,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     loss of any executor.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from effortlens.llm.encoder import RUN_BYTES, encoder_for
-from effortlens.llm.storage import new_folder
+from effortlens.llm.storage import new_folder, small_batches, stored
 from effortlens.llm.wordhash import release_memory, text_runs
 
 END_ID = 0
@@ -74,7 +74,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = ordered.mapInArrow(_encoded(tokenizer_path, end_id), f"doc_id {kind}, part int, local_start long, n_tokens long, ids array<int>")
-    rows.write.options(**ORC_OPTIONS).orc(folder)
+    with small_batches(docs.sparkSession):
+        rows.write.options(**ORC_OPTIONS).orc(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None) -> DataFrame:
@@ -97,9 +98,9 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32."""
     rows = spark.read.orc(folder)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    summed = rows.mapInArrow(_checksums, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long")
+    summed = stored(rows.mapInArrow(_checksums, f"doc_id {kind}, part int, local_start long, n_tokens long, ids_crc32 long"), "sums")
     # one row a range, numbered in their order
-    ranges = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    ranges = summed.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = ranges.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     return summed.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
