@@ -42,6 +42,12 @@ def encoder_for(path: str) -> Encoder:
     return _encoders[path]
 
 
+def drop_encoders() -> None:
+    """Free the encoders of this worker, for operators that need none: the worker lives on beside others."""
+    _encoders.clear()
+    release_memory()
+
+
 class Encoder:
     def __init__(self, path: str, max_cached: int = MAX_CACHED, max_bytes: int = MAX_CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism

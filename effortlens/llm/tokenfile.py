@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from effortlens.llm.encoder import RUN_BYTES, encoder_for
+from effortlens.llm.encoder import RUN_BYTES, drop_encoders, encoder_for
 from effortlens.llm.storage import new_folder, small_batches, stored
 from effortlens.llm.wordhash import release_memory, text_runs
 
@@ -86,6 +86,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: list[int] | None = None)
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, part, local_start, n_tokens, ids -> the same with ids_crc32 for ids."""
+    drop_encoders()
     for batch in batches:
         lists = batch.column(4)
         offsets = np.asarray(lists.offsets)
