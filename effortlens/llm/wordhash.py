@@ -26,7 +26,7 @@ _BASE = 0x9E3779B97F4A7C17  # odd and 3 mod 4: far from a root of one
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _LEFT = np.uint64(0xA0761D6478BD642F)
 #: Bytes hashed at a time; bounds the temporary arrays.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
