@@ -131,17 +131,22 @@ def find_matches(people: DataFrame) -> DataFrame:
     return best.select("a", "b", at("LOW", "MEDIUM", "MEDIUM", "HIGH", "HIGH").alias("confidence"), at("spelling", "domain", "initial", "login", "name").alias("reason"))
 
 
+def _links(people: DataFrame) -> DataFrame:
+    """a, b, rank with the components of ``find_matches``, and in each of them its best rank: see ``match_links``."""
+    rows = _developers(people)
+    found = _loose_pairs(rows)
+    for column, part, rank in (("name", rows, 5), ("login", rows.where("login <> ''"), 4)):
+        least = part.groupBy(column).agg(F.min("id").alias("a"), F.min("email").alias("x"), F.max("email").alias("y")).where("x <> y")
+        found = found.unionByName(least.join(part, column).where("a <> id").select("a", F.col("id").alias("b"), F.lit(rank).alias("rank")))
+    return found
+
+
 def match_links(people: DataFrame) -> DataFrame:
     """a, b with the components of ``find_matches``: people of one name or login are linked to its smallest id, not each to each.
 
     Where a name or login has two e-mails, each of its people has another e-mail than some other one, so all are one component.
     """
-    rows = _developers(people)
-    found = _loose_pairs(rows).select("a", "b")
-    for column, part in (("name", rows), ("login", rows.where("login <> ''"))):
-        least = part.groupBy(column).agg(F.min("id").alias("a"), F.min("email").alias("x"), F.max("email").alias("y")).where("x <> y")
-        found = found.unionByName(least.join(part, column).where("a <> id").select("a", F.col("id").alias("b")))
-    return found.distinct()
+    return _links(people).select("a", "b").distinct()
 
 
 def match_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -159,6 +164,55 @@ def match_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
+def developer_groups(people: DataFrame, saved: DataFrame) -> DataFrame:
+    """Everyone's group: id, group_id (its smallest id), primary_id, confidence (its best match), auto_merged (HIGH), is_saved.
+
+    people (id, name, login, email, commits); saved (email, primary_email) are groups that a user has
+    made: whoever's e-mail, in any case, is in one is not matched, and its primary is the smallest id
+    of the primary e-mail (null if nobody has it). Elsewhere the primary has the most commits, ties and
+    null commits by the smallest id. Who matches nobody is alone, without a confidence. An e-mail in
+    two saved groups belongs to the one of the smaller primary e-mail.
+    """
+    both = saved.select(F.lower("primary_email").alias("primary_email"), F.explode(F.array(F.lower("email"), F.lower("primary_email"))).alias("key"))
+    kept = both.groupBy("key").agg(F.min("primary_email").alias("primary_email"))
+    rows = people.select("id", "name", "login", "email", F.coalesce("commits", F.lit(0)).alias("commits"), F.lower("email").alias("key")).join(kept, "key", "left")
+    free = rows.where("primary_email IS NULL").drop("primary_email")
+    links = checkpointed(_links(free).groupBy("a", "b").agg(F.max("rank").alias("rank")))
+    groups = match_groups(links).withColumnRenamed("group", "group_id")
+    best = links.join(groups.withColumnRenamed("id", "a"), "a").groupBy("group_id").agg(F.max("rank").alias("rank"))
+    alone = free.join(groups, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+    first = alone.groupBy("group_id").agg(F.min(F.struct(-F.col("commits"), F.col("id"))).getField("id").alias("primary_id"))
+    confidence = F.when(F.col("rank") >= 4, "HIGH").when(F.col("rank") >= 2, "MEDIUM").when(F.col("rank") == 1, "LOW")
+    matched = alone.select("id", "group_id").join(first, "group_id").join(best, "group_id", "left")
+    matched = matched.select("id", "group_id", "primary_id", confidence.alias("confidence"), F.coalesce(F.col("rank") >= 4, F.lit(False)).alias("auto_merged"), F.lit(False).alias("is_saved"))
+    mine = rows.where("primary_email IS NOT NULL")
+    heads = mine.groupBy("primary_email").agg(F.min("id").alias("group_id"), F.min(F.when(F.col("key") == F.col("primary_email"), F.col("id"))).alias("primary_id"))
+    made = mine.join(heads, "primary_email").select("id", "group_id", "primary_id", F.lit(None).cast("string").alias("confidence"), F.lit(False).alias("auto_merged"), F.lit(True).alias("is_saved"))
+    return matched.unionByName(made)
+
+
+def author_groups(authors: DataFrame) -> DataFrame:
+    """authors (email, name, login, repo, day) of commits -> a row a developer: email (the smallest), emails, name, login, commits, repos, first_day, last_day.
+
+    E-mails, in lower case, are one developer if a login links them; equal names link nobody. Commits
+    without an e-mail are left out. Name and login are those of the earliest commit that has them, ties by
+    text. A login that is seen only after both of its e-mails merges them too, so the result does not hang on the order of rows.
+    """
+    filled = lambda x: F.when(F.col(x) != "", F.col(x))
+    rows = authors.select(F.lower("email").alias("address"), filled("name").alias("name"), filled("login").alias("login"), "repo", "day").where("address <> ''")
+    known = rows.where("login IS NOT NULL").select("login", "address").distinct()
+    links = known.join(known.groupBy("login").agg(F.min("address").alias("a")), "login").where("a <> address").select("a", F.col("address").alias("b"))
+    groups = match_groups(links).select(F.col("id").alias("address"), "group")
+    # Commits are summed up per e-mail and repository first; only these sums meet the groups.
+    early = lambda x: F.min(F.when(F.col(x).isNotNull(), F.struct("day", x))).alias(x)
+    sums = rows.groupBy("address", "repo").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), early("name"), early("login"))
+    whole = sums.join(groups, "address", "left").withColumn("email", F.coalesce("group", "address"))
+    return whole.groupBy("email").agg(
+        F.count_distinct("address").alias("emails"), F.min("name").getField("name").alias("name"), F.min("login").getField("login").alias("login"),
+        F.sum("n").alias("commits"), F.count_distinct("repo").alias("repos"), F.min("first").alias("first_day"), F.max("last").alias("last_day"),
+    )
+
+
 def first_match(wanted: DataFrame, lookups: list[tuple[str, DataFrame]]) -> DataFrame:
     """wanted with ``found`` and ``found_by``: the first lookup (column, frame of that column and found) that has the row's value."""
     rows, values, names = wanted, [], []

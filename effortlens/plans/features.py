@@ -37,8 +37,8 @@ def _duck_list(values):
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _raw_diffs(spark, d):
-    """sha, diff of three files a commit; every fiftieth part has long ones."""
+def _raw_diffs(spark, d, *more):
+    """sha, columns ``more`` of the line item, diff of three files a commit; every fiftieth part has long ones."""
     t = table(spark, d, "lineitem")
     parts = []
     for j in range(3):
@@ -48,7 +48,7 @@ def _raw_diffs(spark, d):
         added, deleted = F.expr(f"(l_suppkey + {3 * j}) % 9 * ({wide})"), F.expr(f"(l_partkey + {j}) % 6 * ({wide})")
         head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1 +1 @@\n"))
         parts.append(F.concat(head, F.repeat(F.concat(F.lit("+"), line, F.lit("\n")), added.cast("int")), F.repeat(F.lit("-old value\n"), deleted.cast("int"))))
-    return t.select(F.expr(_sha).alias("sha"), F.concat(*parts).alias("diff"))
+    return t.select(F.expr(_sha).alias("sha"), *more, F.concat(*parts).alias("diff"))
 
 
 def _duck_part(j):

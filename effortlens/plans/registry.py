@@ -1,7 +1,7 @@
 """All queries of the engine's own operators."""
 
-from effortlens.plans import features, listings, measures, reports, streams
+from effortlens.plans import features, listings, measures, patterns, reports, streams
 
-_ALL = listings.QUERIES | measures.QUERIES | features.QUERIES | reports.QUERIES | streams.QUERIES
+_ALL = listings.QUERIES | measures.QUERIES | features.QUERIES | reports.QUERIES | streams.QUERIES | patterns.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
