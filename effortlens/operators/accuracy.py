@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from effortlens.storage import checkpointed
+
 
 def consensus(truth: DataFrame) -> DataFrame:
     """sha, cents: the median over authors, the mean of the middle two if there are two."""
@@ -16,16 +18,79 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+#: Error of rank of the sketches, as a share of a group, and twice that and more to both sides of a wanted rank.
+_ACCURACY, _MARGIN = 10_000, 0.0005
+#: Groups up to this size are ranked as they are; above it a rank is far below the margin.
+_SMALL = 20_000
+
+
+def percentiles(values: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column a share: the exact interpolated percentile of each group, nulls and NaN left out.
+
+    A sketch of bounded size brackets each percentile; values below a bracket are only counted, and
+    the values inside, a thousandth of a group, are ranked as (value, count). So no task holds a group.
+    Groups without values are absent (without ``by``: one row of nulls). ``values`` is read three times.
+    """
+    from pyspark.sql import Window
+
+    rows = values.select(*by, F.col(column).cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+    ends = [min(max(p + side, 0.0), 1.0) for p in shares.values() for side in (-_MARGIN, _MARGIN)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile_approx("value", ends, _ACCURACY).alias("cuts"))
+    few = F.col("n") <= _SMALL
+    bracket = lambda i, p: F.struct(
+        F.when(few, F.col("lo")).otherwise(F.get("cuts", F.lit(2 * i))).alias("lo"),
+        F.when(few, F.col("hi")).otherwise(F.get("cuts", F.lit(2 * i + 1))).alias("hi"),
+        ((F.col("n") - 1) * p).alias("at"),
+    )
+    # Kept, so that counts below and ranks inside are of the same brackets if a task runs again.
+    brackets = checkpointed(sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(shares.values())]).alias("brackets")))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        if not by:
+            return left.crossJoin(F.broadcast(right))  # one row
+        named = right.withColumnsRenamed({c: f"_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        return left.join(named, same).drop(*[f"_{c}" for c in by])
+
+    n = range(len(shares))
+    seen = met(rows, brackets)
+    below = seen.groupBy(*by).agg(F.array(*[F.count_if(F.col("value") < F.col("brackets")[i]["lo"]) for i in n]).alias("below"))
+    inside = seen.where(F.exists("brackets", lambda b: F.col("value").between(b["lo"], b["hi"]))).groupBy(*by, "value").agg(F.count("*").alias("c"))
+    ranked = met(met(inside, brackets), below).select(*by, "value", "c", "below", F.posexplode("brackets").alias("share", "b")).where(F.col("value").between(F.col("b.lo"), F.col("b.hi")))
+    upto = F.get("below", F.col("share")) + F.sum("c").over(Window.partitionBy(*by, "share").orderBy("value"))
+    ranked = ranked.withColumn("upto", upto)
+    found = []
+    for i, name in enumerate(shares):
+        at = F.max(F.when(F.col("share") == i, F.col("b.at")))
+        lower = F.min(F.when((F.col("share") == i) & (F.col("upto") > F.floor("b.at")), F.col("value")))
+        upper = F.min(F.when((F.col("share") == i) & (F.col("upto") > F.ceil("b.at")), F.col("value")))
+        found.append((lower + (upper - lower) * (at - F.floor(at))).alias(name))
+    return ranked.groupBy(*by).agg(*found)
+
+
 def errors(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs (estimate, truth) -> n, mean absolute error, Pearson r (from three rows on), mean and median percent error."""
+    """pairs (estimate, truth) -> n, mean absolute error, Pearson r (from three rows on), mean and median percent error.
+
+    Groups may be few and large, so the median is that of ``percentiles``; the pairs are stored for it.
+    """
     ape = F.try_divide(F.abs(F.col("estimate") - F.col("truth")) * 100.0, F.col("truth"))
-    return pairs.groupBy(*by).agg(
+    pairs = checkpointed(pairs.select(*by, "estimate", "truth", ape.alias("ape")))
+    sums = pairs.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(F.abs(F.col("estimate") - F.col("truth"))).alias("mae"),
         F.when(F.count("*") >= 3, pearson(F.col("estimate"), F.col("truth"))).alias("r"),
-        F.avg(ape).alias("mape"),
-        F.median(ape).alias("median_ape"),
+        F.avg("ape").alias("mape"),
     )
+    return with_percentiles(sums, pairs, by, "ape", {"median_ape": 0.5})
+
+
+def with_percentiles(sums: DataFrame, values: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """sums with the ``percentiles`` of its groups, null where a group has no values."""
+    found = percentiles(values, by, column, shares)
+    if not by:
+        return sums.crossJoin(F.broadcast(found))  # one row
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    return sums.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
 
 
 def nearest_rank(values: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:

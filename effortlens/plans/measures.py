@@ -8,6 +8,7 @@ from effortlens.functions import scalars
 from effortlens.operators import accuracy, billing, identity, scope, spread, timeline
 from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, TRUTH, with_frames
 from effortlens.sources.tables import aliases, all_ground_truth, commits, ground_truth, job_events, jobs, table
+from effortlens.storage import checkpointed
 
 _BASE = "job_id IS NULL AND method <> 'error'"
 _DAYS = f"days AS (SELECT email, day, CAST(sum(least(cents, 500)) AS BIGINT) AS cents FROM commits WHERE {_BASE} GROUP BY email, day)"
@@ -36,9 +37,14 @@ def _placed_ratios(spark, d):
     return spread.developer_metrics(_base(spark, d)).select("email", percent.alias("percent"), scalars.colour(percent).alias("colour"))
 
 
+def _norm(means):
+    """The median of all developers' means, which are stored as they are read three times."""
+    return accuracy.percentiles(checkpointed(means.select("mean")), [], "mean", {"norm": 0.5}).select(_r("norm", 2).alias("norm"))
+
+
 def _placed_norm(spark, d):
     means = spread.developer_metrics(_base(spark, d)).where("work_days > 0 AND total_cents > 0").select((F.col("total_cents") / F.col("work_days")).alias("mean"))
-    return means.agg((F.floor(F.median("mean") * 100 + 0.5) / 100).alias("norm"))
+    return _norm(means)
 
 
 def _timeline(unit):
@@ -70,7 +76,7 @@ def _fte(spark, d):
 
 def _median_norm(spark, d):
     g = _days(spark, d).groupBy("email").agg((F.sum("cents") / F.count("*")).alias("mean")).where("mean > 0")
-    return g.agg((F.floor(F.median("mean") * 100 + 0.5) / 100).alias("norm"))
+    return _norm(g)
 
 
 def _pairs(spark, d):
@@ -127,7 +133,8 @@ def _r(c, digits=4):
 
 def _author_stats(truth):
     given = F.count("cents")
-    return truth.groupBy("author").agg(given.alias("n"), F.sum("cents").alias("cents"), F.median("cents").alias("median_cents"), (F.sum("cents") / given).alias("mean_cents"))
+    sums = truth.groupBy("author").agg(given.alias("n"), F.sum("cents").alias("total"), (F.sum("cents") / given).alias("mean_cents"))
+    return accuracy.with_percentiles(sums, truth, ["author"], "cents", {"median_cents": 0.5}).withColumnRenamed("total", "cents")
 
 
 def _errors(by, source=ground_truth):
@@ -144,9 +151,10 @@ def _errors(by, source=ground_truth):
 
 
 def _percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = job_events(spark, d).groupBy("code").agg(p.alias("p"), F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return g.select("code", "n", "lo", "hi", *[(F.floor(F.col("p")[i] * 10000 + 0.5) / 10000).alias(f"p{k}") for i, k in enumerate((50, 95, 99))])
+    events = job_events(spark, d)
+    sums = events.groupBy("code").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return accuracy.with_percentiles(sums, events, ["code"], "value", shares).select("code", "n", "lo", "hi", *[_r(p).alias(p) for p in shares])
 
 
 def _entropy(spark, d):
@@ -326,7 +334,7 @@ QUERIES = {
         ),
     ),
     "gt_author_stats": (
-        lambda spark, d: ground_truth(spark, d).groupBy("author").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.median("cents").alias("median_cents"), (F.sum("cents") / F.count("*")).alias("mean_cents")),
+        lambda spark, d: _author_stats(ground_truth(spark, d)),
         with_frames("SELECT author, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, median(cents) AS median_cents, sum(cents) / count(*) AS mean_cents FROM truth GROUP BY author", TRUTH),
     ),
     "gt_consensus": (lambda spark, d: accuracy.consensus(ground_truth(spark, d)), with_frames("SELECT sha, median(cents) AS cents FROM truth GROUP BY sha", TRUTH)),
