@@ -65,16 +65,17 @@ def place(entries: list[tuple[date, int]], cap: int = params.MAX_CENTS_PER_DAY,
     return out
 
 
-def _place_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("day")
-    placed = place([(d, int(c)) for d, c in zip(rows["day"], rows["cents"], strict=True)])
-    return pd.DataFrame([(key[0], a, b, c) for a, b, c in placed], columns=["email", "entry_day", "day", "cents"])
+def placed_days(commits: DataFrame, by: tuple[str, ...] = ("email",)) -> DataFrame:
+    """Commits (``by``, day, cents) -> by, entry_day, day, cents placed; each group of ``by`` is a calendar of its own."""
 
+    def place_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("day")
+        placed = place([(d, int(c)) for d, c in zip(rows["day"], rows["cents"], strict=True)])
+        return pd.DataFrame([(*key, a, b, c) for a, b, c in placed], columns=[*by, "entry_day", "day", "cents"])
 
-def placed_days(commits: DataFrame) -> DataFrame:
-    """Commits (email, day, cents) -> email, entry_day, day, cents placed."""
-    entries = commits.groupBy("email", "day").agg(F.sum("cents").alias("cents"))
-    return entries.groupBy("email").applyInPandas(_place_group, "email string, entry_day date, day date, cents long")
+    entries = commits.groupBy(*by, "day").agg(F.sum("cents").alias("cents"))
+    keys = "".join(f"`{c}` {entries.schema[c].dataType.simpleString()}, " for c in by)
+    return entries.groupBy(*by).applyInPandas(place_group, f"{keys}entry_day date, day date, cents long")
 
 
 def daily_effort(commits: DataFrame) -> DataFrame:
@@ -128,3 +129,52 @@ def developer_metrics(commits: DataFrame, auto: bool = True) -> DataFrame:
         ratio(F.col("total_cents"), work_days).alias("ratio_raw"),
         ratio(F.col("total_cents"), fte, share).alias("ratio_adjusted"),
     )
+
+
+def repo_metrics(commits: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """Per order, repository and developer, over all of their commits: commits, total and overhead cents, work days, share of the repository's commits, two ratios.
+
+    Hours of a repository are placed by themselves, whatever the developer does elsewhere. ``visible``
+    (email) leaves developers out of the result, not out of the shares.
+    """
+    group, who = ("order_id", "repo"), ("order_id", "repo", "email")
+    totals = commits.groupBy(*who).agg(F.count("*").alias("n_commits"), F.sum("cents").alias("total_cents"))
+    whole = totals.groupBy(*group).agg(F.sum("n_commits").alias("all_commits"))
+    days = placed_days(commits, who).groupBy(*who).agg(F.sum("cents").alias("placed"), F.count_distinct("day").alias("work_days"))
+    rows = totals.join(whole, [*group]).join(days, [*who], "left")
+    if visible is not None:
+        rows = rows.join(visible.select("email").distinct(), "email", "left_semi")
+    work_days, share = F.coalesce("work_days", F.lit(0)), auto_share(F.col("n_commits"), F.col("all_commits"))
+    return rows.select(
+        *who,
+        "n_commits",
+        "total_cents",
+        (F.col("total_cents") - F.coalesce("placed", F.lit(0))).alias("overhead_cents"),
+        work_days.alias("work_days"),
+        share.alias("share"),
+        ratio(F.col("total_cents"), work_days).alias("ratio_raw"),
+        ratio(F.col("total_cents"), work_days, share).alias("ratio_adjusted"),
+    )
+
+
+def _in_periods(rows: DataFrame, day: str) -> DataFrame:
+    """Each row once for all time and for the year, quarter and month of its day."""
+    d, none = F.col(day), F.lit(None).cast("int")
+    period = lambda kind, year, part: F.struct(F.lit(kind).alias("period"), year.alias("year"), part.alias("part"))
+    made = F.array(period("ALL_TIME", none, none), period("YEAR", F.year(d), none), period("QUARTER", F.year(d), F.quarter(d)), period("MONTH", F.year(d), F.month(d)))
+    return rows.select("*", F.inline(made))
+
+
+def period_fte(days: DataFrame, commits: DataFrame) -> DataFrame:
+    """days (email, day) with placed hours, commits (email, day) -> email, period, year, part (quarter or month), fte_days.
+
+    Weekdays from the first placed day to the later of the last placed day and the last commit of the
+    period, and placed weekend days. A period without a placed day or without a commit has no row.
+    """
+    keys = ["email", "period", "year", "part"]
+    placed = _in_periods(days.select("email", "day").distinct(), "day").groupBy(*keys)
+    placed = placed.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count_if(F.weekday("day") >= 5).alias("extra"))
+    last = _in_periods(commits.groupBy("email", "day").agg(F.count("*").alias("n")), "day").groupBy(*keys).agg(F.max("day").alias("commit"))
+    last = last.withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = placed.join(last, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return met.select(*keys, (weekdays_between(F.col("first"), F.greatest("last", "commit")) + F.col("extra")).alias("fte_days"))

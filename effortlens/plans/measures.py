@@ -213,6 +213,17 @@ QUERIES = {
     "ghost_ratio_placed": (_placed_ratios, None),
     "fte_days_placed": (lambda spark, d: spread.developer_metrics(_base(spark, d)).select("email", "fte_days"), None),
     "median_norm_placed": (_placed_norm, None),
+    "repo_metrics": (lambda spark, d: spread.repo_metrics(commits(spark, d)), None),
+    "period_fte": (lambda spark, d: spread.period_fte(_placed(spark, d), _base(spark, d)), None),
+    "period_fte_days": (
+        lambda spark, d: spread.period_fte(_days(spark, d), _base(spark, d)),
+        with_frames(
+            f"""SELECT email, period, "year", part, CAST(len(list_filter(generate_series(min(day), max(day), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + count(DISTINCT day) FILTER (isodow(day) >= 6) AS BIGINT) AS fte_days
+            FROM (SELECT email, day, unnest(['ALL_TIME', 'YEAR', 'QUARTER', 'MONTH']) AS period, CAST(unnest([NULL, year(day), year(day), year(day)]) AS INT) AS "year",
+              CAST(unnest([NULL, NULL, quarter(day), month(day)]) AS INT) AS part FROM commits WHERE {_BASE}) GROUP BY ALL""",
+            COMMITS,
+        ),
+    ),
     "scope_work_days": (
         _workdays,
         with_frames(
