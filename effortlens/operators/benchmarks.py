@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from effortlens.operators.accuracy import pearson
+from effortlens.operators.accuracy import pearson, with_percentiles
+from effortlens.storage import checkpointed
 
 SIZES = ("small", "medium", "large")
 
@@ -19,18 +20,20 @@ def accuracy_summary(rows: DataFrame, by: list[str], estimate: str = "estimate")
 
     Errors are taken from the middle of the range; a middle of 0 counts as no error in percent.
     """
-    e, mid = F.col(estimate), (F.col("low") + F.col("high")) / 2
+    e, mid = F.col("e"), (F.col("low") + F.col("high")) / 2
     share = F.when(mid > 0, (e - mid) / mid).otherwise(0.0)
     inside = e.between(F.col("low"), F.col("high"))
-    return rows.where(e.isNotNull()).groupBy(*by).agg(
+    rows = rows.select(*by, F.col(estimate).alias("e"), "low", "high").where(e.isNotNull())
+    rows = checkpointed(rows.select(*by, share.alias("share"), F.abs(e - mid).alias("off"), inside.alias("inside")).withColumn("ape", F.abs("share") * 100))
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
-        (F.avg(F.abs(share)) * 100).alias("mape"),
-        (F.median(F.abs(share)) * 100).alias("median_ape"),
-        F.avg(F.abs(e - mid)).alias("mae"),
-        F.count_if(inside).alias("in_range"),
-        (F.count_if(inside) / F.count("*") * 100).alias("in_range_percent"),
-        (F.avg(share) * 100).alias("bias"),
+        F.avg("ape").alias("mape"),
+        F.avg("off").alias("mae"),
+        F.count_if("inside").alias("in_range"),
+        (F.count_if("inside") / F.count("*") * 100).alias("in_range_percent"),
+        (F.avg("share") * 100).alias("bias"),
     )
+    return with_percentiles(sums, rows, by, "ape", {"median_ape": 0.5})
 
 
 def head_to_head(rows: DataFrame, a: str = "est_a", b: str = "est_b") -> DataFrame:
