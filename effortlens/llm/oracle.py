@@ -73,3 +73,108 @@ FROM d LEFT JOIN k USING (doc_id)
 
 #: Both operators that remove repeated passages keep and remove the same words.
 ORACLE["op3_suffix_dedup"] = ORACLE["op7_substring_dedup"]
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Every part against every entry, once a round; squared distances of whole numbers, exact below 2^53."""
+    distance = "list_inner_product(p.x, p.x) + list_inner_product(b.c, b.c) - 2 * list_inner_product(p.x, b.c)"
+    steps = [
+        """
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id ASC NULLS LAST, v) AS r, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))),
+p AS MATERIALIZED (
+  SELECT r, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM kept, unnest([0, 1, 2, 3]) AS u(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 256)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.r, p.part, b.entry, CAST({distance} AS BIGINT) AS d FROM p JOIN b{k} b USING (part)) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(s.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(floor(total / n) ORDER BY k) AS c FROM (
+      SELECT part, entry, k, sum(x) AS total, count(*) AS n
+      FROM (SELECT a.part, a.entry, unnest(p.x) AS x, unnest(range(len(p.x))) AS k FROM a{k} a JOIN p USING (r, part)) GROUP BY part, entry, k)
+    GROUP BY part, entry) s ON s.part = b.part AND s.entry = b.entry)""")
+    return f"""
+WITH {",".join(steps)},
+book AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(c) AS v, unnest(range(len(c))) AS k FROM b{rounds})),
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), book
+"""
+
+
+def _spot_signatures() -> str:
+    from effortlens.llm.spotsigs import ANCHORS
+
+    common = ", ".join(f"'{w}'" for w in sorted(ANCHORS))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, '')) AS n FROM documents),
+o AS (
+  SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (
+  SELECT doc_id, n, 0 AS kind, text FROM o
+  UNION ALL SELECT doc_id, n, 1, substr(text, 1, n - n // 3) || substr(after, 1, n // 3) FROM o
+  UNION ALL SELECT doc_id, n, 2, after FROM o),
+w AS (SELECT doc_id, n, kind, text, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM e),
+c AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({common})) AS p FROM w),
+s AS (
+  SELECT *, flatten(list_transform(range(1, len(p)), lambda k:
+    list_transform(CASE WHEN k > 8 AND p[k] - p[k - 8] = 8 THEN [p[k] - 1] ELSE range(CASE WHEN k = 1 THEN 1 ELSE p[k - 1] + 1 END, p[k]) END, lambda i: substr(md5(concat_ws(' ', w[i], w[p[k]], w[p[k + 1]])), 1, 12)))) AS chains
+  FROM c),
+f AS (
+  SELECT doc_id, n, kind, text, list_sort(list_distinct(CASE WHEN len(chains) > 0 THEN chains WHEN len(w) > 0
+    THEN list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: substr(md5(array_to_string(w[i:i + 2], ' ')), 1, 12)) ELSE [] END)) AS spots
+  FROM s),
+g AS (
+  SELECT a.doc_id, a.n, a.spots AS own, b.spots AS edited, b.text AS edited_text, c.spots AS next
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.kind = 1 JOIN f c ON a.doc_id = c.doc_id AND c.kind = 2 WHERE a.kind = 0),
+j AS (SELECT *, len(list_intersect(own, edited)) AS ne, len(list_intersect(own, next)) AS nn FROM g)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited_text) AS edited_sha256, array_to_string(own, ',') AS fingerprint,
+  array_to_string(edited, ',') AS edited_fingerprint,
+  CASE WHEN len(own) + len(edited) = 0 THEN 1.0 ELSE CAST(ne AS DOUBLE) / (len(own) + len(edited) - ne) END AS near_edited,
+  CASE WHEN len(own) + len(next) = 0 THEN 1.0 ELSE CAST(nn AS DOUBLE) / (len(own) + len(next) - nn) END AS near_next
+FROM j
+"""
+
+
+ORACLE["op11_vector_codes"] = _vector_codes()
+ORACLE["op12_spot_signatures"] = _spot_signatures()
+#: Words that are one edit apart share what one deletion leaves of both, at the same place, or of the longer.
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY doc_id, run),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM runs, tab),
+v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, len(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT del.word, v.word FROM del JOIN v ON del.rest = v.word
+  UNION SELECT v.word, del.word FROM del JOIN v ON del.rest = v.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near.other, (-v.n, near.other)) AS form, max(v.n) AS form_n FROM near JOIN v ON near.other = v.word GROUP BY near.word),
+t AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM t UNION ALL SELECT path.word, t.form FROM path JOIN t ON path.at = t.word WHERE t.form IS NOT NULL)
+SELECT t.word, t.form, path.at AS root, t.n, CAST(t.n_near AS BIGINT) AS n_near, CAST(t.form_n AS BIGINT) AS form_n
+FROM t JOIN path USING (word) JOIN t AS top ON top.word = path.at WHERE top.form IS NULL
+"""

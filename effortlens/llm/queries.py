@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effortlens.llm import decontaminate, jaccard, lines, mixing, pages, passages, quality, substrings, tokencount, tokenfile
+from effortlens.llm import decontaminate, jaccard, lines, mixing, pages, passages, quality, spelling, spotsigs, substrings, tokencount, tokenfile, vectorcodes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(_read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.encode(_read(spark, sf_dir, "embeddings"))
+    return vectorcodes.label_errors(coded).select(
+        F.col("id").alias("vec_id"),
+        vectorcodes.hex_code(F.col("code")).alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.lit(vectorcodes.book_digits(books)), 256).alias("codebooks_sha256"),
+    )
+
+
+def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edited(_read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.array_join("spots", ",").alias("fingerprint"),
+        F.array_join("edited_spots", ",").alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        spotsigs.likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"), spelling.DROP_EVERY)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -86,4 +114,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spot_signatures": op12_spot_signatures,
+    "op13_spelling_variants": op13_spelling_variants,
 }
