@@ -7,19 +7,16 @@ correct, this one keeps frequent grams out of the prefixes. Two sets of Jaccard
 more share a gram within the first n - ceil(t n) + 1 of both orders. Prefix grams that occur once
 are dropped by an aggregate before anything is joined.
 
-The rest meet by gram. Emitting all pairs of a large group of near copies would be quadratic, so
-nodes are first paired with one centre per gram, verified, and merged into components; grams all of
-whose nodes are in one component are then done. The centre is the node with the fewest rare grams in
-front, which is the one nearest to what its group was copied from: where a node is similar to any
-other of its group, it is similar to that centre, but for edits that several copies share. The
-remaining pairs, those between different components, are emitted under the length and positional
-filters, each verified once, with the suffix filter before the sets are intersected. Pairs inside a
-component cannot change it, so components are exact.
+The rest meet by gram, in ``links``: first each node with one centre per gram, then, between the
+components so found, only sets whose sizes and places of the gram leave a similarity of t possible.
+Each pair is verified once, with the suffix filter before the sets are intersected. Components are
+exact, and neither near copies nor texts of one template are compared in all pairs.
 
 Defined cases: words are split at ASCII white space after lower-casing A-Z; a text of fewer than
 ``width`` words is one gram, its whole sequence; a text without words and a null text are linked
 with nothing; rows of equal id are rows of their own; a null id takes part in links but is never a
-component id unless the component has no other; an empty table gives an empty result.
+component id unless the component has no other; texts of any length are hashed in blocks; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effortlens.llm import wordhash
-from effortlens.llm.components import connected_components
+from effortlens.llm.links import linked, relabelled
 from effortlens.llm.storage import stored
 
 WIDTH = 5
@@ -42,8 +39,6 @@ PERCENT = 80
 #: Counters of the frequency sketch (4 bytes each) and how many of them travel in one row.
 SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 16
-#: Rounds of one centre per gram before the pairs that are left are emitted.
-STAR_ROUNDS = 1
 #: Type of a node id, a digest of 128 bits; sets of equal digest are one node.
 NODE = "binary"
 
@@ -235,17 +230,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     return with_b.select("a", "b", "za", "zb").mapInArrow(_verified(width, percent), f"a {NODE}, b {NODE}")
 
 
-def _may_be_similar(n: str, pos: str, m: str, at: str, percent: int):
-    """Length and positional filters for the first gram that two nodes share."""
-    length = (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
-    rest = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
-    return length & ((100 + percent) * rest >= percent * (F.col(n) + F.col(m)))
-
-
-def _ordered_pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows id, n, node; nodes node, label): nodes of one label are linked, nodes not listed are alone."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -269,66 +253,14 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # equal sets are made one before they are shuffled: a set may have any number of copies
     sets = stored(packed.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi"), "sets")
 
-    labels = None
-    for number in range(STAR_ROUNDS + 1):
-        now = shared.withColumn("label", F.col("node")) if labels is None else _relabelled(shared, labels)
-        open_grams = now.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("gram")
-        now = stored(now.join(open_grams, "gram", "left_semi"), "open")
-        if now.isEmpty():
-            break
-        pairs = _star_pairs(now, number, percent) if number < STAR_ROUNDS else _all_pairs(now, percent)
-        links = _similar(pairs.distinct(), sets, width, percent)
-        if labels is not None:
-            links = _lifted(links, labels)
-        merged = connected_components(links)
-        labels = merged if labels is None else stored(_merged(labels, merged), "labels")
-    if labels is None:
-        labels = members.sparkSession.createDataFrame([], f"node {NODE}, label {NODE}")
+    labels = linked(shared, lambda pairs: _similar(pairs, sets, width, percent), percent)
     return members, labels
 
 
-def _relabelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _star_pairs(now: DataFrame, number: int, percent: int) -> DataFrame:
-    """Each node with the centre of its gram; further rounds break ties in another order."""
-    order = F.struct("lead", -F.col("n_shared"), F.xxhash64(F.lit(number), "node"))
-    centre = now.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label")).alias("c"))
-    centre = centre.select("gram", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "pos", "label")])
-    met = now.join(centre, "gram").where((F.col("label") != F.col("c_label")) & _may_be_similar("n", "pos", "c_n", "c_pos", percent))
-    return met.select(*_ordered_pair("node", "c_node"))
-
-
-def _all_pairs(now: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a gram and pass the filters."""
-    other = now.select("gram", *[F.col(x).alias(f"c_{x}") for x in ("node", "n", "pos", "label")])
-    met = now.join(other, "gram").where(
-        (F.col("node") < F.col("c_node")) & (F.col("label") != F.col("c_label")) & _may_be_similar("n", "pos", "c_n", "c_pos", percent)
-    )
-    return met.select(*_ordered_pair("node", "c_node"))
-
-
-def _lifted(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between nodes as links between the components they are in so far."""
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    up = links.join(a, "a", "left").join(b, "b", "left")
-    return up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-
-
-def _merged(labels: DataFrame, merged: DataFrame) -> DataFrame:
-    """Labels after components have been merged; nodes that were alone so far may come in."""
-    up = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    moved = labels.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    fresh = merged.join(labels.select("node"), "node", "left_anti")
-    return moved.union(fresh.select("node", "label"))
-
-
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: id, n_shingles, component_id (smallest id reachable by links)."""
     members, labels = link_components(docs, width, percent, id_col, text_col)
-    marked = _relabelled(members, labels)
+    marked = relabelled(members, labels)
     smallest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     found = marked.join(smallest, (marked["label"] == smallest["label"]) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
