@@ -9,7 +9,8 @@ the segment, and pairs that meet twice are made one.
 
 A segment that more than ``CROWDED`` words share is not joined: the rest of its words is cut in two
 in the same way, as the edit must lie in the rest, and the words meet on both segments. That goes on
-until no segment is crowded, so no group of words is compared in all pairs and none is capped.
+until no segment is crowded or one letter is left (then a group has a word for each letter at most), so
+no large group of words is compared in all pairs and none is capped.
 
 The corpus is read once: a task counts the words of its texts and sends sums. All else works on the
 vocabulary. A word's form is the commonest of its near words if that is at least ``ratio`` times as
@@ -132,7 +133,7 @@ def near_pairs(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
     sides, found = {0: start, 1: start}, []
     while True:
         index, probes = stored(_segments(sides[0], 0), "segments"), stored(_segments(sides[1], 1), "probes")
-        many = stored(index.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
+        many = stored(index.where(F.char_length("rest") > 1).groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
         few = index.join(many, "key", "left_anti")
         found += [_met(few, index, 0), _met(few, probes, 1)]
         if many.isEmpty():
