@@ -6,6 +6,8 @@ import html
 import re
 
 KEEP, DROP, OPEN = 1, 2, 0
+#: Of elements inside a line: they are left out of it and do not end it.
+_LEFT_OUT = 3
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select"
 _ENDS = {raw: re.compile(rf"</{raw}\s*>", re.I) for raw in (*_RAW.split("|"), "title")}
@@ -17,7 +19,10 @@ _TOKEN = re.compile(
 )
 _MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+# Names that tell what a page or block has or is, not what it is for: has-sidebar, no-sidebar, cookie-consent-open, comments-closed.
+_STATE = re.compile(r"(?:has|is|no|not|with|without)(?=[-_A-Z]).*|.*(?:[-_]|(?<=[a-z])(?=[A-Z]))(?:open|opened|closed|enabled|disabled|active|visible|shown|on|off)", re.S)
+_ROOT = re.compile(r"<main\b|<article\b", re.I)
 
 # Elements that end a line of text, and of those the ones that nest.
 _NESTING = frozenset(
@@ -38,25 +43,61 @@ _DROP_WORDS = frozenset(
 )
 
 
-def _dropped(tag: str, rest: str, inside: bool) -> bool:
-    """Whether an element is boilerplate; ``inside``: it stands in the article."""
-    if tag in _DROP_TAGS or (tag == "header" and not inside):
-        return True
-    if "=" not in rest:
-        return bool(rest and _HIDDEN.search(rest))
-    for found in _MARKS.findall(rest):
-        words = set(_SPLIT.split(next(filter(None, found), "").lower()))
-        if words & _DROP_WORDS or ("header" in words and not inside and tag != "h1"):
-            return True
-    return bool(_HIDDEN.search(rest))
+def _names(rest: str, inside: bool, tag: str) -> int:
+    """2 if a class, id or role is a word of boilerplate, 1 if a part of one is, else 0."""
+    found = 0
+    for mark in _MARKS.findall(rest):
+        for name in next(filter(None, mark), "").split():
+            if _STATE.fullmatch(name):
+                continue
+            top = not inside and tag != "h1"
+            if name.lower() in _DROP_WORDS or (top and name.lower() == "header"):
+                return 2
+            words = {w.lower() for w in _PARTS.findall(name)}
+            if words & _DROP_WORDS or (top and "header" in words):
+                found = 1
+    return found
+
+
+def _judged(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
+    """(whether an element is boilerplate whatever stands in it, how far its names say that it is: see ``_names``).
+
+    ``inside``: it stands in the article. The page, its body and <main> are never boilerplate by name,
+    an <article> only by a whole word, as lists of comments and teasers are made of articles too.
+    """
+    if tag in _DROP_TAGS or (tag == "header" and not inside) or (rest and _HIDDEN.search(rest)):
+        return tag not in ("html", "body"), 0
+    if "=" not in rest or tag in ("html", "body", "main"):
+        return False, 0
+    named = _names(rest, inside, tag)
+    return False, 0 if tag == "article" and named < 2 else named
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, KEEP | DROP | OPEN) of each line of text, in page order."""
+    """(text, KEEP | DROP | OPEN) of each line of text, in page order.
+
+    A name drops no element in which the content of the page turns out to stand: the first <main>, or
+    else the first <article>; a name of which only a part speaks drops none in which any of them does.
+    Such an element is found when its content begins, and the page is then read again.
+    """
+    roots = list(_ROOT.finditer(page))
+    root = next((m.start() for m in roots if m[0].lower() == "<main"), roots[0].start() if roots else -1)
+    spared: frozenset[int] = frozenset()
+    while True:
+        out, more = _read(page, root, spared)
+        if more <= spared:
+            return out
+        spared |= more
+
+
+def _read(page: str, root: int, spared: frozenset[int]) -> tuple[list[tuple[str, int]], set[int]]:
+    """(lines, starts of elements dropped by name in which content stands); those of ``spared`` are not dropped."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
-    n_drop = n_keep = 0
+    by_name: dict[int, tuple[int, int]] = {}  # place in the stack -> start and how far the name speaks
+    wrong: set[int] = set()
+    n_drop = n_keep = n_left_out = 0
     at = 0
     in_head = False
     endless: set[str] = set()  # names without an end tag from here on
@@ -78,19 +119,28 @@ def lines(page: str) -> list[tuple[str, int]]:
             endless.add(name)
         return found and found.end()
 
+    def close(k: int) -> None:
+        nonlocal n_drop, n_keep, n_left_out
+        for place in range(k, len(stack)):
+            kind = stack[place][1]
+            n_drop -= kind == DROP
+            n_keep -= kind == KEEP
+            n_left_out -= kind == _LEFT_OUT
+            by_name.pop(place, None)
+        del stack[k:]
+
     def leave_head() -> None:
-        nonlocal in_head, n_drop
+        nonlocal in_head
         in_head = False
         flush()
-        k = next((k for k, (name, _) in enumerate(stack) if name == "head"), len(stack))
-        n_drop -= sum(kind == DROP for _, kind in stack[k:])
-        del stack[k:]
+        close(next((k for k, (name, _) in enumerate(stack) if name == "head"), len(stack)))
 
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             if in_head and stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
                 leave_head()
-            parts.append(page[at : m.start()])
+            if not n_left_out:
+                parts.append(page[at : m.start()])
         at = m.end()
         raw, tag = m["raw"], m["tag"]
         if raw:
@@ -128,26 +178,36 @@ def lines(page: str) -> list[tuple[str, int]]:
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag not in _BLOCK:
+                    if any(kind == DROP for _, kind in stack[k:]):
                         flush()
-                    n_drop -= sum(kind == DROP for _, kind in stack[k:])
-                    n_keep -= sum(kind == KEEP for _, kind in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if tag in _BLOCK and stack and stack[-1][0] == "p":
-            n_drop -= stack.pop()[1] == DROP
+            close(len(stack) - 1)
         rest = m["rest"]
-        kind = DROP if _dropped(tag, rest, n_keep > 0) else KEEP if tag in ("article", "main") else OPEN
-        if (tag in _NESTING or kind == DROP) and not rest.endswith("/") and tag not in _GAP and tag not in ("hr", "input", "link", "meta"):
-            if kind == DROP and tag not in _BLOCK:
-                flush()
+        surely, named = _judged(tag, rest, n_keep > 0)
+        if m.start() in spared:
+            named = 0
+        kind = DROP if surely or named else KEEP if tag in ("article", "main") else OPEN
+        if kind == DROP and tag not in _BLOCK:
+            kind = _LEFT_OUT
+        if tag in ("article", "main"):
+            first = m.start() == root
+            wrong.update(start for start, how in by_name.values() if first or how == 1)
+            if first and named:
+                wrong.add(m.start())
+        if (tag in _NESTING or kind in (DROP, _LEFT_OUT)) and not rest.endswith("/") and tag not in _GAP and tag not in ("hr", "input", "link", "meta"):
+            if named and not surely:
+                by_name[len(stack)] = (m.start(), named)
             stack.append((tag, kind))
             n_drop += kind == DROP
             n_keep += kind == KEEP
+            n_left_out += kind == _LEFT_OUT
     if at < len(page):
         if in_head and stack and stack[-1][0] == "head" and not page[at:].isspace():
             leave_head()
-        parts.append(page[at:])
+        if not n_left_out:
+            parts.append(page[at:])
     flush()
-    return out
+    return out, wrong
