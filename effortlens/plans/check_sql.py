@@ -11,6 +11,19 @@ MEMBERS = """members AS (SELECT s_nationkey % 5 AS team, 'dev' || s_suppkey || '
 JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_orderkey % 97 AS order_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE 'PENDING' END AS status,
   CAST(o_orderdate AS DATE) AS created, CAST(floor(o_totalprice) AS BIGINT) % 1000 AS reserved, CAST(floor(o_totalprice) AS BIGINT) % 700 AS consumed,
   CAST(floor(o_totalprice) AS BIGINT) % 150 AS released, o_orderkey % 4 AS retries, o_custkey AS user_id FROM orders)"""
+LEDGER = """entries AS (SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS created, o_orderkey * 10 + k AS entry_id, ['PURCHASE', 'RENEWAL', 'RESERVE', 'DEBIT', 'RELEASE'][k + 1] AS kind,
+  [p % 400, p % 600, p % 1000, least(p % 700, p % 1000), greatest(p % 1000 - least(p % 700, p % 1000) - p % 150, 0)][k + 1] AS amount,
+  CASE WHEN k = 1 THEN CAST(o_orderdate AS DATE) + 365 END AS expires
+  FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders), unnest([0, 1, 2, 3, 4]) AS u(k) WHERE (k <> 0 OR o_orderkey % 3 = 0) AND (k <> 1 OR o_orderkey % 5 = 0)),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created, entry_id) AS rn FROM entries),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS entry_id, CAST(NULL AS DATE) AS created, '' AS kind, CAST(0 AS BIGINT) AS amount, CAST(0 AS BIGINT) AS fs, CAST(0 AS BIGINT) AS fp,
+    CAST(0 AS BIGINT) AS expired, CAST(0 AS BIGINT) AS sub, CAST(0 AS BIGINT) AS perm, CAST(0 AS BIGINT) AS res, CAST(NULL AS DATE) AS until FROM entries
+  UNION ALL SELECT user_id, rn, entry_id, created, kind, amount, fs, fp, expired, CASE kind WHEN 'RENEWAL' THEN amount ELSE there - fs END,
+    CASE kind WHEN 'PURCHASE' THEN perm + amount ELSE perm - fp END,
+    CASE kind WHEN 'RESERVE' THEN res + amount WHEN 'RELEASE' THEN greatest(res - amount, 0) WHEN 'DEBIT' THEN greatest(res - fs - fp, 0) ELSE res END, coalesce(expires, until)
+  FROM (SELECT *, CASE WHEN kind = 'DEBIT' THEN least(amount - fs, perm) ELSE 0 END AS fp, sub - there AS expired FROM (
+    SELECT *, CASE WHEN kind = 'DEBIT' THEN least(amount, there) ELSE 0 END AS fs FROM (
+      SELECT e.*, r.sub, r.perm, r.res, r.until, CASE WHEN e.kind = 'RENEWAL' OR r.until <= e.created THEN 0 ELSE r.sub END AS there FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))))"""
 EVENTS = """ev AS (SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS second, user_id AS job_id, event_type AS code, value, props AS payload FROM events)"""
 TRUTH = """truth AS (SELECT md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS sha, 'expert' || a AS author,
   CAST(floor(l_quantity * 10 + 0.5) + (l_partkey * a) % 90 AS BIGINT) AS cents FROM lineitem, unnest([1, 2, 3]) AS u(a) WHERE l_orderkey % 11 = 0)"""
@@ -18,3 +31,7 @@ TRUTH = """truth AS (SELECT md5(concat_ws(':', l_orderkey, l_linenumber, l_partk
 
 def with_frames(sql: str, *frames: str) -> str:
     return f"WITH {', '.join(frames)} {sql}"
+
+
+def with_recursive_frames(sql: str, *frames: str) -> str:
+    return f"WITH RECURSIVE {', '.join(frames)} {sql}"

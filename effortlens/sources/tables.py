@@ -70,6 +70,29 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, entry_id, created, kind, amount, expires: what every order does to the wallets of its customer."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long")
+    created, reserved = F.to_date("o_orderdate"), price % 1000
+    consumed = F.least(price % 700, reserved)
+
+    def entry(number: int, kind: str, amount: Column, given: Column, expires: Column = F.lit(None)) -> Column:
+        fields = (key * 10 + number).alias("entry_id"), F.lit(kind).alias("kind"), amount.alias("amount"), expires.cast("date").alias("expires")
+        return F.when(given, F.struct(*fields))
+
+    entries = F.array_compact(
+        F.array(
+            entry(0, "PURCHASE", price % 400, key % 3 == 0),
+            entry(1, "RENEWAL", price % 600, key % 5 == 0, F.date_add(created, 365)),
+            entry(2, "RESERVE", reserved, F.lit(True)),
+            entry(3, "DEBIT", consumed, F.lit(True)),
+            entry(4, "RELEASE", F.greatest(reserved - consumed - price % 150, F.lit(0)), F.lit(True)),
+        )
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), created.alias("created"), F.explode(entries).alias("e"))
+    return rows.select("user_id", "created", "e.*")
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, second (from the epoch), job_id, code, value, payload."""
     return table(spark, sf_dir, "events").select(
