@@ -13,28 +13,6 @@ from effortlens.functions.scalars import email_domain, normal_name
 from effortlens.storage import checkpointed
 
 
-def match_pairs(people: DataFrame, domain_limit: int = 3) -> DataFrame:
-    """people (id, name, email) -> a, b, confidence: HIGH equal names, MEDIUM same domain, last word and names within ``domain_limit`` edits.
-
-    Two of the reference's five rules, the second one narrowed, as the SQL of dup_pairs has them; all five: ``find_matches``.
-
-    Pairs meet on a blocking key, never in a cross join: the name, or domain and last word of the
-    name, so that edit distance is taken inside small blocks.
-    """
-    rows = people.select("id", normal_name(F.col("name")).alias("name"), email_domain(F.col("email")).alias("domain"))
-    rows = rows.withColumn("last", F.element_at(F.split("name", " "), -1))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id"))).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(2).alias("rank")
-    )
-    near = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.id") < F.col("b.id"))).where(
-        F.levenshtein("a.name", "b.name", domain_limit).between(0, domain_limit)
-    )
-    near = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(1).alias("rank"))
-    best = same.unionByName(near).groupBy("a", "b").agg(F.max("rank").alias("rank"))
-    return best.select("a", "b", F.when(F.col("rank") == 2, "HIGH").otherwise("MEDIUM").alias("confidence"))
-
-
 PUBLIC_DOMAINS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "mail.ru", "yandex.ru", "users.noreply.github.com", "noreply.github.com")
 #: Names up to this length meet by deletion variants, longer ones by an unedited piece.
 _SHORT = 15

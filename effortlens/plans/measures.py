@@ -6,33 +6,25 @@ from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
 from effortlens.operators import accuracy, billing, identity, scope, spread, timeline
-from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, TRUTH, with_frames
-from effortlens.sources.tables import aliases, all_ground_truth, commits, ground_truth, job_events, jobs, table
+from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, PLACED, TRUTH, with_frames, with_recursive_frames
+from effortlens.sources.tables import aliases, commits, ground_truth, job_events, jobs, table
 from effortlens.storage import checkpointed
 
 _BASE = "job_id IS NULL AND method <> 'error'"
-_DAYS = f"days AS (SELECT email, day, CAST(sum(least(cents, 500)) AS BIGINT) AS cents FROM commits WHERE {_BASE} GROUP BY email, day)"
+_ROWS = """erows AS (SELECT email, day, cents AS placed, 0 AS overhead FROM effort UNION ALL SELECT email, day, 0, cents - coalesce(p, 0) FROM base
+  LEFT JOIN (SELECT email, entry_day AS day, sha, sum(cents) AS p FROM effort GROUP BY ALL) USING (email, day, sha) WHERE cents - coalesce(p, 0) > 0)"""
 
 
 def _base(spark, d):
     return commits(spark, d).where(scope.base())
 
 
-def _days(spark, d):
-    """Each commit on its own day, at most the daily cap a commit: nothing is spread. SQL checks the buckets on it; the queries ``..._placed`` have spread days."""
-    return _base(spark, d).groupBy("email", "day").agg(F.sum(F.least("cents", F.lit(500))).alias("cents"))
-
-
 def _placed(spark, d):
     """email, day, cents placed by spreading: at most the daily cap on each day."""
     return spread.placed_days(_base(spark, d)).groupBy("email", "day").agg(F.sum("cents").alias("cents"))
 
 
-def _effort_timeline(unit):
-    return lambda spark, d: timeline.effort_buckets(spread.effort_rows(_base(spark, d)), _base(spark, d), unit)
-
-
-def _placed_ratios(spark, d):
+def _ratios(spark, d):
     percent = F.floor(F.col("ratio_raw") * 100 + 0.5) / 100
     return spread.developer_metrics(_base(spark, d)).select("email", percent.alias("percent"), scalars.colour(percent).alias("colour"))
 
@@ -42,7 +34,7 @@ def _norm(means):
     return accuracy.percentiles(checkpointed(means.select("mean")), [], "mean", {"norm": 0.5}).select(_r("norm", 2).alias("norm"))
 
 
-def _placed_norm(spark, d):
+def _median_norm(spark, d):
     means = spread.developer_metrics(_base(spark, d)).where("work_days > 0 AND total_cents > 0").select((F.col("total_cents") / F.col("work_days")).alias("mean"))
     return _norm(means)
 
@@ -54,14 +46,14 @@ def _timeline(unit):
         "quarter": "year(day) || '-Q' || quarter(day)",
         "year": "CAST(year(day) AS VARCHAR)",
     }[unit]
-    sql = f"SELECT {key} AS period, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS developer_days, count(DISTINCT day) AS days FROM days GROUP BY 1"
-    return lambda spark, d: timeline.buckets(_days(spark, d), unit), with_frames(sql, COMMITS, _DAYS)
-
-
-def _ratios(spark, d):
-    g = _days(spark, d).groupBy("email").agg(F.sum("cents").alias("cents"), F.count("*").alias("days"))
-    percent = F.floor(scalars.ratio(F.col("cents"), F.col("days")) * 100 + 0.5) / 100
-    return g.select("email", percent.alias("percent"), scalars.colour(percent).alias("colour"))
+    whole = lambda x, n: f"CAST(floor(({x}) / ({n}) + 0.5) AS BIGINT)"
+    sql = f"""SELECT *, {whole("placed_cents", "developer_days")} AS avg_placed_by_active, {whole("overhead_cents", "developer_days")} AS avg_overhead_by_active,
+      {whole("total_cents", "developer_days")} AS avg_by_active, {whole("total_cents", "days * selected")} AS avg_by_all FROM (
+      SELECT period, CAST(sum(p) AS BIGINT) AS placed_cents, CAST(sum(o) AS BIGINT) AS overhead_cents, count(*) AS developer_days, count(DISTINCT day) AS days, count(DISTINCT email) AS active,
+        (SELECT count(DISTINCT email) FROM base) AS selected, CAST(sum(p + o) AS BIGINT) AS total_cents
+      FROM (SELECT {key} AS period, email, day, sum(placed) AS p, sum(overhead) AS o FROM erows GROUP BY ALL) GROUP BY period)"""
+    run = lambda spark, d: timeline.effort_buckets(spread.effort_rows(_base(spark, d)), _base(spark, d), unit)
+    return run, with_recursive_frames(sql, COMMITS, PLACED, _ROWS)
 
 
 def _workdays(spark, d):
@@ -69,30 +61,6 @@ def _workdays(spark, d):
     return g.select("email", scalars.weekdays_between(F.col("a"), F.col("b")).alias("weekdays"))
 
 
-def _fte(spark, d):
-    g = _days(spark, d).groupBy("email").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.count_if(F.weekday("day") >= 5).alias("extra"))
-    return g.select("email", (scalars.weekdays_between(F.col("a"), F.col("b")) + F.col("extra")).alias("fte_days"))
-
-
-def _median_norm(spark, d):
-    g = _days(spark, d).groupBy("email").agg((F.sum("cents") / F.count("*")).alias("mean")).where("mean > 0")
-    return _norm(g)
-
-
-def _pairs(spark, d):
-    people = table(spark, d, "customer").where("c_nationkey < 5")
-    word = F.element_at(F.array(*[F.lit(x) for x in ("ann", "anne", "ben", "bend", "cora", "dora", "finn")]), (F.col("c_custkey") % 7 + 1).cast("int"))
-    last = F.concat(F.lit("x"), F.floor(F.col("c_custkey") / 20).cast("string"))
-    domain = F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit("@Firm"), F.col("c_nationkey").cast("string"), F.lit(".example"))
-    return people.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", word, last).alias("name"), domain.alias("email"))
-
-
-_PEOPLE = """people AS (SELECT c_custkey AS id, ['ann','anne','ben','bend','cora','dora','finn'][c_custkey % 7 + 1] || ' x' || (c_custkey // 20) AS name,
-  'x' || (c_custkey // 20) AS last, 'firm' || c_nationkey || '.example' AS domain FROM customer WHERE c_nationkey < 5)"""
-_MATCHES = """matches AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.name = b.name THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM people a JOIN people b ON a.id < b.id
-  AND (a.name = b.name OR (a.domain = b.domain AND a.last = b.last AND levenshtein(a.name, b.name) <= 3)))"""
-
-
 def _everyone(spark, d):
     """Every customer as a developer: name, sometimes a login, e-mail; two to three share a name, some names are misspelt or begin with an initial."""
     key = F.col("c_custkey")
@@ -105,7 +73,16 @@ def _everyone(spark, d):
     return table(spark, d, "customer").select(key.alias("id"), F.concat_ws(" ", word, last).alias("name"), login.alias("login"), email.alias("email"))
 
 
-def _match_chain_all(spark, d):
+_PEOPLE = """people AS (SELECT id, name, string_split(name, ' ')[1] AS first, string_split(name, ' ')[-1] AS last, login, email, string_split(email, '@')[2] AS domain FROM (
+  SELECT k AS id, ['ann', 'anne', 'ben', 'b.', 'cora', 'dora', 'finn'][k % 7 + 1] || ' ' || CASE WHEN k % 11 = 0 THEN substr(md5(CAST(k // 20 AS VARCHAR)), 1, 7) || 'z' ELSE substr(md5(CAST(k // 20 AS VARCHAR)), 1, 8) END AS name,
+    CASE WHEN k % 5 = 0 THEN 'u' || (k // 13) END AS login, 'p' || (k // 2) || '@' || CASE WHEN k % 3 = 0 THEN 'gmail.com' ELSE 'firm' || n || '.example' END AS email FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer)))"""
+_MATCHES = """ranked AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.name = b.name THEN 5 WHEN a.login = b.login THEN 4
+    WHEN a.last = b.last AND a.first[1] = b.first[1] AND a.first <> b.first AND (a.first = 'b.' OR b.first = 'b.') THEN 3
+    WHEN a.domain = b.domain AND a.domain <> 'gmail.com' AND levenshtein(a.name, b.name) <= 3 THEN 2 WHEN levenshtein(a.name, b.name) <= 2 THEN 1 END AS rank FROM people a JOIN people b ON a.id < b.id AND a.email <> b.email),
+  matches AS (SELECT a, b, ['LOW', 'MEDIUM', 'MEDIUM', 'HIGH', 'HIGH'][rank] AS confidence, ['spelling', 'domain', 'initial', 'login', 'name'][rank] AS reason FROM ranked WHERE rank IS NOT NULL)"""
+
+
+def _match_chain(spark, d):
     """Every supplier can be found; keys beyond the suppliers, and absent ones, miss."""
     key = F.col("c_custkey")
     provider = F.when(key % 4 != 0, key * 3)
@@ -114,16 +91,8 @@ def _match_chain_all(spark, d):
     return identity.first_match(wanted, [("provider", s.select("provider", "found")), ("login", s.select("login", "found"))]).select("c_custkey", "found", "found_by")
 
 
-def _match_chain(spark, d):
-    wanted = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("s"), (F.col("c_custkey") % 40).cast("string")).alias("login"), (F.col("c_custkey") % 30).alias("provider"))
-    s = table(spark, d, "supplier")
-    by_id = s.where("s_suppkey < 10").select(F.col("s_suppkey").alias("provider"), F.col("s_suppkey").alias("found"))
-    by_login = s.where("s_suppkey < 25").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("login"), F.col("s_suppkey").alias("found"))
-    return identity.first_match(wanted, [("provider", by_id), ("login", by_login)]).select("c_custkey", "found", "found_by")
-
-
-def _est(spark, d, source=ground_truth):
-    truth = accuracy.consensus(source(spark, d)).withColumnRenamed("cents", "truth")
+def _est(spark, d):
+    truth = accuracy.consensus(ground_truth(spark, d)).withColumnRenamed("cents", "truth")
     return commits(spark, d).join(truth, "sha").select("model", "category", F.col("cents").cast("double").alias("estimate"), "truth", "sha")
 
 
@@ -137,9 +106,9 @@ def _author_stats(truth):
     return accuracy.with_percentiles(sums, truth, ["author"], "cents", {"median_cents": 0.5}).withColumnRenamed("total", "cents")
 
 
-def _errors(by, source=ground_truth):
+def _errors(by):
     def run(spark, d):
-        rows = accuracy.errors(_est(spark, d, source).where(F.col(by).isNotNull()), [by])
+        rows = accuracy.errors(_est(spark, d).where(F.col(by).isNotNull()), [by])
         return rows.select(by, "n", *[_r(c).alias(c) for c in ("mae", "r", "mape", "median_ape")])
 
     rnd = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
@@ -171,57 +140,64 @@ _AS_OF = "DATE '2001-10-20'"
 _as_of = lambda: F.to_date(F.lit("2001-10-20"))
 
 QUERIES = {
-    "developer_metrics": (_developer_metrics, None),
-    "daily_effort": (lambda spark, d: spread.daily_effort(_base(spark, d)), None),
+    "developer_metrics": (
+        _developer_metrics,
+        with_recursive_frames(
+            """SELECT *, CASE WHEN ratio_adjusted IS NULL THEN 'gray' WHEN ratio_adjusted >= 100 THEN 'green' WHEN ratio_adjusted >= 80 THEN 'yellow' ELSE 'red' END AS colour FROM (
+              SELECT email, n_commits, total_cents, placed_cents, total_cents - placed_cents AS overhead_cents, work_days, fte_days, share,
+                CASE WHEN work_days >= 1 THEN CAST(total_cents AS DOUBLE) * 100 / (work_days * 300) END AS ratio_raw,
+                CASE WHEN fte_days >= 1 AND share > 0 THEN CAST(total_cents AS DOUBLE) * 100 / (fte_days * 300) / share END AS ratio_adjusted
+              FROM (SELECT *, CASE WHEN part >= 1 THEN 1.0::DOUBLE ELSE part END AS share FROM pmetrics))""",
+            COMMITS,
+            PLACED,
+        ),
+    ),
+    "daily_effort": (lambda spark, d: spread.daily_effort(_base(spark, d)), with_recursive_frames("SELECT email, day, sha, entry_day, cents FROM effort", COMMITS, PLACED)),
     "timeline_week": _timeline("week"),
     "timeline_month": _timeline("month"),
     "timeline_quarter": _timeline("quarter"),
     "timeline_year": _timeline("year"),
     "placed_grouping_sets": (
-        lambda spark, d: timeline.four_grains(_days(spark, d)),
-        with_frames(
-            """SELECT email, year(day) AS y, month(day) AS m, quarter(day) AS q, CAST(sum(cents) AS BIGINT) AS cents FROM days
+        lambda spark, d: timeline.four_grains(_placed(spark, d)),
+        with_recursive_frames(
+            """SELECT email, year(day) AS y, month(day) AS m, quarter(day) AS q, CAST(sum(cents) AS BIGINT) AS cents FROM pdays
             GROUP BY GROUPING SETS ((email), (email, year(day)), (email, year(day), month(day)), (email, year(day), quarter(day)))""",
             COMMITS,
-            _DAYS,
+            PLACED,
         ),
     ),
     "gap_fill": (
-        lambda spark, d: timeline.filled_gaps(_days(spark, d)),
-        with_frames(
-            """SELECT email, CAST(unnest(gap) AS DATE) AS day FROM (SELECT email, list_filter(generate_series(day + 1, nx - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6) AS gap
-            FROM (SELECT email, day, lead(day) OVER (PARTITION BY email ORDER BY day) AS nx FROM days) WHERE nx - day BETWEEN 2 AND 13) WHERE len(gap) BETWEEN 1 AND 3""",
+        lambda spark, d: timeline.chart_gaps(_placed(spark, d).select("email", "day").union(_base(spark, d).select("email", "day"))),
+        with_recursive_frames(
+            """SELECT email, CAST(unnest(gap) AS DATE) AS day FROM (SELECT email, generate_series(day + 1, nx - 1, INTERVAL 1 DAY) AS gap
+            FROM (SELECT email, day, lead(day) OVER (PARTITION BY email ORDER BY day) AS nx FROM (SELECT email, day FROM pdays UNION SELECT email, day FROM base)) WHERE nx - day BETWEEN 2 AND 13)
+            WHERE len(list_filter(gap, lambda x: isodow(x) < 6)) <= 3""",
             COMMITS,
-            _DAYS,
+            PLACED,
         ),
     ),
     "ghost_ratio": (
         _ratios,
-        with_frames(
-            """SELECT email, percent, CASE WHEN percent >= 100 THEN 'green' WHEN percent >= 80 THEN 'yellow' ELSE 'red' END AS colour FROM
-            (SELECT email, floor(sum(cents) * 100.0::DOUBLE / (count(*) * 300) * 100 + 0.5) / 100 AS percent FROM days GROUP BY email)""",
+        with_recursive_frames(
+            """SELECT email, percent, CASE WHEN percent IS NULL THEN 'gray' WHEN percent >= 100 THEN 'green' WHEN percent >= 80 THEN 'yellow' ELSE 'red' END AS colour FROM
+            (SELECT email, CASE WHEN work_days >= 1 THEN floor(CAST(total_cents AS DOUBLE) * 100 / (work_days * 300) * 100 + 0.5) / 100 END AS percent FROM pmetrics)""",
             COMMITS,
-            _DAYS,
+            PLACED,
         ),
     ),
-    "timeline_week_placed": (_effort_timeline("week"), None),
-    "timeline_month_placed": (_effort_timeline("month"), None),
-    "timeline_quarter_placed": (_effort_timeline("quarter"), None),
-    "timeline_year_placed": (_effort_timeline("year"), None),
-    "grouping_sets_placed": (lambda spark, d: timeline.four_grains(_placed(spark, d)), None),
-    "gap_fill_placed": (lambda spark, d: timeline.chart_gaps(_placed(spark, d).select("email", "day").union(_base(spark, d).select("email", "day"))), None),
-    "ghost_ratio_placed": (_placed_ratios, None),
-    "fte_days_placed": (lambda spark, d: spread.developer_metrics(_base(spark, d)).select("email", "fte_days"), None),
-    "median_norm_placed": (_placed_norm, None),
     "repo_metrics": (lambda spark, d: spread.repo_metrics(commits(spark, d)), None),
-    "period_fte": (lambda spark, d: spread.period_fte(_placed(spark, d), _base(spark, d)), None),
-    "period_fte_days": (
-        lambda spark, d: spread.period_fte(_days(spark, d), _base(spark, d)),
-        with_frames(
-            f"""SELECT email, period, "year", part, CAST(len(list_filter(generate_series(min(day), max(day), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + count(DISTINCT day) FILTER (isodow(day) >= 6) AS BIGINT) AS fte_days
-            FROM (SELECT email, day, unnest(['ALL_TIME', 'YEAR', 'QUARTER', 'MONTH']) AS period, CAST(unnest([NULL, year(day), year(day), year(day)]) AS INT) AS "year",
-              CAST(unnest([NULL, NULL, quarter(day), month(day)]) AS INT) AS part FROM commits WHERE {_BASE}) GROUP BY ALL""",
+    "period_fte": (
+        lambda spark, d: spread.period_fte(_placed(spark, d), _base(spark, d)),
+        with_recursive_frames(
+            """SELECT email, period, "year", part, CAST(len(list_filter(generate_series(first, greatest(last, commit_day), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + extra AS BIGINT) AS fte_days
+            FROM ends WHERE first IS NOT NULL AND commit_day IS NOT NULL""",
             COMMITS,
+            PLACED,
+            "either AS (SELECT 'p' AS kind, email, day FROM pdays UNION ALL SELECT 'c', email, day FROM base)",
+            """grown AS (SELECT kind, email, day, unnest(['ALL_TIME', 'YEAR', 'QUARTER', 'MONTH']) AS period, CAST(unnest([NULL, year(day), year(day), year(day)]) AS INT) AS "year",
+              CAST(unnest([NULL, NULL, quarter(day), month(day)]) AS INT) AS part FROM either)""",
+            """ends AS (SELECT email, period, "year", part, min(day) FILTER (kind = 'p') AS first, max(day) FILTER (kind = 'p') AS last, max(day) FILTER (kind = 'c') AS commit_day,
+              count(*) FILTER (kind = 'p' AND isodow(day) > 5) AS extra FROM grown GROUP BY ALL)""",
         ),
     ),
     "scope_work_days": (
@@ -231,44 +207,30 @@ QUERIES = {
             COMMITS,
         ),
     ),
-    "fte_days": (
-        _fte,
-        with_frames(
-            """SELECT email, len(list_filter(generate_series(min(day), max(day), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + count(*) FILTER (isodow(day) > 5) AS fte_days
-            FROM days GROUP BY email""",
-            COMMITS,
-            _DAYS,
-        ),
-    ),
+    "fte_days": (lambda spark, d: spread.developer_metrics(_base(spark, d)).select("email", "fte_days"), with_recursive_frames("SELECT email, fte_days FROM pmetrics", COMMITS, PLACED)),
     "median_norm": (
         _median_norm,
-        with_frames("SELECT floor(median(m) * 100 + 0.5) / 100 AS norm FROM (SELECT sum(cents) / count(*) AS m FROM days GROUP BY email) WHERE m > 0", COMMITS, _DAYS),
+        with_recursive_frames("SELECT floor(median(CAST(total_cents AS DOUBLE) / work_days) * 100 + 0.5) / 100 AS norm FROM pmetrics WHERE work_days > 0 AND total_cents > 0", COMMITS, PLACED),
     ),
-    "dup_pairs": (lambda spark, d: identity.match_pairs(_pairs(spark, d)), with_frames("SELECT * FROM matches", _PEOPLE, _MATCHES)),
+    "dup_pairs": (lambda spark, d: identity.find_matches(_everyone(spark, d)), f"WITH {_PEOPLE}, {_MATCHES} SELECT a, b, confidence, reason FROM matches"),
     "dup_groups": (
-        lambda spark, d: identity.match_groups(identity.match_pairs(_pairs(spark, d))).select(F.col("id"), F.col("group").alias("group_id")),
-        "WITH RECURSIVE "
-        + ", ".join(
-            (
-                _PEOPLE,
-                _MATCHES,
-                "e AS (SELECT a, b FROM matches UNION SELECT b, a FROM matches)",
-                "reach AS (SELECT a AS id, a AS r FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r)",
-            )
-        )
-        + " SELECT id, min(r) AS group_id FROM reach GROUP BY id",
+        lambda spark, d: identity.match_groups(identity.match_links(_everyone(spark, d))).select(F.col("id"), F.col("group").alias("group_id")),
+        f"""WITH RECURSIVE {_PEOPLE}, {_MATCHES}, e AS (SELECT a, b FROM matches UNION SELECT b, a FROM matches),
+        reach AS (SELECT a AS id, a AS r FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r) SELECT id, min(r) AS group_id FROM reach GROUP BY id""",
     ),
     "match_chain": (
         _match_chain,
         """SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS found, CASE WHEN a.s_suppkey IS NOT NULL THEN 'provider' WHEN b.s_suppkey IS NOT NULL THEN 'login' END AS found_by
-        FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey % 30 AND a.s_suppkey < 10 LEFT JOIN supplier b ON b.s_suppkey = c_custkey % 40 AND b.s_suppkey < 25""",
+        FROM customer LEFT JOIN supplier a ON c_custkey % 4 <> 0 AND a.s_suppkey = c_custkey * 3 LEFT JOIN supplier b ON c_custkey % 6 <> 0 AND b.s_suppkey = c_custkey // 5""",
     ),
-    "developer_matches": (lambda spark, d: identity.find_matches(_everyone(spark, d)), None),
-    "developer_groups": (lambda spark, d: identity.match_groups(identity.match_links(_everyone(spark, d))).select(F.col("id"), F.col("group").alias("group_id")), None),
-    "match_chain_all": (_match_chain_all, None),
     "identity_health": (
-        lambda spark, d: identity.health(aliases(spark, d).withColumn("team", F.crc32("email") % 7), "team").drop("team").groupBy("health").agg(F.sum("resolved").alias("resolved"), F.sum("unresolved").alias("unresolved")),
-        None,
+        lambda spark, d: identity.health(aliases(spark, d).withColumn("team", F.length("email") * 3 + F.ascii(F.substring("email", 4, 1))), "team").drop("team").groupBy("health").agg(F.sum("resolved").alias("resolved"), F.sum("unresolved").alias("unresolved")),
+        with_frames(
+            """SELECT health, CAST(sum(resolved) AS BIGINT) AS resolved, CAST(sum(unresolved) AS BIGINT) AS unresolved FROM (
+              SELECT count(contributor_id) AS resolved, count(*) - count(contributor_id) AS unresolved, CASE WHEN count(*) = count(contributor_id) THEN 'healthy' WHEN count(contributor_id) = 0 THEN 'unresolved' ELSE 'attention' END AS health
+              FROM aliases GROUP BY length(email) * 3 + ascii(substring(email, 4, 1))) GROUP BY health""",
+            ALIASES,
+        ),
     ),
     "email_hash": (
         lambda spark, d: aliases(spark, d).select("email", scalars.email_hash(F.col("email")).alias("hash"), scalars.email_mask(F.col("email")).alias("mask")),
@@ -346,15 +308,11 @@ QUERIES = {
     ),
     "gt_author_stats": (
         lambda spark, d: _author_stats(ground_truth(spark, d)),
-        with_frames("SELECT author, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, median(cents) AS median_cents, sum(cents) / count(*) AS mean_cents FROM truth GROUP BY author", TRUTH),
+        with_frames("SELECT author, count(cents) AS n, CAST(sum(cents) AS BIGINT) AS cents, median(cents) AS median_cents, sum(cents) / count(cents) AS mean_cents FROM truth GROUP BY author", TRUTH),
     ),
     "gt_consensus": (lambda spark, d: accuracy.consensus(ground_truth(spark, d)), with_frames("SELECT sha, median(cents) AS cents FROM truth GROUP BY sha", TRUTH)),
     "run_mae_corr": _errors("model"),
     "accuracy_by_category": _errors("category"),
-    "gt_author_stats_all": (lambda spark, d: _author_stats(all_ground_truth(spark, d)), None),
-    "gt_consensus_all": (lambda spark, d: accuracy.consensus(all_ground_truth(spark, d)), None),
-    "run_mae_corr_all": (_errors("model", all_ground_truth)[0], None),
-    "accuracy_by_category_all": (_errors("category", all_ground_truth)[0], None),
     "sample_percentiles": (
         _percentiles,
         with_frames(

@@ -178,7 +178,7 @@ _SCALARS = f"""SELECT l_orderkey, l_linenumber,
   round(CASE WHEN k >= 100 THEN 0.2 + least((k - 100) / 100.0::DOUBLE, 1) * 0.6 WHEN k >= 80 THEN 0.2 + least((100 - k) / 20.0::DOUBLE, 1) * 0.4 ELSE 0.2 + least((80 - k) / 80.0::DOUBLE, 1) * 0.6 END, 6) AS heat,
   CASE {_P} % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 0.1 ELSE 0.8 END AS confidence,
   CASE {_P} % 3 WHEN 1 THEN NULL WHEN 0 THEN CASE WHEN {_P} % 2 = 0 THEN 'big' END ELSE 'std' END AS model,
-  CASE WHEN {_SIZE} < 1024 THEN {_SIZE} || ' KB' WHEN {_SIZE} / 1024.0 < 1024 THEN printf('%.1f MB', {_SIZE} / 1024.0::DOUBLE) ELSE printf('%.2f GB', {_SIZE} / 1048576.0::DOUBLE) END AS size,
+  CASE WHEN {_SIZE} < 1024 THEN {_SIZE} || ' KB' WHEN {_SIZE} / 1024.0 < 1024 THEN printf('%.1f MB', floor({_SIZE} / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.2f GB', floor({_SIZE} / 1048576.0::DOUBLE * 100 + 0.5) / 100) END AS size,
   CASE WHEN {_SEC} < 60 THEN 'just now' WHEN {_SEC} < 3600 THEN CAST(floor({_SEC} / 60) AS BIGINT) || 'm ago' WHEN {_SEC} < 86400 THEN CAST(floor({_SEC} / 3600) AS BIGINT) || 'h ago'
     WHEN {_SEC} < 604800 THEN CAST(floor({_SEC} / 86400) AS BIGINT) || 'd ago' WHEN {_SEC} < 2419200 THEN CAST(floor({_SEC} / 604800) AS BIGINT) || 'w ago'
     WHEN {_SEC} < 31104000 THEN CAST(floor({_SEC} / 2592000) AS BIGINT) || 'mo ago' ELSE CAST(floor({_SEC} / 31536000) AS BIGINT) || 'y ago' END AS since,

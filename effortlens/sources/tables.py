@@ -106,17 +106,6 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sha, author, cents: three experts over every eleventh order."""
-    base = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 0")
-    sha = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    authors = F.explode(F.array(*[F.lit(a) for a in (1, 2, 3)])).alias("a")
-    rows = base.select(sha.alias("sha"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), authors)
-    return rows.select(
-        "sha", F.concat(F.lit("expert"), F.col("a").cast("string")).alias("author"), (F.floor(F.col("q") * 10 + 0.5) + (F.col("p") * F.col("a")) % 90).cast("long").alias("cents")
-    )
-
-
-def all_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sha, author, cents of every commit by three experts; cents are null where one of them gave no estimate."""
     sha = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     authors = F.explode(F.array(*[F.lit(a) for a in (1, 2, 3)])).alias("a")

@@ -65,7 +65,7 @@ def test_timeline(spark, plain, unit):
         for p, (a, b, dd, ds, e) in cells.items()
     }
     names = "placed_cents overhead_cents total_cents developer_days days active selected avg_placed_by_active avg_overhead_by_active avg_by_active avg_by_all".split()
-    assert {r["period"]: tuple(r[c] for c in names) for r in registry.QUERIES[f"timeline_{unit}_placed"](spark, SF).collect()} == wanted
+    assert {r["period"]: tuple(r[c] for c in names) for r in registry.QUERIES[f"timeline_{unit}"](spark, SF).collect()} == wanted
 
 
 def test_grouping_sets(spark, plain):
@@ -74,7 +74,7 @@ def test_grouping_sets(spark, plain):
         for d, cents in days.items():
             for key in ((None,) * 3, (d.year, None, None), (d.year, d.month, None), (d.year, None, (d.month + 2) // 3)):
                 wanted[email, *key] += cents
-    assert {(r["email"], r["y"], r["m"], r["q"]): r["cents"] for r in registry.QUERIES["grouping_sets_placed"](spark, SF).collect()} == wanted
+    assert {(r["email"], r["y"], r["m"], r["q"]): r["cents"] for r in registry.QUERIES["placed_grouping_sets"](spark, SF).collect()} == wanted
 
 
 def test_gaps(spark, plain):
@@ -85,14 +85,14 @@ def test_gaps(spark, plain):
             gap = [a + timedelta(days=k) for k in range(1, (b - a).days)]
             if sum(d.weekday() < 5 for d in gap) <= 3:
                 wanted |= {(email, d) for d in gap}
-    rows = [tuple(r) for r in registry.QUERIES["gap_fill_placed"](spark, SF).collect()]
+    rows = [tuple(r) for r in registry.QUERIES["gap_fill"](spark, SF).collect()]
     assert len(rows) == len(wanted) and set(rows) == wanted
 
 
 def test_ratio_fte_and_norm(spark, plain):
     own, placed, _ = plain
-    ratios = {r["email"]: (r["percent"], r["colour"]) for r in registry.QUERIES["ghost_ratio_placed"](spark, SF).collect()}
-    fte = {r["email"]: r["fte_days"] for r in registry.QUERIES["fte_days_placed"](spark, SF).collect()}
+    ratios = {r["email"]: (r["percent"], r["colour"]) for r in registry.QUERIES["ghost_ratio"](spark, SF).collect()}
+    fte = {r["email"]: r["fte_days"] for r in registry.QUERIES["fte_days"](spark, SF).collect()}
     means = []
     for email, days in own.items():
         total, n = sum(c for x in days.values() for _, c in x), len(placed[email])
@@ -102,4 +102,4 @@ def test_ratio_fte_and_norm(spark, plain):
         first, last = min(placed[email]), max(*placed[email], *days)
         span = [first + timedelta(days=k) for k in range((last - first).days + 1)]
         assert fte[email] == sum(d.weekday() < 5 or d in placed[email] for d in span)
-    assert registry.QUERIES["median_norm_placed"](spark, SF).first()["norm"] == floor(median(means) * 100 + 0.5) / 100
+    assert registry.QUERIES["median_norm"](spark, SF).first()["norm"] == floor(median(means) * 100 + 0.5) / 100

@@ -3,26 +3,26 @@
 import numpy as np
 
 from effortlens.plans import registry
-from effortlens.sources.tables import all_ground_truth, commits
+from effortlens.sources.tables import ground_truth, commits
 from tests.compare import SF
 
 
 def test_truth_leaves_no_commit_out(spark):
-    truth = all_ground_truth(spark, SF).toPandas()
+    truth = ground_truth(spark, SF).toPandas()
     rows = commits(spark, SF).toPandas()
     assert set(truth.sha) == set(rows.sha) and len(truth) == 3 * len(rows)
     assert 0 < truth.cents.isna().sum() < len(truth)
 
     wanted = truth.groupby("author").cents.agg(["count", "sum", "median", "mean"])
-    for r in registry.QUERIES["gt_author_stats_all"](spark, SF).collect():
+    for r in registry.QUERIES["gt_author_stats"](spark, SF).collect():
         assert np.allclose((r["n"], r["cents"], r["median_cents"], r["mean_cents"]), wanted.loc[r["author"]])
 
     agreed = truth.groupby("sha").cents.median()
-    found = registry.QUERIES["gt_consensus_all"](spark, SF).toPandas().set_index("sha").cents
+    found = registry.QUERIES["gt_consensus"](spark, SF).toPandas().set_index("sha").cents
     assert found.to_dict() == agreed.to_dict()
 
     pairs = rows.join(agreed.rename("truth"), on="sha")
-    for name, by in (("run_mae_corr_all", "model"), ("accuracy_by_category_all", "category")):
+    for name, by in (("run_mae_corr", "model"), ("accuracy_by_category", "category")):
         answer = {r[by]: r for r in registry.QUERIES[name](spark, SF).collect()}
         groups = dict(list(pairs.dropna(subset=[by]).groupby(by)))
         assert set(answer) == set(groups) and sum(r["n"] for r in answer.values()) == pairs[by].notna().sum()
