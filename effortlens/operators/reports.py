@@ -28,11 +28,12 @@ def within(rows: DataFrame, key: str, allowed: DataFrame | None) -> DataFrame:
     return rows if allowed is None else rows.join(allowed.select(key).distinct(), key, "left_semi")
 
 
-def preview_totals(wanted: DataFrame, hits: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
-    """total, cached and billable commits; ``most`` caps the total."""
-    marked = wanted.select(*keys).distinct().join(hits.select(*keys).distinct().withColumn("hit", F.lit(1)), keys, "left")
+def preview_totals(wanted: DataFrame, hits: DataFrame, keys: list[str], most: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """total, cached and billable commits, in all or for each ``by``; ``most`` caps the total."""
+    by = by or []
+    marked = wanted.select(*by, *keys).distinct().join(hits.select(*by, *keys).distinct().withColumn("hit", F.lit(1)), [*by, *keys], "left")
     total = F.count("*") if most is None else F.least(F.count("*"), F.lit(most))
-    counted = marked.agg(total.alias("total"), F.count("hit").alias("cached"))
+    counted = marked.groupBy(*by).agg(total.alias("total"), F.count("hit").alias("cached"))
     return counted.withColumn("billable", F.greatest(F.lit(0), F.col("total") - F.col("cached")))
 
 
@@ -76,16 +77,38 @@ def estimator_health(commits: DataFrame, jobs: DataFrame, since: Column) -> Data
     return marked.withColumn("overall", scalars.worst_status(F.col("fallback"), F.col("failures"), F.col("attribution")))
 
 
-def stuck_jobs(jobs: DataFrame, last_events: DataFrame, now: Column) -> DataFrame:
-    """Jobs that hang, with why: jobs (job_id, status, updated, heartbeat, created in seconds), last_events (job_id, level)."""
-    joined = jobs.join(last_events, "job_id", "left")
-    idle, age = now - F.col("updated"), now - F.col("created")
+def steps_of_jobs(events: DataFrame, steps: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """events (job_id, event_id, code) -> job_id and for each step pass, warn or null: by a code that passes it, else by one that warns."""
+    came = lambda codes: F.max(F.col("code").isin(*codes)) if codes else F.lit(False)
+    return events.groupBy("job_id").agg(*[F.when(came(ok), "pass").when(came(warn), "warn").alias(name) for name, (ok, warn) in steps.items()])
+
+
+def missing_steps(steps: list[str], age: Column, old_after: int = 180) -> Column:
+    """Of a job that is ``old_after`` seconds old, the steps up to the one after the furthest that are not done."""
+    done = F.array(*[F.col(s).isNotNull() for s in steps])
+    furthest = F.coalesce(F.array_max(F.transform(done, lambda x, i: F.when(x, i))), F.lit(-1))
+    found = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i"), F.col(s).isNull().alias("gone")) for i, s in enumerate(steps)]), lambda x: x["gone"] & (x["i"] <= furthest + 1))
+    return F.when(age >= old_after, F.transform(found, lambda x: x["s"])).otherwise(F.array().cast("array<string>"))
+
+
+def stuck_jobs(jobs: DataFrame, last_events: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """Jobs that hang, with why: jobs (job_id, status, updated, heartbeat, created in seconds), last_events (job_id, level), states of ``steps_of_jobs``.
+
+    The first two steps are the trigger that was accepted and the worker that took the job. A job that
+    was never updated counts from its creation.
+    """
+    steps = [c for c in states.columns if c != "job_id"]
+    joined = jobs.join(last_events, "job_id", "left").join(states, "job_id", "left")
+    age = now - F.col("created")
+    idle = F.coalesce(now - F.col("updated"), age)
     reasons = F.array_compact(
         F.array(
             F.when((F.col("status") == "PENDING") & (idle > 120), "pending_too_long"),
+            F.when(F.col(steps[0]).isNotNull() & F.col(steps[1]).isNull() & (idle > 120), "accepted_without_worker"),
             F.when((F.col("status") == "RUNNING") & (F.coalesce(now - F.col("heartbeat"), age) > 600), "heartbeat_stale"),
             F.when((F.col("status") == "LLM_COMPLETE") & (idle > 300), "post_processing_stale"),
             F.when(F.col("level") == "error", "error_event"),
+            F.when(F.size(missing_steps(steps, age)) > 0, "missing_step"),
         )
     )
     return joined.withColumn("reasons", reasons).where(F.size("reasons") > 0).select("job_id", "reasons")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
-from effortlens.operators import reports, scope, temporal
-from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, MEMBERS, with_frames
+from effortlens.operators import reports, scope, spread, temporal
+from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, MEMBERS, PLACED, with_frames, with_recursive_frames
 from effortlens.sources.tables import aliases, commits, job_events, jobs, memberships, table
 
 _BASE = "job_id IS NULL AND method <> 'error'"
@@ -29,13 +29,21 @@ def _order_owners(spark, d):
 OWNERS = "owners AS (SELECT order_id, min(user_id) AS owner, arg_max(status, {'a': created, 'b': job_id}) AS status FROM jobs GROUP BY order_id)"
 
 
+def _order_users(spark, d):
+    """order_id, user_id, status: three users have the orders between them."""
+    return _order_owners(spark, d).select("order_id", (F.col("order_id") % 3).alias("user_id"), "status")
+
+
 def _reusable(spark, d):
-    """Commits of order 3 that a completed order of the same kind of owner has already."""
-    owners = _order_owners(spark, d)
-    c = _base(spark, d).join(owners.where("status = 'COMPLETED'"), "order_id")
-    mine = owners.where("order_id = 3").select((F.col("owner") % 2).alias("parity"))
-    hits = c.where("order_id <> 3").join(mine, F.col("owner") % 2 == F.col("parity"))
-    return reports.preview_totals(_base(spark, d).where("order_id = 3"), hits, ["repo", "dup_sha"])
+    """Per order: its commits, those that a completed order of the same user or the order itself has estimated, and what is left to bill."""
+    users = _order_users(spark, d)
+    wanted = _base(spark, d).select("order_id", "repo", "dup_sha").join(users.select("order_id", "user_id"), "order_id")
+    done = commits(spark, d).where("method IS NULL OR method <> 'error'").where("job_id IS NOT NULL").select("order_id", "repo", "dup_sha").join(users, "order_id")
+    others = done.where("status = 'COMPLETED'").select("user_id", "repo", "dup_sha")
+    own = wanted.select("order_id", "repo", "dup_sha").distinct().join(users.select("order_id", "user_id"), "order_id")
+    hits = own.join(others.distinct(), ["user_id", "repo", "dup_sha"], "left_semi").select("order_id", "repo", "dup_sha")
+    mine = done.select("order_id", "repo", "dup_sha")
+    return reports.preview_totals(wanted.select("order_id", "repo", "dup_sha"), hits.union(mine), ["repo", "dup_sha"], by=["order_id"])
 
 
 def _excluded_people(spark, d):
@@ -45,27 +53,46 @@ def _excluded_people(spark, d):
     return kept.groupBy("order_id").agg(F.least(F.sum("n"), F.lit(900)).alias("total"))
 
 
+def _order_metrics(spark, d):
+    """order_id, email, commits, cents, work_days: hours of an order are placed by themselves."""
+    rows = _base(spark, d)
+    days = spread.placed_days(rows, ("order_id", "email")).groupBy("order_id", "email").agg(F.count_distinct("day").alias("days"))
+    return rows.groupBy("order_id", "email").agg(F.sum("cents").alias("cents"), F.count("*").alias("commits")).join(days, ["order_id", "email"], "left")
+
+
 def _order_rollup(spark, d):
-    days = _base(spark, d).groupBy("order_id", "email").agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"), F.countDistinct("day").alias("days"))
     ratio = scalars.ratio(F.col("cents"), F.col("days"))
-    return days.groupBy("order_id").agg(
+    return _order_metrics(spark, d).groupBy("order_id").agg(
         F.round(F.avg(ratio), 6).alias("mean_ratio"), F.sum("cents").alias("cents"), F.sum("commits").alias("commits"), F.count("*").alias("developers")
     )
 
 
-_DEV = f"dev AS (SELECT order_id, email, sum(cents) AS cents, count(*) AS commits, count(DISTINCT day) AS days FROM commits WHERE {_BASE} GROUP BY order_id, email)"
-_RATIO = "cents * 100.0::DOUBLE / (days * 300)"
+_BY_ORDER = COMMITS.replace("commits AS", "all_commits AS", 1) + ", commits AS (SELECT * REPLACE (order_id || '/' || email AS email) FROM all_commits)"
+_DEV = "dev AS (SELECT CAST(string_split(email, '/')[1] AS BIGINT) AS order_id, email, n_commits AS commits, total_cents AS cents, work_days AS days FROM pmetrics)"
+_RATIO = "CASE WHEN days >= 1 THEN cents * 100.0::DOUBLE / (days * 300) END"
+_EROWS = """erows AS (SELECT email, day, cents, 'placed' AS type FROM effort UNION ALL SELECT email, day, cents - coalesce(p, 0), 'overhead' FROM base
+  LEFT JOIN (SELECT email, entry_day AS day, sha, sum(cents) AS p FROM effort GROUP BY ALL) USING (email, day, sha) WHERE cents - coalesce(p, 0) > 0)"""
 
 
 def _overhead(spark, d):
-    """Commit hours beyond the daily cap, pinned to the author's day, under those within it."""
-    c = _base(spark, d).select("sha", "email", "day", "cents")
-    placed = c.groupBy("sha").agg(F.max(F.least("cents", F.lit(300))).alias("placed"))
-    over = c.join(placed, "sha", "left").withColumn("over", F.col("cents") - F.coalesce("placed", F.lit(0)))
-    rows = over.select("email", "day", F.least("cents", F.lit(300)).alias("cents"), F.lit("placed").alias("type")).unionByName(
-        over.where("over > 0").select("email", "day", F.col("over").alias("cents"), F.lit("overhead").alias("type"))
-    )
-    return rows.groupBy("type", scalars.period_key(F.col("day"), "year").alias("period")).agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
+    """Placed hours and, on the author's day, those that found none: one frame with a type tag."""
+    rows = spread.effort_rows(_base(spark, d))
+    tagged = rows.select("day", (F.col("placed") + F.col("overhead")).alias("cents"), F.when(F.col("placed") > 0, "placed").otherwise("overhead").alias("type"))
+    return tagged.groupBy("type", scalars.period_key(F.col("day"), "year").alias("period")).agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
+
+
+def _work_ratios(spark, d):
+    """email, ratio: null below twenty work days."""
+    m = spread.developer_metrics(_base(spark, d))
+    return m.select("email", F.when(F.col("work_days") >= 20, F.round("ratio_raw", 6)).alias("ratio"))
+
+
+def _slice(spark, d):
+    """Placed days and hours of every team member in one quarter, zero for those without."""
+    days = spread.placed_days(_base(spark, d)).where(F.col("day").between("1996-01-01", "1996-03-31"))
+    sums = days.groupBy("email").agg(F.countDistinct("day").alias("days"), F.sum("cents").alias("cents"))
+    rows = memberships(spark, d).select("email").distinct().join(sums, "email", "left")
+    return rows.select("email", F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("cents", F.lit(0)).alias("cents"))
 
 
 def _identity_evidence(spark, d):
@@ -97,9 +124,9 @@ def _queue(spark, d):
 
 
 def _candidates(spark, d):
-    """People of no team at the time: commits, repositories, first and last day; the most active first."""
-    member = memberships(spark, d).select("email").distinct()
-    rows = _base(spark, d).join(member.where("email LIKE '%7@example.org'"), "email", "left_anti")
+    """People who are not in team 0: commits, repositories, first and last day; the most active first."""
+    member = memberships(spark, d).where("team = 0").select("email").distinct()
+    rows = _base(spark, d).join(member, "email", "left_anti")
     g = rows.groupBy("email").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("repo")), ",").alias("repos"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     return g.orderBy(F.col("n").desc(), "email").limit(100)
 
@@ -118,12 +145,13 @@ def _stuck(spark, d):
     key = F.col("job_id")
     now = F.lit(10_000)
     j = jobs(spark, d).select(
-        "job_id", F.when(key % 11 == 0, "LLM_COMPLETE").otherwise(F.col("status")).alias("status"), (now - key % 500).alias("updated"),
+        "job_id", F.when(key % 11 == 0, "LLM_COMPLETE").otherwise(F.col("status")).alias("status"), F.when(key % 17 != 0, now - key % 500).alias("updated"),
         F.when(key % 3 != 0, now - key % 1300).alias("heartbeat"), (now - key % 2000).alias("created"),
     )
     last = job_events(spark, d).groupBy("job_id").agg(F.max_by("code", F.struct("second", "event_id")).alias("code"))
     levels = last.select("job_id", F.when(F.col("code") == "error", "error").otherwise("info").alias("level"))
-    return reports.stuck_jobs(j, levels, now).select("job_id", F.array_join("reasons", ",").alias("reasons"))
+    states = reports.steps_of_jobs(job_events(spark, d), {"accepted": (("view",), ()), "worker": (("click",), ("error",)), "done": (("purchase",), ())})
+    return reports.stuck_jobs(j, levels, states, now).select("job_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 _STEPS = ("signup", "click", "purchase", "error")
@@ -137,7 +165,7 @@ def _steps(spark, d):
 def _stored_projects(spark, d):
     """When each repository was last analysed, as kept and as new commits say."""
     old = _base(spark, d).where("order_id < 5").groupBy("repo").agg(F.max("day").alias("analysed"), F.count("*").alias("n"))
-    new = _base(spark, d).where("order_id >= 5 AND day < DATE '1998-01-01'").groupBy("repo").agg(F.max("day").alias("analysed"), F.count("*").alias("n"))
+    new = _base(spark, d).where("order_id >= 5").groupBy("repo").agg(F.max("day").alias("analysed"), F.count("*").alias("n"))
     return old, new
 
 
@@ -211,10 +239,11 @@ QUERIES = {
     "preview_totals": (
         _reusable,
         _Q(
-            f"""SELECT count(*) AS total, count(h.dup_sha) AS cached, greatest(0, count(*) - count(h.dup_sha)) AS billable FROM (SELECT DISTINCT repo, dup_sha FROM commits WHERE order_id = 3 AND {_BASE}) s
-            LEFT JOIN (SELECT DISTINCT repo, dup_sha FROM commits JOIN owners USING (order_id) WHERE order_id <> 3 AND status = 'COMPLETED' AND {_BASE}
-              AND owner % 2 = (SELECT owner % 2 FROM owners WHERE order_id = 3)) h USING (repo, dup_sha)""",
-            COMMITS, JOBS, OWNERS,
+            f"""SELECT s.order_id, count(*) AS total, count(*) FILTER (cached) AS cached, greatest(0, count(*) - count(*) FILTER (cached)) AS billable FROM (
+              SELECT w.order_id, EXISTS (SELECT 1 FROM done WHERE done.repo = w.repo AND done.dup_sha = w.dup_sha AND (done.order_id = w.order_id OR (done.user_id = w.user_id AND done.status = 'COMPLETED'))) AS cached
+              FROM (SELECT DISTINCT c.order_id, u.user_id, repo, dup_sha FROM commits c JOIN users u ON u.order_id = c.order_id WHERE {_BASE}) w) s GROUP BY s.order_id""",
+            COMMITS, JOBS, OWNERS, "users AS (SELECT order_id, order_id % 3 AS user_id, status FROM owners)",
+            "done AS (SELECT c.order_id, u.user_id, u.status, repo, dup_sha FROM commits c JOIN users u ON u.order_id = c.order_id WHERE job_id IS NOT NULL AND (method IS NULL OR method <> 'error'))",
         ),
     ),
     "preview_first_run": (
@@ -223,19 +252,20 @@ QUERIES = {
     ),
     "order_rollup": (
         _order_rollup,
-        _Q(f"SELECT order_id, round(avg({_RATIO}), 6) AS mean_ratio, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(commits) AS BIGINT) AS commits, count(*) AS developers FROM dev GROUP BY order_id", COMMITS, _DEV),
+        with_recursive_frames(
+            f"SELECT order_id, round(avg({_RATIO}), 6) AS mean_ratio, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(commits) AS BIGINT) AS commits, count(*) AS developers FROM dev GROUP BY order_id", _BY_ORDER, PLACED, _DEV
+        ),
     ),
     "order_kpis": (
-        lambda spark, d: _base(spark, d).where("order_id = 3").groupBy("email").agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"), F.countDistinct("day").alias("days"))
+        lambda spark, d: _order_metrics(spark, d).where("order_id = 3")
         .agg(F.sum("commits").alias("commits"), F.round(F.avg(F.when(F.col("days") >= 2, F.coalesce(scalars.ratio(F.col("cents"), F.col("days")), F.lit(0.0)))), 6).alias("mean_ratio"), F.sum("days").alias("work_days")),
-        _Q(f"SELECT CAST(sum(commits) AS BIGINT) AS commits, round(avg({_RATIO}) FILTER (days >= 2), 6) AS mean_ratio, CAST(sum(days) AS BIGINT) AS work_days FROM dev WHERE order_id = 3", COMMITS, _DEV),
+        with_recursive_frames(
+            f"SELECT CAST(sum(commits) AS BIGINT) AS commits, round(avg({_RATIO}) FILTER (days >= 2), 6) AS mean_ratio, CAST(sum(days) AS BIGINT) AS work_days FROM dev WHERE order_id = 3", _BY_ORDER, PLACED, _DEV
+        ),
     ),
     "effort_timeline": (
         _overhead,
-        _Q(
-            f"""SELECT type, CAST(year(day) AS VARCHAR) AS period, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM (SELECT day, least(cents, 300) AS cents, 'placed' AS type FROM commits WHERE {_BASE}
-            UNION ALL SELECT day, cents - m, 'overhead' FROM commits JOIN (SELECT sha, max(least(cents, 300)) AS m FROM commits WHERE {_BASE} GROUP BY sha) USING (sha) WHERE cents > m AND {_BASE}) GROUP BY ALL"""
-        ),
+        with_recursive_frames("SELECT type, CAST(year(day) AS VARCHAR) AS period, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM erows GROUP BY ALL", COMMITS, PLACED, _EROWS),
     ),
     "people_union": (
         lambda spark, d: _base(spark, d).select("email").union(memberships(spark, d).select("email")).distinct().orderBy("email"),
@@ -269,13 +299,13 @@ QUERIES = {
         _candidates,
         _Q(
             f"""SELECT email, count(*) AS n, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos, min(day) AS first_day, max(day) AS last_day FROM commits WHERE {_BASE}
-            AND email NOT IN (SELECT email FROM members WHERE email LIKE '%7@example.org') GROUP BY email ORDER BY n DESC, email LIMIT 100""",
+            AND email NOT IN (SELECT email FROM members WHERE team = 0) GROUP BY email ORDER BY n DESC, email LIMIT 100""",
             COMMITS, MEMBERS,
         ),
     ),
     "earliest_activity": (
-        lambda spark, d: aliases(spark, d).join(_base(spark, d).where("day < DATE '1992-02-20'").groupBy("email").agg(F.min("day").alias("first")), "email", "left").groupBy("contributor_id").agg(F.coalesce(F.min("first"), _as_of()).alias("since")),
-        _Q(f"SELECT contributor_id, coalesce(min(day), {_AS_OF}) AS since FROM aliases LEFT JOIN (SELECT * FROM commits WHERE {_BASE} AND day < DATE '1992-02-20') USING (email) GROUP BY contributor_id", COMMITS, ALIASES),
+        lambda spark, d: aliases(spark, d).join(_base(spark, d).groupBy("email").agg(F.min("day").alias("first")), "email", "left").groupBy("contributor_id").agg(F.coalesce(F.min("first"), _as_of()).alias("since")),
+        _Q(f"SELECT contributor_id, coalesce(min(day), {_AS_OF}) AS since FROM aliases LEFT JOIN (SELECT * FROM commits WHERE {_BASE}) USING (email) GROUP BY contributor_id", COMMITS, ALIASES),
     ),
     "activity_scores": (
         lambda spark, d: reports.weekly_activity(_base(spark, d), ["repo"], _as_of()).withColumn("score", F.round("score", 6)).withColumn("level", scalars.activity_level(F.col("score"))),
@@ -355,10 +385,13 @@ QUERIES = {
     "stuck_jobs": (
         _stuck,
         _Q(
-            """SELECT job_id, array_to_string(r, ',') AS reasons FROM (SELECT j.job_id, list_filter([CASE WHEN st = 'PENDING' AND j.job_id % 500 > 120 THEN 'pending_too_long' END,
-            CASE WHEN st = 'RUNNING' AND (CASE WHEN j.job_id % 3 <> 0 THEN j.job_id % 1300 ELSE j.job_id % 2000 END) > 600 THEN 'heartbeat_stale' END, CASE WHEN st = 'LLM_COMPLETE' AND j.job_id % 500 > 300 THEN 'post_processing_stale' END,
-            CASE WHEN code = 'error' THEN 'error_event' END], lambda x: x IS NOT NULL) AS r FROM (SELECT *, CASE WHEN job_id % 11 = 0 THEN 'LLM_COMPLETE' ELSE status END AS st FROM jobs) j
-            LEFT JOIN (SELECT job_id, arg_max(code, {'a': second, 'b': event_id}) AS code FROM ev GROUP BY job_id) USING (job_id)) WHERE len(r) > 0""",
+            """SELECT job_id, array_to_string(r, ',') AS reasons FROM (SELECT j.job_id, list_filter([CASE WHEN st = 'PENDING' AND idle > 120 THEN 'pending_too_long' END,
+            CASE WHEN s0 AND NOT s1 AND idle > 120 THEN 'accepted_without_worker' END,
+            CASE WHEN st = 'RUNNING' AND (CASE WHEN j.job_id % 3 <> 0 THEN j.job_id % 1300 ELSE j.job_id % 2000 END) > 600 THEN 'heartbeat_stale' END, CASE WHEN st = 'LLM_COMPLETE' AND idle > 300 THEN 'post_processing_stale' END,
+            CASE WHEN code = 'error' THEN 'error_event' END,
+            CASE WHEN j.job_id % 2000 >= 180 AND (NOT coalesce(s0, FALSE) OR (NOT s1 AND (s0 OR s2)) OR (NOT s2 AND s1)) THEN 'missing_step' END], lambda x: x IS NOT NULL) AS r
+            FROM (SELECT *, CASE WHEN job_id % 11 = 0 THEN 'LLM_COMPLETE' ELSE status END AS st, CASE WHEN job_id % 17 <> 0 THEN job_id % 500 ELSE job_id % 2000 END AS idle FROM jobs) j
+            LEFT JOIN (SELECT job_id, arg_max(code, {'a': second, 'b': event_id}) AS code, bool_or(code = 'view') AS s0, bool_or(code IN ('click', 'error')) AS s1, bool_or(code = 'purchase') AS s2 FROM ev GROUP BY job_id) USING (job_id)) WHERE len(r) > 0""",
             JOBS, EVENTS,
         ),
     ),
@@ -433,11 +466,12 @@ QUERIES = {
         _Q("SELECT status, job_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY created DESC, job_id) AS r FROM jobs) WHERE r <= 30", JOBS),
     ),
     "ratio_listing": (
-        lambda spark, d: _base(spark, d).groupBy("email").agg(F.sum("cents").alias("cents"), F.countDistinct("day").alias("days")).withColumn("ratio", F.when(F.col("days") >= 20, F.round(scalars.ratio(F.col("cents"), F.col("days")), 6)))
-        .orderBy(F.col("ratio").desc_nulls_last(), "email").limit(60).select("email", "ratio", scalars.colour(F.col("ratio")).alias("zone")),
-        _Q(
-            f"""SELECT email, ratio, CASE WHEN ratio IS NULL THEN 'gray' WHEN ratio >= 100 THEN 'green' WHEN ratio >= 80 THEN 'yellow' ELSE 'red' END AS zone FROM (SELECT email,
-            CASE WHEN count(DISTINCT day) >= 20 THEN round(sum(cents) * 100.0::DOUBLE / (count(DISTINCT day) * 300), 6) END AS ratio FROM commits WHERE {_BASE} GROUP BY email) ORDER BY ratio DESC NULLS LAST, email LIMIT 60"""
+        lambda spark, d: _work_ratios(spark, d).orderBy(F.col("ratio").desc_nulls_last(), "email").limit(60).select("email", "ratio", scalars.colour(F.col("ratio")).alias("zone")),
+        with_recursive_frames(
+            """SELECT email, ratio, CASE WHEN ratio IS NULL THEN 'gray' WHEN ratio >= 100 THEN 'green' WHEN ratio >= 80 THEN 'yellow' ELSE 'red' END AS zone FROM (SELECT email,
+            CASE WHEN work_days >= 20 THEN round(CAST(total_cents AS DOUBLE) * 100 / (work_days * 300), 6) END AS ratio FROM pmetrics) ORDER BY ratio DESC NULLS LAST, email LIMIT 60""",
+            COMMITS,
+            PLACED,
         ),
     ),
     "featured_listing": (
@@ -460,7 +494,7 @@ QUERIES = {
         lambda spark, d: reports.upsert(*_stored_projects(spark, d), ["repo"], "n", ("analysed",)),
         _Q(
             f"""SELECT coalesce(a.repo, b.repo) AS repo, greatest(a.d, b.d) AS analysed, coalesce(b.n, a.n) AS n FROM (SELECT repo, max(day) AS d, count(*) AS n FROM commits WHERE order_id < 5 AND {_BASE} GROUP BY repo) a
-            FULL JOIN (SELECT repo, max(day) AS d, count(*) AS n FROM commits WHERE order_id >= 5 AND day < DATE '1998-01-01' AND {_BASE} GROUP BY repo) b ON a.repo = b.repo"""
+            FULL JOIN (SELECT repo, max(day) AS d, count(*) AS n FROM commits WHERE order_id >= 5 AND {_BASE} GROUP BY repo) b ON a.repo = b.repo"""
         ),
     ),
     "delete_and_copy": (
@@ -472,8 +506,11 @@ QUERIES = {
         "SELECT arg_min(name, p) AS name, min(p) AS position FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS name, p_partkey AS p FROM part) GROUP BY lower(name)",
     ),
     "range_slice": (
-        lambda spark, d: memberships(spark, d).select("email").distinct().join(_base(spark, d).where(F.col("day").between("1996-01-01", "1996-03-31")).groupBy("email").agg(F.countDistinct("day").alias("days"), F.sum("cents").alias("cents")), "email", "left").select("email", F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("cents", F.lit(0)).alias("cents")),
-        _Q(f"SELECT email, count(DISTINCT day) AS days, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents FROM (SELECT DISTINCT email FROM members) LEFT JOIN (SELECT * FROM commits WHERE {_BASE} AND day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31') USING (email) GROUP BY email", COMMITS, MEMBERS),
+        _slice,
+        with_recursive_frames(
+            "SELECT email, count(DISTINCT day) AS days, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents FROM (SELECT DISTINCT email FROM members) LEFT JOIN (SELECT * FROM pdays WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31') USING (email) GROUP BY email",
+            COMMITS, MEMBERS, PLACED,
+        ),
     ),
     "scalar_functions": (_scalars, _SCALARS),
     "name_matches": (
