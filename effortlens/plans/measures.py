@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
-from effortlens.operators import accuracy, billing, identity, scope, spread, timeline
+from effortlens.operators import accuracy, billing, calibration, clusters, identity, incremental, pacing, scope, spread, timeline
 from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, PLACED, TRUTH, with_frames, with_recursive_frames
-from effortlens.sources.tables import aliases, commits, ground_truth, job_events, jobs, table
-from effortlens.storage import checkpointed
+from effortlens.sources.tables import aliases, commits, dev_email, ground_truth, job_events, jobs, table
+from effortlens.storage import checkpointed, new_path
 
 _BASE = "job_id IS NULL AND method <> 'error'"
 _ROWS = """erows AS (SELECT email, day, cents AS placed, 0 AS overhead FROM effort UNION ALL SELECT email, day, 0, cents - coalesce(p, 0) FROM base
@@ -126,6 +127,63 @@ def _percentiles(spark, d):
     return accuracy.with_percentiles(sums, events, ["code"], "value", shares).select("code", "n", "lo", "hi", *[_r(p).alias(p) for p in shares])
 
 
+def _share_change(spark, d):
+    """The stored metrics after some developers got half a share and others an automatic one; only their buckets are written again."""
+    metrics = spread.developer_metrics(_base(spark, d)).select("email", "n_commits", "total_cents", "work_days", "fte_days", "share", "ratio_raw", "ratio_adjusted")
+    path, schema = new_path(spark, "metrics"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in metrics.schema)
+    incremental.write_metrics(metrics, path)
+    key = F.col("s_suppkey")
+    changes = table(spark, d, "supplier").where(key % 10 % 3 == 0).select(dev_email(key).alias("email"), F.when(key % 10 == 3, 0.5).alias("share"))
+    incremental.change_shares(incremental.read_metrics(spark, path, schema), changes, path)
+    return incremental.read_metrics(spark, path, schema).drop("bucket")
+
+
+def _released(spark, d):
+    """Events of users as they are shown: polls are hours apart."""
+    tier = F.element_at(F.create_map(F.lit("purchase"), F.lit("milestone"), F.lit("signup"), F.lit("major"), F.lit("view"), F.lit("micro")), F.col("code"))
+    events = job_events(spark, d).select(F.col("job_id").alias("session"), "event_id", (F.floor(F.col("second") / 3600) * 3_600_000).alias("poll_ms"), tier.alias("tier"))
+    return pacing.released(pacing.delays(pacing.first_seen(events))).select("session", "event_id", "delay_us", "release_us")
+
+
+_RELEASED = """q AS (SELECT job_id AS session, event_id, second // 3600 * 3600000 AS poll, CASE code WHEN 'purchase' THEN 4.0 WHEN 'view' THEN 0.5 ELSE 2.0 END::DOUBLE AS w,
+    CASE code WHEN 'purchase' THEN 100 WHEN 'view' THEN 15 ELSE 40 END AS least_ms, CASE code WHEN 'purchase' THEN 800 WHEN 'view' THEN 80 ELSE 400 END AS most_ms FROM ev),
+polls AS (SELECT session, poll, sum(w) AS weights, coalesce(poll - lag(poll) OVER (PARTITION BY session ORDER BY poll), 1000) * 1.2::DOUBLE AS budget FROM q GROUP BY session, poll),
+d0 AS (SELECT q.session, event_id, q.poll, budget, CAST(floor(greatest(least_ms, least(most_ms, budget / weights * w)) * 1000 + 0.5) AS BIGINT) AS us FROM q JOIN polls ON polls.session = q.session AND polls.poll = q.poll),
+d1 AS (SELECT *, sum(us) OVER (PARTITION BY session, poll) AS asked, floor(budget * 1000 + 0.5) AS most FROM d0),
+d2 AS (SELECT session, event_id, poll, CAST(CASE WHEN asked > most THEN greatest(10000, floor(us * most / asked + 0.5)) ELSE us END AS BIGINT) AS delay_us, row_number() OVER (PARTITION BY session ORDER BY poll, event_id) AS i FROM d1),
+rel AS (SELECT session, event_id, i, delay_us, poll * 1000 + delay_us AS release_us FROM d2 WHERE i = 1
+  UNION ALL SELECT d2.session, d2.event_id, d2.i, d2.delay_us, greatest(rel.release_us, d2.poll * 1000) + d2.delay_us FROM rel JOIN d2 ON d2.session = rel.session AND d2.i = rel.i + 1)"""
+
+
+def _calibrated(spark, d):
+    """Estimates of each kind of method and what the first expert's truths make of them."""
+    truth = ground_truth(spark, d).where("author = 'expert1' AND cents IS NOT NULL").select("sha", F.col("cents").alias("truth"))
+    kind = F.when(F.col("method").contains("FD"), "fd").when(F.col("method") == "two_pass", "module").otherwise("none")
+    rows = commits(spark, d).select("sha", kind.alias("scope"), F.col("cents").alias("estimate"))
+    blocks = calibration.fit(rows.join(truth, "sha").select("scope", "estimate", "truth"))
+    found = calibration.calibrated(rows.select("scope", "estimate").distinct(), blocks)
+    return found.select("scope", "estimate", F.round("calibrated", 6).alias("calibrated"))
+
+
+_CALIBRATED = """rows0 AS (SELECT sha, CASE WHEN contains(method, 'FD') THEN 'fd' WHEN method = 'two_pass' THEN 'module' ELSE 'none' END AS scope, cents AS estimate FROM commits),
+sums AS (SELECT scope, estimate, sum(t.cents) AS total, count(*) AS n FROM rows0 JOIN (SELECT sha, cents FROM truth WHERE author = 'expert1' AND cents IS NOT NULL) t USING (sha) GROUP BY ALL),
+upto AS (SELECT scope, estimate, row_number() OVER w AS i, sum(total) OVER w AS s, sum(n) OVER w AS c FROM sums WINDOW w AS (PARTITION BY scope ORDER BY estimate)),
+spans AS (SELECT b.scope, coalesce(a.i, 0) + 1 AS j, b.i AS k, (b.s - coalesce(a.s, 0)) / CAST(b.c - coalesce(a.c, 0) AS DOUBLE) AS mean FROM upto b LEFT JOIN (SELECT scope, i, s, c FROM upto UNION ALL SELECT DISTINCT scope, 0, 0, 0 FROM upto) a ON a.scope = b.scope AND a.i < b.i),
+lows AS (SELECT u.scope, u.i, s.j, min(s.mean) AS low FROM upto u JOIN spans s ON s.scope = u.scope AND s.j <= u.i AND s.k >= u.i GROUP BY ALL),
+fitted AS (SELECT scope, i, max(low) AS v FROM lows GROUP BY scope, i),
+steps AS (SELECT u.scope, u.estimate, v FROM upto u JOIN fitted USING (scope, i))"""
+
+
+def _clustered(spark, d):
+    """Files of commits (parts of the catalogue stand for commits), in folders and roles made of the keys of line items."""
+    part = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+    k, o, n = F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    name = F.concat_ws("/", part(("src", "lib", "web", "packages"), o), F.concat(F.lit("d"), (k % 7).cast("string")), F.concat(F.lit("e"), (o % 5).cast("string")), F.concat(F.lit("f"), o.cast("string"), F.lit("_"), n.cast("string"), part((".py", ".service.ts", ".dto.ts", ".go"), n)))
+    no = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
+    files = table(spark, d, "lineitem").select(F.col("l_partkey").alias("sha"), no.alias("file_no"), name.alias("filename"), F.col("l_quantity").cast("long").alias("added"), (k % 9).cast("long").alias("deleted"))
+    return clusters.clusters(files)
+
+
 def _entropy(spark, d):
     files = commits(spark, d).select("repo", F.col("cents").alias("churn"))
     return accuracy.churn_entropy(files, "repo").select("repo", _r("entropy", 6).alias("entropy"), "n_files")
@@ -218,6 +276,30 @@ QUERIES = {
         f"""WITH RECURSIVE {_PEOPLE}, {_MATCHES}, e AS (SELECT a, b FROM matches UNION SELECT b, a FROM matches),
         reach AS (SELECT a AS id, a AS r FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r) SELECT id, min(r) AS group_id FROM reach GROUP BY id""",
     ),
+    "share_change": (
+        _share_change,
+        with_recursive_frames(
+            """SELECT email, n_commits, total_cents, work_days, fte_days, share, CASE WHEN work_days >= 1 THEN CAST(total_cents AS DOUBLE) * 100 / (work_days * 300) END AS ratio_raw,
+              CASE WHEN fte_days >= 1 AND share > 0 THEN CAST(total_cents AS DOUBLE) * 100 / (fte_days * 300) / share END AS ratio_adjusted
+            FROM (SELECT *, CASE WHEN k % 10 = 3 THEN 0.5::DOUBLE WHEN k % 10 % 3 = 0 THEN least(1, CAST(n_commits AS DOUBLE) / (SELECT sum(n_commits) FROM totals)) WHEN part >= 1 THEN 1 ELSE part END AS share
+              FROM (SELECT *, CAST(regexp_extract(email, '[0-9]+') AS BIGINT) AS k FROM pmetrics))""",
+            COMMITS,
+            PLACED,
+        ),
+    ),
+    "paced_events": (_released, with_recursive_frames("SELECT session, event_id, delay_us, release_us FROM rel", EVENTS, _RELEASED)),
+    "isotonic_calibration": (
+        _calibrated,
+        with_frames(
+            """SELECT r.scope, r.estimate, round(coalesce(e.v, CASE WHEN b.v IS NULL THEN a.v WHEN a.v IS NULL THEN b.v ELSE b.v + (r.estimate - b.estimate) / CAST(a.estimate - b.estimate AS DOUBLE) * (a.v - b.v) END), 6) AS calibrated
+            FROM (SELECT DISTINCT scope, estimate FROM rows0) r LEFT JOIN steps e ON e.scope = r.scope AND e.estimate = r.estimate
+            LEFT JOIN LATERAL (SELECT arg_max({'estimate': estimate, 'v': v}, estimate) AS x FROM steps WHERE steps.scope = r.scope AND steps.estimate < r.estimate) bx ON TRUE
+            LEFT JOIN LATERAL (SELECT arg_min({'estimate': estimate, 'v': v}, estimate) AS x FROM steps WHERE steps.scope = r.scope AND steps.estimate > r.estimate) ax ON TRUE,
+            LATERAL (SELECT bx.x.estimate AS estimate, bx.x.v AS v) b, LATERAL (SELECT ax.x.estimate AS estimate, ax.x.v AS v) a""",
+            COMMITS, TRUTH, _CALIBRATED,
+        ),
+    ),
+    "semantic_clusters": (_clustered, None),
     "match_chain": (
         _match_chain,
         """SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS found, CASE WHEN a.s_suppkey IS NOT NULL THEN 'provider' WHEN b.s_suppkey IS NOT NULL THEN 'login' END AS found_by

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effortlens.plans.check_sql import EVENTS, with_frames
-from effortlens.streaming import jobs
+from effortlens.streaming import jobs, tracker
 
 _STEPS = ("signup", "click", "purchase", "error")
 
@@ -14,7 +14,32 @@ def _events(spark, d):
     return jobs.event_stream(spark, f"{d}/events.parquet")
 
 
+_TRACKED = (tracker.Step("seen", ("view",)), tracker.Step("taken", ("click",), ("error",)), tracker.Step("bought", ("purchase",)))
+_STALE_MS = 2 * 86_400_000
+
+
+def _tracker():
+    return tracker.JobTracker(_TRACKED, _STALE_MS, 86_400_000)
+
+
+def _tracked(spark, d):
+    """Steps as they are done, silence of more than two days and what ends it."""
+    with tracker.state_store(spark):
+        found = jobs.appended(tracker.transitions(_events(spark, d).drop("value"), _tracker(), "0 seconds"), "tracked")
+    return found.where("kind <> 'missing'").select("job_id", "kind", "step", "at_ms")
+
+
 QUERIES = {
+    "stream_tracked_jobs": (
+        _tracked,
+        """WITH e AS (SELECT user_id AS job_id, epoch_ms(ts) AS ms, event_id, event_type AS code FROM events),
+        s AS (SELECT job_id, step, kind, min({'ms': ms, 'id': event_id}) AS f FROM (SELECT e.*, unnest(CASE code WHEN 'view' THEN ['seen'] WHEN 'click' THEN ['taken'] WHEN 'error' THEN ['taken'] WHEN 'purchase' THEN ['bought'] ELSE [] END) AS step,
+          CASE WHEN code = 'error' THEN 'warn' ELSE 'pass' END AS kind FROM e) GROUP BY ALL),
+        g AS (SELECT job_id, ms, lag(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS prev, lead(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS next FROM e)
+        SELECT job_id, kind, step, f.ms AS at_ms FROM s WHERE kind = 'pass' OR NOT EXISTS (SELECT 1 FROM s p WHERE p.job_id = s.job_id AND p.step = s.step AND p.kind = 'pass' AND p.f < s.f)
+        UNION ALL SELECT job_id, 'live', NULL, ms FROM g WHERE ms - prev > 172800000
+        UNION ALL SELECT job_id, 'stale', NULL, ms + 172800001 FROM g WHERE coalesce(next, (SELECT max(ms) FROM e)) - ms > 172800000""",
+    ),
     "stream_poll": (
         lambda spark, d: jobs.appended(jobs.newer_than(_events(spark, d), 500).select("event_id", "job_id", "code"), "poll"),
         with_frames("SELECT event_id, job_id, code FROM ev WHERE event_id > 500", EVENTS),
