@@ -53,30 +53,6 @@ def usage(calls: DataFrame, by: list[str], price_per_million: float) -> DataFram
     return sums.withColumn("cost", F.col("tokens") / 1e6 * price_per_million)
 
 
-def estimator_health(commits: DataFrame, jobs: DataFrame, since: Column) -> DataFrame:
-    """Rates over what is younger than ``since``, their statuses and the worst of them; one scan a table."""
-    recent = commits.where(F.col("day") >= since)
-    fd = F.col("method").startswith("FD")
-    c = recent.agg(
-        F.count("*").alias("n_commits"),
-        F.count_if(F.col("cents") == 500).alias("n_fallback"),
-        F.count_if(fd).alias("n_fd"),
-        F.count_if(F.col("method").isin("root_commit", "error") & F.col("model").isNotNull()).alias("n_attributed"),
-        F.count_if(fd & F.col("model").isNull()).alias("n_missing"),
-    )
-    j = jobs.where(F.col("created") >= since).agg(F.count("*").alias("n_jobs"), F.count_if((F.col("status") == "RUNNING") & (F.col("retries") == 3)).alias("n_failed"))
-    rate = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    both = c.withColumns({n: j.select(n).scalar() for n in ("n_jobs", "n_failed")})
-    marked = both.withColumns(
-        {
-            "fallback": scalars.rate_status(rate("n_fallback", "n_commits"), 0.05, 0.15),
-            "failures": scalars.rate_status(rate("n_failed", "n_jobs"), 0.05, 0.2),
-            "attribution": scalars.rate_status(rate("n_attributed", "n_commits"), 0.0, 0.5),
-        }
-    )
-    return marked.withColumn("overall", scalars.worst_status(F.col("fallback"), F.col("failures"), F.col("attribution")))
-
-
 def steps_of_jobs(events: DataFrame, steps: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
     """events (job_id, event_id, code) -> job_id and for each step pass, warn or null: by a code that passes it, else by one that warns."""
     came = lambda codes: F.max(F.col("code").isin(*codes)) if codes else F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
-from effortlens.operators import reports, scope, spread, temporal
+from effortlens.operators import health, reports, scope, spread, temporal
 from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, MEMBERS, PLACED, with_frames, with_recursive_frames
 from effortlens.sources.tables import aliases, commits, job_events, jobs, memberships, table
 
@@ -21,6 +21,46 @@ def _base(spark, d):
     return commits(spark, d).where(scope.base())
 
 
+_METHODS = (*health.HEURISTIC_METHODS, *health.LARGE_MODEL_METHODS, "two_pass", *health.SPECIAL_METHODS)
+_SINCE, _NOW = 900_000, 986_400
+
+
+def _estimates(spark, d):
+    """Commits by all methods, analysed in the seconds up to a stated now."""
+    pick = (F.col("cents") % 3 * 5 + F.length("repo")) % (len(_METHODS) + 1)
+    methods = F.array(*[F.lit(m) for m in _METHODS], F.lit(None))
+    return commits(spark, d).select("sha", F.get(methods, pick.cast("int")).alias("method"), "model", "repo", "cents", F.when(F.col("job_id") != "job0", F.col("job_id")).alias("job_id"), (_NOW - F.col("cents") * 977 % 200_000).alias("analysed"))
+
+
+def _worked_jobs(spark, d):
+    key = F.col("job_id")
+    states = F.array(*[F.lit(x) for x in ("COMPLETED", "RUNNING", "PENDING", "LLM_COMPLETE", *health.FAILED)])
+    return jobs(spark, d).select(F.get(states, (key % 7).cast("int")).alias("status"), (_NOW - key * 31 % 150_000).alias("updated"), F.when(key % 3 != 0, _NOW - key * 7 % 130_000).alias("heartbeat"))
+
+
+def _in(names):
+    return "method IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_HEURISTIC, _LARGE, _SPECIAL = _in(health.HEURISTIC_METHODS), _in(health.LARGE_MODEL_METHODS), _in(health.SPECIAL_METHODS)
+_PRODUCTION = f"method IS NOT NULL AND NOT {_SPECIAL}"
+_HEALTH = (
+    COMMITS,
+    JOBS,
+    f"""est AS (SELECT * FROM (SELECT sha, {list(_METHODS)}[l_pick + 1] AS method, model, repo, cents, CASE WHEN job_id <> 'job0' THEN job_id END AS job_id, {_NOW} - cents * 977 % 200000 AS analysed
+      FROM (SELECT *, CAST(cents % 3 * 5 + length(repo) AS INT) % {len(_METHODS) + 1} AS l_pick FROM commits)) WHERE job_id IS NULL AND analysed >= {_SINCE})""",
+    f"""hc AS (SELECT count(*) FILTER ({_PRODUCTION}) AS recent_commits, count(*) FILTER ({_PRODUCTION} AND cents = 500) AS fallbacks, count(*) FILTER (starts_with(method, 'FD')) AS fd_total,
+      count(*) FILTER ({_in(health.HOLISTIC_METHODS)}) AS fd_holistic, count(*) FILTER ({_in(health.NON_HOLISTIC_METHODS)}) AS fd_non_holistic, count(*) FILTER ({_HEURISTIC} AND model IS NOT NULL) AS heuristic_attributed,
+      count(*) FILTER ({_SPECIAL} AND model IS NOT NULL) AS special_attributed, count(*) FILTER ({_LARGE} AND model IS NULL) AS model_missing FROM est)""",
+    f"""wj AS (SELECT ['COMPLETED', 'RUNNING', 'PENDING', 'LLM_COMPLETE', 'FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL'][job_id % 7 + 1] AS status, {_NOW} - job_id * 31 % 150000 AS updated,
+      CASE WHEN job_id % 3 <> 0 THEN {_NOW} - job_id * 7 % 130000 END AS heartbeat FROM jobs)""",
+    f"""hj AS (SELECT count(*) FILTER (updated >= {_SINCE}) AS recent_jobs, count(*) FILTER (starts_with(status, 'FAILED') AND updated >= {_SINCE}) AS failed_jobs,
+      count(*) FILTER (status = 'PENDING' AND updated >= {_SINCE} AND updated < {_NOW - 120}) AS stale_pending,
+      count(*) FILTER (status = 'RUNNING' AND coalesce(heartbeat, updated) >= {_SINCE} AND coalesce(heartbeat, updated) < {_NOW - 600}) AS stale_running,
+      count(*) FILTER (status = 'LLM_COMPLETE' AND updated >= {_SINCE} AND updated < {_NOW - 300}) AS stalled_post_processing FROM wj)""",
+)
+
+
 def _order_owners(spark, d):
     """order_id, owner, status of the 97 orders that jobs belong to."""
     return jobs(spark, d).groupBy("order_id").agg(F.min("user_id").alias("owner"), F.max_by("status", F.struct("created", "job_id")).alias("status"))
@@ -370,17 +410,21 @@ QUERIES = {
         ),
     ),
     "estimator_health": (
-        lambda spark, d: reports.estimator_health(commits(spark, d).where("job_id IS NULL"), jobs(spark, d), F.to_date(F.lit("1996-01-01"))).select("n_commits", "n_fd", "n_missing", "n_jobs", "fallback", "failures", "attribution", "overall"),
+        lambda spark, d: health.estimator_health(_estimates(spark, d), _worked_jobs(spark, d), _SINCE, _NOW),
         _Q(
-            """SELECT n_commits, n_fd, n_missing, n_jobs, fallback, failures, attribution, CASE WHEN list_contains([fallback, failures, attribution], 'fail') THEN 'fail'
-            WHEN list_contains([fallback, failures, attribution], 'warn') THEN 'warn' WHEN list_contains([fallback, failures, attribution], 'pass') THEN 'pass' ELSE 'na' END AS overall FROM (SELECT *,
-            CASE WHEN fb IS NULL THEN 'na' WHEN fb <= 0.05 THEN 'pass' WHEN fb <= 0.15 THEN 'warn' ELSE 'fail' END AS fallback, CASE WHEN fl IS NULL THEN 'na' WHEN fl <= 0.05 THEN 'pass' WHEN fl <= 0.2 THEN 'warn' ELSE 'fail' END AS failures,
-            CASE WHEN a IS NULL THEN 'na' WHEN a <= 0 THEN 'pass' WHEN a <= 0.5 THEN 'warn' ELSE 'fail' END AS attribution FROM
-            (SELECT count(*) AS n_commits, count(*) FILTER (starts_with(method, 'FD')) AS n_fd, count(*) FILTER (starts_with(method, 'FD') AND model IS NULL) AS n_missing, count(*) FILTER (cents = 500) / nullif(count(*), 0) AS fb,
-            count(*) FILTER (method IN ('root_commit', 'error') AND model IS NOT NULL) / nullif(count(*), 0) AS a FROM commits WHERE job_id IS NULL AND day >= DATE '1996-01-01'),
-            (SELECT count(*) AS n_jobs, count(*) FILTER (status = 'RUNNING' AND retries = 3) / nullif(count(*), 0) AS fl FROM jobs WHERE created >= DATE '1996-01-01'))""",
-            COMMITS, JOBS,
-        ),
+            """SELECT * EXCLUDE (l), CASE WHEN list_contains(l, 'fail') THEN 'fail' WHEN list_contains(l, 'warn') THEN 'warn' WHEN list_contains(l, 'pass') THEN 'pass' ELSE 'na' END AS overall FROM (
+              SELECT *, [fallback_status, holistic_status, job_status, attribution_status] AS l FROM (SELECT *,
+                CASE WHEN fallback_rate IS NULL THEN 'na' WHEN fallback_rate <= 1 THEN 'pass' WHEN fallback_rate <= 3 THEN 'warn' ELSE 'fail' END AS fallback_status,
+                CASE WHEN holistic_share IS NULL THEN 'na' WHEN holistic_share >= 95 THEN 'pass' WHEN holistic_share >= 80 THEN 'warn' ELSE 'fail' END AS holistic_status,
+                CASE WHEN failed_jobs + stale_pending + stale_running + stalled_post_processing > 2 THEN 'fail' WHEN failed_jobs + stale_pending + stale_running + stalled_post_processing > 0 THEN 'warn' WHEN recent_jobs > 0 THEN 'pass' ELSE 'na' END AS job_status,
+                CASE WHEN heuristic_attributed + special_attributed + model_missing > 2 THEN 'fail' WHEN heuristic_attributed + special_attributed + model_missing > 0 THEN 'warn' WHEN recent_commits > 0 THEN 'pass' ELSE 'na' END AS attribution_status
+              FROM (SELECT *, fallbacks / nullif(recent_commits, 0) * 100 AS fallback_rate, fd_holistic / nullif(fd_total, 0) * 100 AS holistic_share FROM hc, hj)))""",
+            *_HEALTH,
+        ),
+    ),
+    "suspicious_estimates": (
+        lambda spark, d: health.suspicious(_estimates(spark, d), _SINCE),
+        _Q(f"SELECT sha, method, model, repo, analysed FROM est WHERE ({_HEURISTIC} AND model IS NOT NULL) OR ({_SPECIAL} AND model IS NOT NULL) OR ({_LARGE} AND model IS NULL) ORDER BY analysed DESC, sha LIMIT 5", *_HEALTH),
     ),
     "stuck_jobs": (
         _stuck,
