@@ -136,3 +136,11 @@ def metric_gate(samples: DataFrame, required: DataFrame, least: int) -> DataFram
     counted = samples.groupBy("metric").agg(F.count("value").alias("n"))
     n = F.coalesce("n", F.lit(0))
     return required.join(counted, "metric", "left").select("metric", n.alias("n"), (n >= least).alias("enough"))
+
+
+def report_metrics(samples: DataFrame) -> DataFrame:
+    """samples (report, metric, value) -> per metric: n, n_reports (that name it), lo, hi, mean, per_report (samples a report)."""
+    sums = samples.groupBy("metric").agg(
+        F.count("value").alias("n"), F.count_distinct("report").alias("n_reports"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean")
+    )
+    return sums.withColumn("per_report", F.col("n") / F.col("n_reports"))
