@@ -72,7 +72,7 @@ def liveness(stream: DataFrame, now: Column, stale_after: int) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events by code in tumbling windows; events later than the watermark are left out."""
+    """Events by code in tumbling windows; a window's state may go once it is older than the watermark. In complete mode, as ``latest`` runs it, every window is kept and late events count."""
     w = F.window("ts", width)
     return stream.withWatermark("ts", late).groupBy(w.alias("w"), "code").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), "code", "n")
 
