@@ -161,7 +161,7 @@ def mix(
     )
     plan = mixing_plan(sized, weights, max_epochs).withColumnRenamed("source", "p_source")
     boxed = docs.select(
-        F.struct(*docs.columns).alias("_doc"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
         F.col(source_col).alias("_source"),
         F.col(text_col).alias("_text"),
         order_key(F.col(id_col), seed).alias("_key"),

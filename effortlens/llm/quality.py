@@ -255,6 +255,6 @@ def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> Dat
     The filter tests statistics held by a lambda variable, as it would otherwise compute each anew
     at every mention.
     """
-    boxed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_t"))
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_t"))
     good = let(statistics(F.col("_t")), lambda s: ~base_failed(lambda c: s[c]) & rejecting_rule(rules, lambda c: s[c]).isNull())
     return boxed.where(good).select("_doc.*")

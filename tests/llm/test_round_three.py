@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from effortlens.llm import jaccard, links, spelling, spotsigs, vectorcodes
+from effortlens.llm import jaccard, links, mixing, quality, spelling, spotsigs, vectorcodes
 from tests.llm import plain
 from tests.llm.test_edges import frame, prose
 
@@ -192,3 +192,10 @@ def test_words_of_odd_texts(spark, monkeypatch):
     assert {x["word"] for x in spelling.vocabulary(frame(spark, rows)).collect()} == {"straße", "naïve", "longer"}
     assert spelling.spelling_variants(frame(spark, []), 97).collect() == []
     assert spelling.spelling_variants(frame(spark, rows), 1).count() >= 0
+
+
+def test_columns_with_dots_and_backquoted_names(spark):
+    docs = frame(spark, [(i, prose(i, 40), f"s{i % 2}") for i in range(6)]).withColumn("a.b", F.lit(1)).withColumn("order by", F.lit(2))
+    for kept in (mixing.mix(docs, n_chars_col="n_chars"), quality.keep_good(docs, []), jaccard.keep_first(docs)):
+        assert kept.columns == docs.columns and kept.count() >= 1
+        assert {(r["a.b"], r["order by"]) for r in kept.collect()} == {(1, 2)}
