@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
-from effortlens.operators import benchmarks, estimates
+from effortlens.operators import accuracy, benchmarks, estimates, residuals
 from effortlens.plans.check_sql import COMMITS, EVENTS, with_frames
 from effortlens.sources.documents import order_repos
-from effortlens.sources.tables import commits, job_events, table
+from effortlens.sources.tables import commits, ground_truth, job_events, table
+from effortlens.storage import checkpointed
 
 #: Metrics that a baseline asks for; one of them never has a sample.
 _REQUIRED = ("view", "click", "purchase", "never")
@@ -66,7 +67,17 @@ def _order_repos(spark, d):
     return order_repos(rows).select("order_id", "full_name", "owner", "name", "stars", "language", "is_private")
 
 
+def _residuals(spark, d):
+    """Commits that were held out: how far estimates are from the experts' median before and after the correction, in whole cents."""
+    truth = accuracy.consensus(ground_truth(spark, d)).withColumnRenamed("cents", "truth")
+    rows = commits(spark, d).join(truth, "sha").select("sha", F.col("cents").cast("double").alias("estimate"), "truth", F.substring("repo", 9, 2).cast("double").alias("repo_no"), "category", "method")
+    rows = checkpointed(residuals.with_folds(rows, "sha"))
+    judged = residuals.corrected(rows, residuals.fit(rows, ["estimate", "repo_no"], ["category", "method"]))
+    return residuals.errors(judged).select("n", *[F.round(c).cast("long").alias(c) for c in ("mae_before", "mae_after")])
+
+
 QUERIES = {
+    "residual_correction": (_residuals, None),
     "scalar_labels": (
         _labels,
         r"""WITH x AS (SELECT *, CAST(floor(l_quantity * 10 + 0.5) AS BIGINT) AS cents, (l_orderkey % 9 - 1) / 4 AS share0, ['API_KEY', 'url', 'folder'][l_linenumber % 3 + 1] AS setting,
