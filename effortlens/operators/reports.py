@@ -90,22 +90,6 @@ def stuck_jobs(jobs: DataFrame, last_events: DataFrame, states: DataFrame, now:
     return joined.withColumn("reasons", reasons).where(F.size("reasons") > 0).select("job_id", "reasons")
 
 
-def client_events(events: DataFrame) -> DataFrame:
-    """Events as none to several client events (event_id, kind, detail): a purchase is shown and announced, an error is shown, a view is silent."""
-    made = F.array(
-        F.when(F.col("code").isin("purchase", "signup", "error"), F.struct(F.lit("show").alias("kind"), F.col("code").alias("detail"))),
-        F.when(F.col("code") == "purchase", F.struct(F.lit("announce").alias("kind"), F.col("code").alias("detail"))),
-        F.when(F.col("value") > 90, F.struct(F.lit("highlight").alias("kind"), F.col("code").alias("detail"))),
-    )
-    return events.select("event_id", F.explode(F.array_compact(made)).alias("e")).select("event_id", "e.*")
-
-
-def leaderboard(commits: DataFrame, norm_cents: int, as_of_days: int, progress: float) -> DataFrame:
-    """email, cents, n and the cents that one would expect by now."""
-    expected = F.lit(float(norm_cents * as_of_days) * progress)
-    return commits.groupBy("email").agg(F.sum("cents").alias("cents"), F.count("*").alias("n")).withColumn("expected", expected)
-
-
 def stacked(points: DataFrame, bin_col: str, order: list[str]) -> DataFrame:
     """Points of one bin side by side: offset 0, 1, -1, 2, -2 and so on, in the order given."""
     k = F.row_number().over(Window.partitionBy(bin_col).orderBy(*order)) - 1

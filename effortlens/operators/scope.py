@@ -88,3 +88,20 @@ def reusable_estimates(wanted: DataFrame, all_rows: DataFrame, order_id: int, ca
     return newest_per(rows.select("repo", "dup_sha", "day", "cents", "sha"), ["repo", "dup_sha"], [-F.unix_date("day"), F.col("sha")]).select(
         "repo", "dup_sha", "cents", "sha"
     )
+
+
+def reusable_by_user(wanted: DataFrame, all_rows: DataFrame, users: DataFrame, model: str | None = None) -> DataFrame:
+    """Per commit of each order the newest estimate that a completed other order of the same user has: order_id, repo, dup_sha, cents, sha, from_order.
+
+    ``users`` has order_id, user_id and status; with ``model`` only estimates of that model count.
+    Estimates are cut to the newest of each order before they meet the orders that want them.
+    """
+    rows = all_rows.where(base())
+    if model is not None:
+        rows = rows.where(F.col("model") == model)
+    newest = newest_per(rows.select("order_id", "repo", "dup_sha", "day", "cents", "sha"), ["order_id", "repo", "dup_sha"], [-F.unix_date("day"), F.col("sha")])
+    done = users.where("status = 'COMPLETED'").select("order_id", "user_id")
+    held = newest.join(done, "order_id").withColumnRenamed("order_id", "from_order")
+    asked = wanted.select("order_id", "repo", "dup_sha").distinct().join(users.select("order_id", "user_id"), "order_id")
+    met = asked.join(held, ["user_id", "repo", "dup_sha"]).where("from_order <> order_id").drop("user_id")
+    return newest_per(met, ["order_id", "repo", "dup_sha"], [-F.unix_date("day"), F.col("sha"), F.col("from_order")]).select("order_id", "repo", "dup_sha", "cents", "sha", "from_order")

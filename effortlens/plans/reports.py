@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from effortlens.functions import scalars
-from effortlens.operators import health, reports, scope, spread, temporal
+from effortlens.operators import client, health, reports, scope, spread, temporal
 from effortlens.plans.check_sql import ALIASES, COMMITS, EVENTS, JOBS, MEMBERS, PLACED, with_frames, with_recursive_frames
 from effortlens.sources.tables import aliases, commits, job_events, jobs, memberships, table
 
@@ -61,6 +61,50 @@ _HEALTH = (
 )
 
 
+_CODES = (
+    "REPO_CLONE_START", "REPO_CLONE_DONE", "REPO_EXTRACT_START", "REPO_EXTRACT_DONE", "LLM_EVAL_START", "LLM_COMMIT_RESULT", "LLM_COMMIT_RESULT", "LLM_COMMIT_RESULT", "REPO_FULLY_CACHED",
+    "CACHE_REUSED", "REPO_PROCESS_DONE", "LLM_EVAL_DONE", "REPO_EMPTY_SCOPE", "WORKER_ACQUIRED", "HEARTBEAT_SENT", "OTHER",
+)
+
+
+def _client(spark, d):
+    """Events of fifty jobs, one a line item, with payloads in which fields are absent, blank or zero."""
+    k, p = F.col("l_suppkey"), F.col("l_partkey")
+    cents = F.floor(F.col("l_quantity") * 10 + 0.5).cast("long")
+    payload = F.struct(
+        F.when(p % 3 != 0, k).alias("commitCount"), F.when(p % 4 != 0, F.concat(F.lit("  fix "), p.cast("string"), F.lit(" "))).otherwise(" ").alias("subject"), F.when(k % 5 != 0, F.concat(F.lit(" Dev"), k.cast("string"), F.lit("@Example.org"))).alias("authorEmail"),
+        F.when(k % 3 != 0, F.concat_ws(" ", F.lit("Dev"), k, p % 3)).alias("authorName"), F.when(p % 7 != 0, cents / 100).alias("estimatedHours"), (p % 4).alias("filesCount"), (p % 50).alias("additions"), F.when(p % 2 == 0, p % 20).alias("deletions"),
+        F.when(p % 3 == 1, "feature").alias("category"), F.when(p % 2 == 0, p % 9).alias("cachedCount"), F.when(p % 3 == 0, p % 8).alias("cacheHitCount"), (p % 30).alias("totalAnalyzed"), F.when(p % 5 != 0, cents / 100).alias("totalHours"),
+    )
+    code = F.get(F.array(*[F.lit(c) for c in _CODES], F.lit(None)), ((p + F.col("l_linenumber")) % (len(_CODES) + 1)).cast("int"))
+    event_id = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + k % 100
+    events = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("job_id"), event_id.alias("event_id"), code.alias("code"), F.when(p % 6 != 0, F.concat(F.lit("org/repo"), (p % 20).cast("string"))).alias("repo"), F.to_json(payload).alias("payload"))
+    return client.client_events(events)
+
+
+def _job_progress(spark, d):
+    job = F.col("l_orderkey") % 50
+    return table(spark, d, "lineitem").select(job.alias("job_id"), (job % 30).alias("work_days"), (job % 101).alias("progress")).distinct()
+
+
+_SHOWN = (
+    f"""raw AS (SELECT l_orderkey % 50 AS job_id, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS event_id, {list(_CODES)}[(l_partkey + l_linenumber) % {len(_CODES) + 1} + 1] AS code,
+      CASE WHEN l_partkey % 6 <> 0 THEN 'org/repo' || (l_partkey % 20) ELSE '' END AS repo, l_suppkey AS k, l_partkey AS p, floor(l_quantity * 10 + 0.5) / 100 AS h FROM lineitem)""",
+    """named AS (SELECT *, CASE WHEN k % 5 <> 0 THEN substring(sha256('dev' || k || '@example.org'), 1, 12) END AS dev, CASE WHEN k % 5 <> 0 THEN CASE WHEN k % 3 <> 0 THEN concat_ws(' ', 'Dev', k, p % 3) ELSE 'Dev' || k END END AS name,
+      p % 50 + CASE WHEN p % 2 = 0 THEN p % 20 ELSE 0 END AS n_lines, CASE WHEN h = floor(h) THEN CAST(CAST(h AS BIGINT) AS VARCHAR) ELSE CAST(h AS VARCHAR) END AS ht FROM raw)""",
+    """lists AS (SELECT job_id, event_id, dev, name, h, p, list_filter(CASE code
+      WHEN 'REPO_CLONE_START' THEN [['milestone', 'repo', 'repoConnecting', 'repo=' || repo]] WHEN 'REPO_EXTRACT_START' THEN [['major', 'phase', 'extractingHistory', 'repo=' || repo]]
+      WHEN 'REPO_EXTRACT_DONE' THEN [['major', 'stat', 'historyExtracted', 'commitCount=' || CASE WHEN p % 3 <> 0 THEN k ELSE 0 END]] WHEN 'LLM_EVAL_START' THEN [['milestone', 'phase', 'aiAnalysisStarted', 'commitCount=' || CASE WHEN p % 3 <> 0 THEN k ELSE 0 END]]
+      WHEN 'LLM_COMMIT_RESULT' THEN [['major', 'commit', 'commitAnalyzed', 'subject=' || CASE WHEN p % 4 <> 0 THEN 'fix ' || p ELSE 'commit' END || ';developerName=' || coalesce(name, 'Developer')],
+        CASE WHEN p % 4 > 0 THEN ['micro', 'stat', 'filesChanged', 'fileCount=' || (p % 4)] END, CASE WHEN n_lines > 0 THEN ['micro', 'stat', 'linesChanged', 'lineCount=' || n_lines] END, CASE WHEN p % 3 = 1 THEN ['micro', 'stat', 'changeType', 'type=feature'] END]
+      WHEN 'REPO_FULLY_CACHED' THEN [['major', 'stat', 'cachedResultsFound', 'count=' || CASE WHEN p % 2 = 0 THEN p % 9 WHEN p % 3 <> 0 THEN k ELSE 0 END]] WHEN 'CACHE_REUSED' THEN [['micro', 'stat', 'cacheReused', 'count=' || CASE WHEN p % 3 = 0 THEN p % 8 ELSE 0 END]]
+      WHEN 'REPO_PROCESS_DONE' THEN [['milestone', 'repo', 'repoCompleted', 'repo=' || repo || ';commitCount=' || (p % 30) || ';totalHours=' || CASE WHEN p % 5 <> 0 THEN ht ELSE '0' END]]
+      WHEN 'LLM_EVAL_DONE' THEN [['major', 'phase', 'aiAnalysisDone', '']] WHEN 'REPO_EMPTY_SCOPE' THEN [['major', 'repo', 'repoEmptyScope', 'repo=' || repo]] ELSE [] END, lambda x: x IS NOT NULL) AS l FROM named)""",
+    """shown AS (SELECT job_id, event_id, i - 1 AS seq, l[i][1] AS tier, l[i][2] AS category, 'clientProgress.' || l[i][3] AS text, l[i][4] AS params, CASE WHEN l[i][3] = 'commitAnalyzed' THEN dev END AS developer_id,
+      CASE WHEN l[i][3] = 'commitAnalyzed' THEN name END AS developer, CASE WHEN l[i][3] = 'commitAnalyzed' AND p % 7 <> 0 THEN h END AS hours FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lists))""",
+)
+
+
 def _order_owners(spark, d):
     """order_id, owner, status of the 97 orders that jobs belong to."""
     return jobs(spark, d).groupBy("order_id").agg(F.min("user_id").alias("owner"), F.max_by("status", F.struct("created", "job_id")).alias("status"))
@@ -286,6 +330,16 @@ QUERIES = {
             "done AS (SELECT c.order_id, u.user_id, u.status, repo, dup_sha FROM commits c JOIN users u ON u.order_id = c.order_id WHERE job_id IS NOT NULL AND (method IS NULL OR method <> 'error'))",
         ),
     ),
+    "reusable_by_user": (
+        lambda spark, d: scope.reusable_by_user(_base(spark, d), commits(spark, d), _order_users(spark, d)),
+        _Q(
+            f"""SELECT w.order_id, w.repo, w.dup_sha, b.f.cents AS cents, b.f.sha AS sha, b.f.from_order AS from_order FROM (SELECT DISTINCT c.order_id, u.user_id, repo, dup_sha FROM commits c JOIN users u ON u.order_id = c.order_id WHERE {_BASE}) w,
+            LATERAL (SELECT arg_min({{'cents': e.cents, 'sha': e.sha, 'from_order': e.order_id}}, {{'a': -epoch(e.day), 'b': e.sha, 'c': e.order_id}}) AS f FROM held e
+              WHERE e.user_id = w.user_id AND e.repo = w.repo AND e.dup_sha = w.dup_sha AND e.order_id <> w.order_id) b WHERE b.f IS NOT NULL""",
+            COMMITS, JOBS, OWNERS, "users AS (SELECT order_id, order_id % 3 AS user_id, status FROM owners)",
+            f"held AS (SELECT c.order_id, u.user_id, repo, dup_sha, day, cents, sha FROM commits c JOIN users u ON u.order_id = c.order_id WHERE status = 'COMPLETED' AND {_BASE})",
+        ),
+    ),
     "preview_first_run": (
         _excluded_people,
         _Q(f"SELECT order_id, CAST(least(count(*), 900) AS BIGINT) AS total FROM commits WHERE {_BASE} AND email NOT IN ('dev1@example.org', 'dev2@example.org') GROUP BY order_id"),
@@ -449,16 +503,16 @@ QUERIES = {
         ),
     ),
     "client_events": (
-        lambda spark, d: reports.client_events(job_events(spark, d)),
-        _Q(
-            """SELECT event_id, 'show' AS kind, code AS detail FROM ev WHERE code IN ('purchase', 'signup', 'error') UNION ALL SELECT event_id, 'announce', code FROM ev WHERE code = 'purchase'
-            UNION ALL SELECT event_id, 'highlight', code FROM ev WHERE value > 90""",
-            EVENTS,
-        ),
+        lambda spark, d: _client(spark, d).drop("developer").withColumn("params", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")),
+        _Q("SELECT job_id, event_id, seq, tier, category, text, params, developer_id, hours FROM shown", *_SHOWN),
     ),
     "leaderboard": (
-        lambda spark, d: reports.leaderboard(_base(spark, d), 300, 20, 0.5),
-        _Q(f"SELECT email, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n, 3000.0::DOUBLE AS expected FROM commits WHERE {_BASE} GROUP BY email"),
+        lambda spark, d: client.leaderboard(_client(spark, d), _job_progress(spark, d)),
+        _Q(
+            """SELECT job_id, developer_id, arg_max(developer, {'a': event_id, 'b': seq, 'c': developer}) AS name, floor(CAST(sum(floor(hours * 10000 + 0.5)) FILTER (hours IS NOT NULL) AS BIGINT) / 100 + 0.5) / 100 AS hours, count(hours) AS commits,
+            CAST(floor(3.0::DOUBLE * (job_id % 30) * (job_id % 101) / 100 + 0.5) AS BIGINT) AS expected FROM shown WHERE developer_id IS NOT NULL GROUP BY job_id, developer_id HAVING count(hours) > 0""",
+            *_SHOWN,
+        ),
     ),
     "effective_progress": (
         lambda spark, d: jobs(spark, d).select("job_id", F.greatest(F.col("retries") * 10, F.least(F.lit(99), F.floor(F.try_divide(F.col("consumed"), F.col("reserved")) * 90))).cast("long").alias("progress")),
