@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,21 @@ def parse_log(logs: DataFrame, log_col: str = "log", excluded_emails: tuple[str,
     )
     banned = [e.lower() for e in excluded_emails]
     return commits.where(~F.lower("email").isin(banned)) if banned else commits
+
+
+def history(logs: DataFrame, by: list[str], since: str | None = None, until: str | None = None, max_count: int | None = None, excluded_emails: tuple[str, ...] = (), log_col: str = "log") -> DataFrame:
+    """The commits of ``parse_log`` in a range of time, the newest ``max_count`` of each group of ``by``.
+
+    Both ends count. Authors are excluded after the count is taken, so a group may have fewer. Commits
+    of one time are taken by sha; one whose date is none is in no range.
+    """
+    rows = parse_log(logs, log_col).withColumn("_at", F.col("date").try_cast("timestamp"))
+    if since is not None:
+        rows = rows.where(F.col("_at") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        rows = rows.where(F.col("_at") <= F.lit(until).cast("timestamp"))
+    if max_count is not None:
+        newest = Window.partitionBy(*by).orderBy(F.col("_at").desc_nulls_last(), "sha")
+        rows = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= max_count).drop("_rank")
+    banned = [e.lower() for e in excluded_emails]
+    return (rows.where(~F.lower("email").isin(banned)) if banned else rows).drop("_at")
