@@ -11,6 +11,7 @@ from effortlens.plans import features
 from effortlens.plans.check_sql import COMMITS, MEMBERS, TRUTH, with_frames
 from effortlens.sources.gitlog import history
 from effortlens.sources.tables import commits, ground_truth, memberships, table
+from effortlens.sources.writers import markdown
 
 _BASE = "job_id IS NULL AND method <> 'error'"
 _SORTS = {
@@ -45,7 +46,21 @@ def _groups(spark, d):
     return flags.orderBy(*orderings.group_order()).limit(60)
 
 
+def _report(spark, d):
+    """Commits, hours and developers of every repository as the lines of a report."""
+    rows = commits(spark, d).where(scope.base()).groupBy("repo").agg(F.count("*").alias("commits"), F.sum("cents").alias("cents"), F.count_distinct("email").alias("developers"))
+    return markdown(rows, [F.col("commits").desc(), F.col("repo")])
+
+
 QUERIES = {
+    "report_markdown": (
+        _report,
+        with_frames(
+            f"""SELECT CAST(0 AS INT) AS no, '| repo | commits | cents | developers |' AS line UNION ALL SELECT 1, '| --- | --- | --- | --- |'
+            UNION ALL SELECT CAST(row_number() OVER (ORDER BY n DESC, repo) + 1 AS INT), '| ' || concat_ws(' | ', repo, n, c, e) || ' |' FROM (SELECT repo, count(*) AS n, sum(cents) AS c, count(DISTINCT email) AS e FROM commits WHERE {_BASE} GROUP BY repo)""",
+            COMMITS,
+        ),
+    ),
     "candidate_orders": (
         _candidates,
         with_frames(
