@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from effortlens.operators import orderings, scope
+from effortlens.operators import home, orderings, scope
 from effortlens.plans import features
-from effortlens.plans.check_sql import COMMITS, MEMBERS, TRUTH, with_frames
+from effortlens.plans.check_sql import ALIASES, COMMITS, MEMBERS, TRUTH, with_frames
 from effortlens.sources.gitlog import history
-from effortlens.sources.tables import commits, ground_truth, memberships, table
+from effortlens.sources.tables import aliases, commits, ground_truth, memberships, table
 from effortlens.sources.writers import markdown
 
 _BASE = "job_id IS NULL AND method <> 'error'"
@@ -52,7 +52,44 @@ def _report(spark, d):
     return markdown(rows, [F.col("commits").desc(), F.col("repo")])
 
 
+_TEAMS = (0, 2, 3)
+
+
+def _home(spark, d):
+    """The home page of three teams over four years; every fifth repository was never analysed."""
+    members = memberships(spark, d).where(F.col("team").isin(*_TEAMS))
+    rows = home.in_scope(commits(spark, d).where(scope.base()).select("repo", "dup_sha", "email", "day"), "1995-01-01", "1998-12-31", members=members)
+    number = F.regexp_extract("repo", "[0-9]+$", 0).cast("int")
+    projects = commits(spark, d).groupBy("repo").agg(F.max("day").alias("day")).select("repo", F.when(number % 5 != 0, F.date_sub("day", number * 4)).alias("analysed"))
+    return home.home_detail(rows, aliases(spark, d), projects, F.to_date(F.lit("1998-10-20")))
+
+
+_HOME = (
+    COMMITS, ALIASES, MEMBERS,
+    f"""once AS (SELECT repo, dup_sha, email, day FROM (SELECT DISTINCT c.repo, c.dup_sha, c.email, c.day FROM commits c JOIN members m ON m.email = c.email AND day >= starts AND (ends IS NULL OR day < ends)
+      WHERE team IN {_TEAMS} AND day BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' AND {_BASE}) QUALIFY row_number() OVER (PARTITION BY repo, dup_sha ORDER BY day DESC, email) = 1)""",
+    "known AS (SELECT repo, day, coalesce('contributor ' || contributor_id, 'unresolved:' || email) AS who FROM once LEFT JOIN aliases USING (email))",
+    """state AS (SELECT repo, CASE WHEN k % 5 = 0 THEN 'never' WHEN d - k * 4 >= DATE '1998-10-20' - 30 THEN 'fresh' ELSE 'stale' END AS status FROM (
+      SELECT repo, CAST(regexp_extract(repo, '[0-9]+$') AS INT) AS k, max(day) AS d FROM commits GROUP BY repo))""",
+)
+
+
+def _top(section, name, other):
+    return f"""SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY commits DESC, last_day DESC, name) AS INT) AS rank, name, commits, others, last_day FROM (
+      SELECT {name} AS name, count(*) AS commits, count(DISTINCT {other}) AS others, max(day) AS last_day FROM known GROUP BY 1) QUALIFY rank <= 5"""
+
+
 QUERIES = {
+    "home_detail": (
+        _home,
+        with_frames(
+            f"""SELECT 'total' AS section, CAST(1 AS INT) AS rank, 'repositories' AS name, count(*) AS commits, count(DISTINCT repo) AS others, max(day) AS last_day, CAST(NULL AS VARCHAR) AS status FROM known
+            UNION ALL SELECT 'total', 2, 'contributors', count(*), count(DISTINCT who), max(day), NULL FROM known UNION ALL SELECT *, NULL FROM ({_top("contributor", "who", "repo")})
+            UNION ALL SELECT t.*, coalesce(status, 'never') FROM ({_top("repository", "repo", "who")}) t LEFT JOIN state ON repo = name
+            UNION ALL SELECT 'freshness', 1, 'repositories', count(*), 0, NULL, status FROM state GROUP BY status""",
+            *_HOME,
+        ),
+    ),
     "report_markdown": (
         _report,
         with_frames(
