@@ -96,8 +96,8 @@ def test_queries_leave_no_customer_out(spark):
     people = [tuple(r) for r in measures._everyone(spark, SF).collect()]
     assert {p[0] for p in people} == set(pd.read_parquet(f"{SF}/customer.parquet").c_custkey)
     wanted = {(p[0], q[0]): m for p in people for q in people if p[0] < q[0] and (m := match(p, q))}
-    assert {(r["a"], r["b"]): (r["confidence"], r["reason"]) for r in registry.QUERIES["developer_matches"](spark, SF).collect()} == wanted
-    found = {r["id"]: r["group_id"] for r in registry.QUERIES["developer_groups"](spark, SF).collect()}
+    assert {(r["a"], r["b"]): (r["confidence"], r["reason"]) for r in registry.QUERIES["dup_pairs"](spark, SF).collect()} == wanted
+    found = {r["id"]: r["group_id"] for r in registry.QUERIES["dup_groups"](spark, SF).collect()}
     assert set(found) == {x for pair in wanted for x in pair}
     assert all(found[a] == found[b] for a, b in wanted)
 
