@@ -32,7 +32,7 @@ def _tracked(spark, d):
 QUERIES = {
     "stream_tracked_jobs": (
         _tracked,
-        """WITH e AS (SELECT user_id AS job_id, epoch_ms(ts) AS ms, event_id, event_type AS code FROM events),
+        """WITH e AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ms, event_id, event_type AS code FROM events),
         s AS (SELECT job_id, step, kind, min({'ms': ms, 'id': event_id}) AS f FROM (SELECT e.*, unnest(CASE code WHEN 'view' THEN ['seen'] WHEN 'click' THEN ['taken'] WHEN 'error' THEN ['taken'] WHEN 'purchase' THEN ['bought'] ELSE [] END) AS step,
           CASE WHEN code = 'error' THEN 'warn' ELSE 'pass' END AS kind FROM e) GROUP BY ALL),
         g AS (SELECT job_id, ms, lag(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS prev, lead(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS next FROM e)
