@@ -135,7 +135,7 @@ walk AS (SELECT source, target AS place, 1 AS steps FROM good UNION ALL SELECT w
 ended AS (SELECT source, place AS final FROM walk WHERE place NOT IN (SELECT source FROM good)),
 merges AS (SELECT source, target, CASE WHEN error IS NOT NULL THEN error WHEN final IS NULL THEN 'merges end in a circle' END AS error, final FROM judged LEFT JOIN ended USING (source))"""
 
-_GREEDY = r"""people AS (SELECT email, min(rank) AS rank, arg_min(name, rank) AS name, arg_min(login, rank) AS login FROM (SELECT c_custkey AS rank,
+_GREEDY = r"""people AS (SELECT email, min(rank) AS rank, arg_min({'x': name}, rank).x AS name, arg_min({'x': login}, rank).x AS login FROM (SELECT c_custkey AS rank,
     ['ann', 'anne', 'ben', 'b.', 'cora', 'dora', 'finn'][c_custkey % 7 + 1] || ' ' || CASE WHEN c_custkey % 11 = 0 THEN substr(md5(CAST(c_custkey // 20 AS VARCHAR)), 1, 7) || 'z' ELSE substr(md5(CAST(c_custkey // 20 AS VARCHAR)), 1, 8) END AS name,
     CASE WHEN c_custkey % 5 = 0 THEN 'u' || (c_custkey // 13) END AS login, 'p' || (c_custkey // 2) || '@' || CASE WHEN c_custkey % 3 = 0 THEN 'Gmail.com' ELSE 'Firm' || c_nationkey || '.example' END AS email FROM customer) GROUP BY email),
 keyed AS (SELECT email, rank, row_number() OVER (ORDER BY rank) AS i, list_filter(['i:' || substr(name, 1, 1) || '|' || string_split(name, ' ')[-1], 'l:' || login], lambda x: x IS NOT NULL) AS keys FROM people),
