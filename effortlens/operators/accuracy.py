@@ -22,6 +22,8 @@ def pearson(x: Column, y: Column) -> Column:
 _ACCURACY, _MARGIN = 10_000, 0.0005
 #: Groups up to this size are ranked as they are; above it a rank is far below the margin.
 _SMALL = 20_000
+#: Up to so many groups their brackets go to every task; values of more groups spread by themselves.
+_FEW_GROUPS = 2_000
 
 
 def percentiles(values: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
@@ -44,6 +46,9 @@ def percentiles(values: DataFrame, by: list[str], column: str, shares: dict[str,
     )
     # Kept, so that counts below and ranks inside are of the same brackets if a task runs again.
     brackets = checkpointed(sketch.select(*by, F.array(*[bracket(i, p) for i, p in enumerate(shares.values())]).alias("brackets")))
+    # A group of few may be most of the rows: there its values stay where they are and meet its bracket without a shuffle.
+    if by and brackets.limit(_FEW_GROUPS + 1).count() <= _FEW_GROUPS:
+        brackets = F.broadcast(brackets)
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         if not by:
