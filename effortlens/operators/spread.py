@@ -2,15 +2,16 @@
 
 A developer's days are placed in order, each with regard to what the days before it hold, so this
 part is a loop per developer. It gets one row a day, summed by Spark beforehand, never the commits:
-a group is bounded by the calendar, however many commits a developer has. Shares of commits are a
-window again.
+a group is bounded by the calendar, however many commits a developer has. Groups are read in order in
+one pass, so many small ones cost no more than their rows. Shares of commits are a window again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +34,30 @@ def even_split(cents: int, n: int) -> list[int]:
     return [low + (i < more) for i in range(n)]
 
 
-def place(entries: list[tuple[date, int]], cap: int = params.MAX_CENTS_PER_DAY, window: int = params.MAX_SPREAD_DAYS) -> list[tuple[date, date, int]]:
-    """(entry day, placed day, cents) for entries in date order."""
-    held: dict[date, int] = {}
-    out: list[tuple[date, date, int]] = []
-    previous: date | None = None
-    for day, cents in entries:
-        around = days_back(day, window)
+class Calendar:
+    """What the days of one developer hold, while entries come in date order."""
+
+    def __init__(self, cap: int = params.MAX_CENTS_PER_DAY, window: int = params.MAX_SPREAD_DAYS):
+        self.cap, self.window = cap, window
+        self.held: dict[date, int] = {}
+        self.previous: date | None = None
+
+    def place(self, day: date, cents: int) -> list[tuple[date, int]]:
+        """(placed day, cents) of the next entry."""
+        cap, held, previous = self.cap, self.held, self.previous
+        around = days_back(day, self.window)
         fresh = [d for d in around if previous is None or d > previous]
         older = [d for d in around if previous is not None and d <= previous]
-        left, previous = cents, day
+        left, self.previous = cents, day
+        out: list[tuple[date, int]] = []
         if cents <= 0:
-            continue
+            return out
 
-        def put(d: date, amount: int, day: date = day) -> int:
+        def put(d: date, amount: int) -> int:
             amount = min(amount, cap - held.get(d, 0))
             if amount > 0:
                 held[d] = held.get(d, 0) + amount
-                out.append((day, d, amount))
+                out.append((d, amount))
             return max(amount, 0)
 
         n = min(-(-cents // cap), len(fresh))
@@ -62,20 +69,39 @@ def place(entries: list[tuple[date, int]], cap: int = params.MAX_CENTS_PER_DAY,
                 left -= put(d, left)
         for d in older:
             left -= put(d, left)
-    return out
+        return out
+
+
+def place(entries: list[tuple[date, int]], cap: int = params.MAX_CENTS_PER_DAY, window: int = params.MAX_SPREAD_DAYS) -> list[tuple[date, date, int]]:
+    """(entry day, placed day, cents) for entries in date order."""
+    calendar = Calendar(cap, window)
+    return [(day, d, amount) for day, cents in entries for d, amount in calendar.place(day, cents)]
 
 
 def placed_days(commits: DataFrame, by: tuple[str, ...] = ("email",)) -> DataFrame:
-    """Commits (``by``, day, cents) -> by, entry_day, day, cents placed; each group of ``by`` is a calendar of its own."""
+    """Commits (``by``, day, cents) -> by, entry_day, day, cents placed; each group of ``by`` is a calendar of its own.
+
+    Groups may be many and small: a task reads its groups one after another in batches, with the calendar of one at a time.
+    """
 
-    def place_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("day")
-        placed = place([(d, int(c)) for d, c in zip(rows["day"], rows["cents"], strict=True)])
-        return pd.DataFrame([(*key, a, b, c) for a, b, c in placed], columns=[*by, "entry_day", "day", "cents"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, calendar = None, Calendar()
+        for batch in batches:
+            days, cents = batch.column("day").to_pylist(), batch.column("cents").to_pylist()
+            rows, placed = [], []
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by), strict=True)):
+                if key != at:
+                    at, calendar = key, Calendar()
+                for part in calendar.place(days[i], cents[i]):
+                    rows.append(i)
+                    placed.append(part)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            made = [pa.array([d for d, _ in placed], pa.date32()), pa.array([c for _, c in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in by), taken.column("day"), *made], names=[*by, "entry_day", "day", "cents"])
 
     entries = commits.groupBy(*by, "day").agg(F.sum("cents").alias("cents"))
     keys = "".join(f"`{c}` {entries.schema[c].dataType.simpleString()}, " for c in by)
-    return entries.groupBy(*by).applyInPandas(place_group, f"{keys}entry_day date, day date, cents long")
+    return entries.repartition(*by).sortWithinPartitions(*by, "day").mapInArrow(run, f"{keys}entry_day date, day date, cents long")
 
 
 def daily_effort(commits: DataFrame) -> DataFrame:
