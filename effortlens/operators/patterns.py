@@ -5,10 +5,11 @@ Files are those of ``diffs.file_features``: the columns of the commit, file_no,
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from effortlens.operators import diffs
 
@@ -91,47 +92,59 @@ def bulk_edits(files: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _content(files: DataFrame, by: list[str], sign: str, count: str, file: str) -> DataFrame:
-    """by, ``file``, line: distinct stripped lines of more than three characters with ``sign``, of files with more than five such lines."""
+    """by, ``file``, lines: distinct stripped lines of more than three characters with ``sign``, of files with more than five such lines.
+
+    An overlap needs more than ten lines on both sides, so files with fewer are left out.
+    """
     kept = F.filter(F.split("diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 2))
-    lines = F.array_distinct(F.transform(kept, lambda x: _strip(F.substr(x, F.lit(2)))))
-    rows = files.where(F.col(count) > 5).select(*by, F.col("file_no").alias(file), F.explode(lines).alias("line"))
-    return rows.where(F.char_length("line") > 3)
+    lines = F.array_distinct(F.filter(F.transform(kept, lambda x: _strip(F.substr(x, F.lit(2)))), lambda x: F.char_length(x) > 3))
+    return files.where(F.col(count) > 5).select(*by, F.col("file_no").alias(file), lines.alias("lines")).where(F.size("lines") > 10)
 
 
 def move_overlaps(files: DataFrame, by: list[str]) -> DataFrame:
     """by, source, target, overlap: files of a commit where more than 40 % of the source's deleted lines, and more than ten, are added in the target.
 
-    So many lines are shared that at least one is among the source's rarest: only those meet, and
-    lines that stand in many files do not pair every file with every other. Pairs found are then counted on all lines.
+    So many lines are shared that at least one is among the source's rarest: only those meet, as hashes, and
+    lines that stand in many files do not pair every file with every other. Pairs found are then counted on the texts of all lines.
     """
     gone, come = _content(files, by, "-", "deleted", "source"), _content(files, by, "+", "added", "target")
-    use = come.groupBy(*by, "line").agg(F.count("*").alias("n_targets"))
+    hashes = F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("line")
+    come_lines = come.select(*by, "target", hashes)
+    use = come_lines.groupBy(*by, "line").agg(F.count("*").alias("n_targets"))
     order = Window.partitionBy(*by, "source").orderBy("n_targets", "line")
-    ranked = gone.join(use, [*by, "line"], "left").withColumn("n_targets", F.coalesce("n_targets", F.lit(0)))
-    ranked = ranked.withColumns({"place": F.row_number().over(order), "n_lines": F.count("*").over(Window.partitionBy(*by, "source"))})
+    ranked = gone.select(*by, "source", F.size("lines").alias("n_lines"), hashes).join(use, [*by, "line"], "left")
+    ranked = ranked.withColumn("n_targets", F.coalesce("n_targets", F.lit(0))).withColumn("place", F.row_number().over(order))
     needed = F.greatest(F.floor(F.col("n_lines") * 0.4), F.lit(10)) + 1
     rare = ranked.where((F.col("place") <= F.col("n_lines") - needed + 1) & (F.col("n_targets") > 0))
-    pairs = rare.join(come, [*by, "line"]).where("source <> target").select(*by, "source", "target", "n_lines").distinct()
-    shared = pairs.join(gone, [*by, "source"]).join(come, [*by, "target", "line"]).groupBy(*by, "source", "target", "n_lines").agg(F.count("*").alias("n"))
+    pairs = rare.join(come_lines, [*by, "line"]).where("source <> target").select(*by, "source", "target").distinct()
+    shared = pairs.join(gone.withColumnRenamed("lines", "gone"), [*by, "source"]).join(come.withColumnRenamed("lines", "come"), [*by, "target"])
+    shared = shared.select(*by, "source", "target", F.size("gone").alias("n_lines"), F.size(F.array_intersect("gone", "come")).alias("n"))
     return shared.where((F.col("n") > 10) & (F.col("n") / F.col("n_lines") > 0.4)).select(*by, "source", "target", (F.col("n") / F.col("n_lines")).alias("overlap"))
 
 
 def move_pairs(files: DataFrame, by: list[str]) -> DataFrame:
-    """by, source, target, overlap: in file order each source takes the target of the largest overlap that none before it took; ties by file order."""
-    overlaps = move_overlaps(files, by)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        keep = []
-        for _, mine in rows.sort_values(["source", "overlap", "target"], ascending=[True, False, True]).groupby("source"):
-            free = mine[~mine["target"].isin(taken)].head(1)
-            taken.update(free["target"])
-            keep.append(free)
-        return pd.concat(keep)
-
-    kinds = [overlaps.schema[c] for c in by]
-    made = [StructField("source", IntegerType()), StructField("target", IntegerType()), StructField("overlap", DoubleType())]
-    return overlaps.groupBy(*by).applyInPandas(choose, StructType([*kinds, *made]))
+    """by, source, target, overlap: in file order each source takes the target of the largest overlap that none before it took; ties by file order.
+
+    A task reads its commits one after another, with what is taken in one of them at a time.
+    """
+    overlaps = move_overlaps(files, by).select(*by, "source", "target", "overlap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, source, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            columns = [batch.column(c).to_pylist() for c in (*by, "source", "target")]
+            for i, (*key, mine, target) in enumerate(zip(*columns, strict=True)):
+                if key != at:
+                    at, source, taken = key, None, set()
+                if mine != source and target not in taken:
+                    source = mine
+                    taken.add(target)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    ordered = overlaps.repartition(*by).sortWithinPartitions(*by, "source", F.col("overlap").desc(), "target")
+    return ordered.mapInArrow(run, overlaps.schema)
 
 
 def moves(files: DataFrame, messages: DataFrame, by: list[str]) -> DataFrame:

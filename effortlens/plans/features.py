@@ -37,9 +37,8 @@ def _duck_list(values):
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _raw_diffs(spark, d, *more):
-    """sha, columns ``more`` of the line item, diff of three files a commit; every fiftieth part has long ones."""
-    t = table(spark, d, "lineitem")
+def _raw_diffs(t, *more):
+    """Line items -> sha, their columns ``more``, diff of three files a commit; every fiftieth part has long ones."""
     parts = []
     for j in range(3):
         name = _spark_pick(NAMES, f"(l_partkey * 7 + l_linenumber + {j} * 5) % {len(NAMES)}")
@@ -96,7 +95,7 @@ TIERED = f"""tiered AS (SELECT *, CASE WHEN list_has_any(tags, ['generated', 'lo
 
 
 def _files(spark, d):
-    return diffs.file_features(diffs.split_files(_raw_diffs(spark, d)))
+    return diffs.file_features(diffs.split_files(_raw_diffs(table(spark, d, "lineitem"))))
 
 
 def _tiers(spark, d):
@@ -224,7 +223,7 @@ _LAST = """base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dup
 
 QUERIES = {
     "diff_files": (
-        lambda spark, d: diffs.split_files(_raw_diffs(spark, d)).select("sha", "file_no", "filename", F.md5("diff").alias("digest"), diffs.n_added(F.col("diff")).alias("added"), diffs.n_deleted(F.col("diff")).alias("deleted")),
+        lambda spark, d: diffs.split_files(_raw_diffs(table(spark, d, "lineitem"))).select("sha", "file_no", "filename", F.md5("diff").alias("digest"), diffs.n_added(F.col("diff")).alias("added"), diffs.n_deleted(F.col("diff")).alias("deleted")),
         with_frames("SELECT sha, file_no, filename, md5(diff) AS digest, added, deleted FROM counted", RAW, FILES),
     ),
     "file_tags": (
@@ -245,7 +244,7 @@ QUERIES = {
         with_frames(f"SELECT sha, filename FROM counted WHERE added > 2 AND deleted < 3 AND regexp_matches(filename, {_matches(diffs.ARTEFACTS)})", RAW, FILES),
     ),
     "directory_groups": (
-        lambda spark, d: diffs.split_files(_raw_diffs(spark, d)).groupBy(diffs.top_directory(F.col("filename")).alias("directory")).agg(F.count("*").alias("n")),
+        lambda spark, d: diffs.split_files(_raw_diffs(table(spark, d, "lineitem"))).groupBy(diffs.top_directory(F.col("filename")).alias("directory")).agg(F.count("*").alias("n")),
         with_frames(
             """SELECT CASE WHEN len(p) >= 3 THEN p[1] || '/' || p[2] WHEN len(p) = 2 THEN p[1] ELSE '(root)' END AS directory, count(*) AS n
             FROM (SELECT string_split(filename, '/') AS p FROM counted) GROUP BY 1""",
@@ -261,7 +260,7 @@ QUERIES = {
         ),
     ),
     "top_extensions": (
-        lambda spark, d: diffs.top_extensions(diffs.split_files(_raw_diffs(spark, d)).join(commits(spark, d).select("sha", "repo"), "sha"), ["repo"]),
+        lambda spark, d: diffs.top_extensions(diffs.split_files(_raw_diffs(table(spark, d, "lineitem"))).join(commits(spark, d).select("sha", "repo"), "sha"), ["repo"]),
         with_frames(
             """SELECT repo, extension, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, extension) AS rank FROM (SELECT repo, extension, count(*) AS n
             FROM (SELECT sha, lower(regexp_extract(filename, '[^/]\\.([^./]*)$', 1)) AS extension FROM counted) JOIN commits USING (sha) WHERE extension <> '' GROUP BY repo, extension)) WHERE rank <= 5""",
@@ -269,7 +268,7 @@ QUERIES = {
         ),
     ),
     "complexity_scores": (
-        lambda spark, d: _raw_diffs(spark, d).select("sha", diffs.complexity(F.col("diff")).alias("score")),
+        lambda spark, d: _raw_diffs(table(spark, d, "lineitem")).select("sha", diffs.complexity(F.col("diff")).alias("score")),
         with_frames(
             f"""SELECT sha, len(list_filter(a, lambda x: regexp_matches(x, '{diffs.FUNCTION_LINE}'))) * 2 + len(list_filter(a, lambda x: regexp_matches(x, '{diffs.CONTROL_LINE}')))
             + len(list_filter(a, lambda x: regexp_matches(x, '^(\\t{{3,}}|\\s{{12,}})'))) * 0.5::DOUBLE AS score
@@ -278,7 +277,7 @@ QUERIES = {
         ),
     ),
     "normal_lines": (
-        lambda spark, d: diffs.split_files(_raw_diffs(spark, d)).select(F.explode(diffs.added_lines(F.col("diff"))).alias("line")).groupBy(diffs.normal_line(F.col("line")).alias("line")).agg(F.count("*").alias("n")),
+        lambda spark, d: diffs.split_files(_raw_diffs(table(spark, d, "lineitem"))).select(F.explode(diffs.added_lines(F.col("diff"))).alias("line")).groupBy(diffs.normal_line(F.col("line")).alias("line")).agg(F.count("*").alias("n")),
         with_frames(
             r"""SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\b(\w+\.){2,}\w+\b', '<CHAIN>', 'g'), '(import\s+)[\w.]+', '\1<IMPORT>', 'g'),
             '\b[A-Z][a-zA-Z0-9]{2,}\b', '<TYPE>', 'g'), '"[^"]*"', '"<STR>"', 'g'), '''[^'']*''', '''<STR>''', 'g'), '\b\d+\b', '<NUM>', 'g')) AS line, count(*) AS n

@@ -13,14 +13,19 @@ _BY = ["sha"]
 _LINES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def _line_items(spark, d):
+    """Line items where their order is: only keys are shuffled, texts are made of them afterwards."""
+    return table(spark, d, "lineitem").select(*_LINES).repartition("l_orderkey")
+
+
 def _joined(rows):
     """sha, diff: the diffs of an order's line items, one after another."""
     parts = F.sort_array(F.collect_list(F.struct("l_linenumber", "diff")))
-    return rows.groupBy(F.col("l_orderkey").alias("sha")).agg(F.array_join(F.transform(parts, lambda x: x["diff"]), "").alias("diff"))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(parts, lambda x: x["diff"]), "").alias("diff")).withColumnRenamed("l_orderkey", "sha")
 
 
 def _files(spark, d):
-    return diffs.file_features(diffs.split_files(_joined(features._raw_diffs(spark, d, *_LINES))))
+    return diffs.file_features(diffs.split_files(_joined(features._raw_diffs(_line_items(spark, d), *_LINES))))
 
 
 RAW = f"""raw AS (SELECT l_orderkey AS sha, string_agg(diff, '' ORDER BY l_linenumber, diff) AS diff FROM (
@@ -49,10 +54,12 @@ COVERAGE = """shares AS (SELECT sha, file_no, sum(CASE WHEN n_files IS NULL THEN
 def _moved_files(spark, d):
     """Every line item takes 11 to 60 numbered lines of one of five texts out of one file and adds some of its own number in another."""
     gone, come = F.expr("l_partkey % 5"), F.expr("(l_partkey + l_linenumber) % 5")
-    numbered = lambda sign, n, text: F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(sign + "line "), i.cast("string"), F.lit(" of "), text.cast("string"), F.lit("\n"))), "")
+    # the first n lines of one of five long texts
+    long = lambda sign: F.array(*[F.lit("".join(f"{sign}line {i} of {k}\n" for i in range(1, 66))) for k in range(5)])
+    numbered = lambda sign, n, text: F.concat(F.call_function("substring_index", F.get(long(sign), text.cast("int")), F.lit("\n"), n.cast("int")), F.lit("\n"))
     head = lambda folder: F.concat(F.lit(f"diff --git a/{folder}/f b/{folder}/"), F.col("l_linenumber").cast("string"), F.lit(".py\n@@ -1 +1 @@\n"))
     text = F.concat(head("old"), numbered("-", F.expr("11 + l_suppkey % 50"), gone), head("new"), numbered("+", F.expr("6 + l_partkey % 60"), come))
-    return diffs.file_features(diffs.split_files(_joined(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("diff")))))
+    return diffs.file_features(diffs.split_files(_joined(_line_items(spark, d).select("l_orderkey", "l_linenumber", text.alias("diff")))))
 
 
 def _messages(spark, d):
