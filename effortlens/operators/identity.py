@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
+from math import comb
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,49 +20,113 @@ from effortlens.storage import checkpointed
 PUBLIC_DOMAINS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "mail.ru", "yandex.ru", "users.noreply.github.com", "noreply.github.com")
 #: Names up to this length meet by deletion variants, longer ones by an unedited piece.
 _SHORT = 15
+#: Names whose keys are made at once: up to about 1000 keys each.
+_AT_ONCE = 1000
+#: People whose links a task holds at once.
+_HELD = 500_000
 
 
-def name_keys(name: str, edits: int) -> tuple[set[str], set[str]]:
-    """(own keys, keys to look for): two names within ``edits`` edits have an own key of the one among the looked-for keys of the other.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers of small ones."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
-    Both leave an equal text if each loses at most ``edits`` characters. For long names that are too
-    many texts; there one of ``edits`` + 1 pieces is unedited and stands at most ``edits`` places off.
-    """
+
+@lru_cache(maxsize=64)
+def _kept(n: int, edits: int) -> list[np.ndarray]:
+    """For each number of lost characters up to ``edits``: the places that are left, a row a choice."""
+    return [np.array(list(combinations(range(n), n - k)), dtype=np.int64).reshape(comb(n, k), n - k) for k in range(min(edits, n) + 1)]
+
+
+def _variants(codes: np.ndarray, edits: int) -> np.ndarray:
+    """Code points, a row a name of one length -> hashes of what is left of each when it loses at most ``edits`` characters, ascending, repeats included."""
+    values = _mixed(codes.astype(np.uint64))
+    out = []
+    for places in _kept(codes.shape[1], edits):
+        weights = _mixed(np.arange(places.shape[1], dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
+        sums = np.full((len(codes), len(places)), places.shape[1], dtype=np.uint64)
+        for i, w in enumerate(weights):
+            sums += values[:, places[:, i]] * w
+        out.append(_mixed(sums))
+    found = np.concatenate(out, axis=1)
+    found.sort(axis=1)
+    return found.view(np.int64)
+
+
+def _codes(names: list[str], n: int) -> np.ndarray:
+    return np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32).reshape(len(names), n)
+
+
+def _piece_keys(name: str, edits: int) -> tuple[set[int], set[int]]:
     own, wanted, n = set(), set(), len(name)
-    if n <= _SHORT + edits:
-        for k in range(min(edits, n) + 1):
-            for gone in combinations(range(n), k):
-                cut, at = [], 0
-                for g in gone:
-                    cut.append(name[at:g])
-                    at = g + 1
-                own.add("d" + "".join(cut) + name[at:])
-        wanted |= own
     pieces = lambda size: [(i, i * size // (edits + 1), (i + 1) * size // (edits + 1)) for i in range(edits + 1)]
     if n > _SHORT:
         own |= {f"p{n}:{i}:{name[x:y]}" for i, x, y in pieces(n)}
         for size in range(max(n - edits, _SHORT + 1), n + edits + 1):
             for i, x, y in pieces(size):
                 wanted |= {f"p{size}:{i}:{name[x + s : y + s]}" for s in range(-edits, edits + 1) if x + s >= 0 and y + s <= n}
-    return own, wanted
+    hashed = lambda keys: {int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "little", signed=True) for k in keys}
+    return hashed(own), hashed(wanted)
 
 
-def near_names(names: DataFrame, edits: int) -> DataFrame:
-    """names (scope, name) -> scope, x, y: the pairs x < y of one scope that are 1 to ``edits`` edits apart."""
+def name_keys(name: str, edits: int) -> tuple[set[int], set[int]]:
+    """(own keys, keys to look for), hashes: two names within ``edits`` edits have an own key of the one among the looked-for keys of the other.
+
+    Both leave an equal text if each loses at most ``edits`` characters. For long names that are too
+    many texts; there one of ``edits`` + 1 pieces is unedited and stands at most ``edits`` places off.
+    """
+    own, wanted = _piece_keys(name, edits)
+    both = set(_variants(_codes([name], len(name)), edits)[0].tolist()) if len(name) <= _SHORT + edits else set()
+    return own | both, wanted | both
+
+
+def _keyed(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """scope, name -> the same, keys and their side: 0 both, 1 own, 2 to look for."""
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            by_length: dict[int, list[int]] = {}
+            for k, name in enumerate(names):
+                by_length.setdefault(len(name), []).append(k)
+            for n, rows in by_length.items():
+                if n > _SHORT:
+                    of, keys, sides = [], [], []
+                    for k in rows:
+                        for side, some in enumerate(_piece_keys(names[k], edits), 1):
+                            of.append(k)
+                            keys.append(sorted(some))
+                            sides.append(side)
+                    yield made(batch, of, pa.array(keys, pa.list_(pa.int64())), sides)
+                for at in range(0, len(rows) if n <= _SHORT + edits else 0, _AT_ONCE):
+                    some = rows[at : at + _AT_ONCE]
+                    found = _variants(_codes([names[k] for k in some], n), edits)
+                    new = np.ones(found.shape, dtype=bool)
+                    new[:, 1:] = found[:, 1:] != found[:, :-1]
+                    ends = np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)
+                    yield made(batch, some, pa.ListArray.from_arrays(pa.array(ends), pa.array(found[new])), [0] * len(some))
+
+    def made(batch: pa.RecordBatch, rows: list[int], keys: pa.Array, sides: list[int]) -> pa.RecordBatch:
+        taken = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([taken.column("scope"), taken.column("name"), keys, pa.array(sides, pa.int32())], names=["scope", "name", "keys", "side"])
+
+    return run
 
-    def keyed(side: int):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                yield part.assign(key=[sorted(name_keys(x, edits)[side]) for x in part["name"]]).explode("key")[["scope", "name", "key"]]
 
-        return run
+def near_names(names: DataFrame, edits: int) -> DataFrame:
+    """names (scope, name) -> scope, x, y: the pairs x < y of one scope that are 1 to ``edits`` edits apart.
 
-    rows = names.distinct()
-    sides = [
-        rows.mapInPandas(keyed(side), "scope string, name string, key string").select("scope", F.col("name").alias(x), F.xxhash64("key").alias("key"))
-        for side, x in enumerate("xy")
-    ]
-    met = sides[0].join(sides[1].hint("merge"), ["scope", "key"]).where("x <> y")
+    The names are few bytes but much work, so they are dealt to as many tasks as shuffles have.
+    """
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(names.select("scope", "name").dropna().repartition(tasks, "scope", "name").distinct())
+    keyed = rows.repartition(tasks).mapInArrow(_keyed(edits), "scope string, name string, keys array<long>, side int").select("scope", "name", "side", F.explode("keys").alias("key"))
+    # joined and sorted by one number, into which the scope is mixed; the scopes are compared after it
+    keyed = keyed.withColumn("key", F.xxhash64("scope", "key"))
+    x, y = (keyed.select("key", F.col("scope").alias(f"{n}_scope"), F.col("name").alias(n), F.col("side").alias(f"{n}_side")) for n in "xy")
+    sides = F.col("x_side") + F.col("y_side")
+    fit = ((sides == 0) & (F.col("x") < F.col("y"))) | ((sides == 3) & (F.col("x_side") < F.col("y_side")) & (F.col("x") != F.col("y")))
+    met = x.join(y.hint("merge"), "key").where(fit & (F.col("x_scope") <= F.col("y_scope")) & (F.col("x_scope") >= F.col("y_scope"))).withColumnRenamed("x_scope", "scope")
     met = met.select("scope", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return met.where(F.levenshtein("x", "y", edits).between(1, edits))
 
@@ -127,15 +195,45 @@ def match_links(people: DataFrame) -> DataFrame:
     return _links(people).select("a", "b").distinct()
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b -> a, b with the same components: everyone of these rows with the smallest one that they lead to, a bounded number of people at a time."""
+    over: dict = {}
+
+    def top(x):
+        path = []
+        while over.setdefault(x, x) != x:
+            path.append(x)
+            x = over[x]
+        for y in path:
+            over[y] = x
+        return x
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            over[max(x, y)] = min(x, y)
+        if len(over) > _HELD:
+            yield pa.RecordBatch.from_arrays([pa.array([top(x) for x in over], kind), pa.array(list(over), kind)], names=["a", "b"])
+            over.clear()
+    if over:
+        yield pa.RecordBatch.from_arrays([pa.array([top(x) for x in over], kind), pa.array(list(over), kind)], names=["a", "b"])
+
+
 def match_groups(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """id, group (smallest id that matches lead to) of everyone in a pair."""
-    both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    """id, group (smallest id that matches lead to) of everyone in a pair.
+
+    Pairs of neighbouring ids meet in one task, which puts their whole chain together; what is left between tasks takes rounds.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    stars = pairs.select("a", "b").dropna().repartitionByRange("a").mapInArrow(_stars, f"a {kind}, b {kind}")
+    both = checkpointed(stars.union(stars.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("group")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("group", "near").alias("to"), F.col("group").alias("was"))
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        moved = checkpointed(step.join(jump, "to").select("id", F.col("far").alias("group"), "was"))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
+        step = labels.join(near.hint("merge"), "id").select("id", F.least("group", "near").alias("to"), F.col("group").alias("was"))
+        jump = labels.select(F.col("id").alias("to"), F.col("group").alias("far"))
+        moved = checkpointed(step.join(jump.hint("merge"), "to").select("id", F.col("far").alias("group"), "was"))
         labels = moved.select("id", "group")
         if moved.where("group <> was").isEmpty():
             return labels
