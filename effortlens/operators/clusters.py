@@ -10,9 +10,10 @@ Then the smallest joins the next smallest until fifteen are left, by a heap.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +82,34 @@ def merged(directories: list[str], sizes: list[int]) -> list[int]:
     return into
 
 
-def _merge_commit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["dir_first", "first"], kind="stable")
-    into = merged(rows["directory"].tolist(), rows["n"].tolist())
-    name = rows["name"].tolist()
-    return pd.DataFrame({"sha": key[0], "directory": rows["directory"].tolist(), "role": rows["role"].tolist(), "cluster_no": into, "cluster": [name[k] for k in into]})
+def _merge_commits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters in the order of their commits, of each commit in the order of its files -> sha, directory, role, cluster_no, cluster.
+
+    Commits are many and small: a task reads them one after another, with the clusters of one at a time.
+    """
+    held: list[tuple] = []
+    for batch in batches:
+        kind, out = batch.column("sha").type, []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("sha", "directory", "role", "n", "name")), strict=True):
+            if held and row[0] != held[0][0]:
+                out += _merged_rows(held)
+                held = []
+            held.append(row)
+        if out:
+            yield _as_batch(out, kind)
+    if held:
+        yield _as_batch(_merged_rows(held), kind)
+
+
+def _merged_rows(rows: list[tuple]) -> list[tuple]:
+    into = merged([r[1] for r in rows], [r[3] for r in rows])
+    return [(sha, d, role, k, rows[k][4]) for (sha, d, role, _, _), k in zip(rows, into, strict=True)]
+
+
+def _as_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    kinds = (kind, pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["sha", "directory", "role", "cluster_no", "cluster"])
 
 
 def file_clusters(files: DataFrame) -> DataFrame:
@@ -97,7 +121,8 @@ def file_clusters(files: DataFrame) -> DataFrame:
     d = F.col("directory")
     name = F.when((d != "") & (F.col("role") != GENERAL), F.concat_ws("/", d, "role")).otherwise(F.when(d != "", d).otherwise(F.col("role")))
     sums = sums.join(heads, ["sha", "directory"]).withColumn("name", F.regexp_replace(name, "^/+|/+$", ""))
-    places = sums.groupBy("sha").applyInPandas(_merge_commit, f"sha {kind}, directory string, role string, cluster_no long, cluster string")
+    ordered = sums.repartition("sha").sortWithinPartitions("sha", "dir_first", "first")
+    places = ordered.mapInArrow(_merge_commits, f"sha {kind}, directory string, role string, cluster_no long, cluster string")
     return rows.join(places, ["sha", "directory", "role"])
 
 
