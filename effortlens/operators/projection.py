@@ -19,9 +19,9 @@ PROVIDER = "github"
 MAX_ROUNDS = 64
 
 
-def _text(element: Column, *names: str) -> Column:
-    found = [F.get_json_object(element, f"$.{n}") for n in names]
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+def _filled(*names: str) -> Column:
+    """The first of the columns that is there and not empty."""
+    return F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names])
 
 
 def extract_aliases(orders: DataFrame) -> DataFrame:
@@ -32,24 +32,31 @@ def extract_aliases(orders: DataFrame) -> DataFrame:
     chosen developer (the last of equal ones), else as it first comes in the groups, primary before
     merged. Elements without an e-mail and texts that are no such JSON are left out.
     """
-    chosen = orders.select("order_id", "workspace", F.posexplode(F.from_json("developers", "array<string>")).alias("at", "element"))
-    chosen = chosen.select("order_id", "workspace", "element", F.lit("primary").alias("source"), F.array(F.lit(0), -F.col("at"), F.lit(0)).alias("rank"))
-    groups = orders.select("order_id", "workspace", F.posexplode(F.from_json("mapping", "map<string, struct<primary: string, merged_from: array<string>>>")).alias("at", "key", "group"))
-    primary = groups.select("order_id", "workspace", F.col("group.primary").alias("element"), F.lit("primary").alias("source"), F.array(F.lit(1), "at", F.lit(0)).alias("rank"))
-    merged = groups.select("order_id", "workspace", "at", F.posexplode("group.merged_from").alias("k", "element"))
-    merged = merged.select("order_id", "workspace", "element", F.lit("merged_from").alias("source"), F.array(F.lit(1), "at", F.col("k") + 1).alias("rank"))
-    rows = chosen.unionByName(primary).unionByName(merged)
-    element = F.col("element")
-    rows = rows.withColumn("email", F.lower(F.trim(_text(element, "email")))).where("email <> ''")
+    # all elements of an order come out of its row in one pass, and each is parsed once
+    item = lambda element, source, *rank: F.struct(element.alias("element"), F.lit(source).alias("source"), F.array(*rank).alias("rank"))
+    zero, one = F.lit(0), F.lit(1)
+    chosen = F.transform(F.from_json("developers", "array<string>"), lambda x, i: item(x, "primary", zero, -i, zero))
+    groups = F.map_entries(F.from_json("mapping", "map<string, struct<primary: string, merged_from: array<string>>>"))
+
+    def members(group: Column, i: Column) -> Column:
+        merged = F.transform(F.coalesce(group["value"]["merged_from"], F.array().cast("array<string>")), lambda x, k: item(x, "merged_from", one, i, k + 1))
+        return F.concat(F.array(item(group["value"]["primary"], "primary", one, i, zero)), merged)
+
+    none = F.array().cast("array<struct<element: string, source: string, rank: array<int>>>")
+    items = F.concat(F.coalesce(chosen, none), F.coalesce(F.flatten(F.transform(groups, members)), none))
+    rows = orders.select("order_id", "workspace", F.explode(items).alias("item")).select("order_id", "workspace", "item.*")
+    fields = ("email", "name", "login", "username", "id")
+    rows = rows.select("order_id", "workspace", "source", "rank", F.json_tuple("element", *fields).alias(*[f"_{x}" for x in fields]))
+    rows = rows.withColumn("email", F.lower(F.trim(_filled("_email")))).where("email <> ''")
     # a group's primary has no login for its name
     in_group = (F.col("source") == "primary") & (F.get("rank", F.lit(0)) == 1)
     made = rows.select(
         "order_id",
         "workspace",
         "email",
-        F.coalesce(_text(element, "name"), F.when(~in_group, _text(element, "login")), F.col("email")).alias("name"),
-        _text(element, "login", "username").alias("username"),
-        _text(element, "id").alias("provider_id"),
+        F.coalesce(_filled("_name"), F.when(~in_group, _filled("_login")), F.col("email")).alias("name"),
+        _filled("_login", "_username").alias("username"),
+        _filled("_id").alias("provider_id"),
         F.lit(PROVIDER).alias("provider"),
         "source",
         "rank",
