@@ -102,12 +102,16 @@ def _stripped(diff: Column, keep) -> Column:
     return F.array_distinct(F.transform(F.filter(_lines(diff), keep), lambda x: F.trim(F.substr(x, F.lit(2)))))
 
 
-def _formatting_only(diff: Column) -> Column:
-    """More than ten changed lines, most of which come back but for white space at their ends."""
+def _formatting_only(diff: Column, n_added: Column, n_deleted: Column) -> Column:
+    """More than ten changed lines, most of which come back but for white space at their ends.
+
+    All of them are added or deleted, and what comes back is both: most files are decided by these two numbers.
+    """
     added, deleted = _stripped(diff, _is_added), _stripped(diff, _is_deleted)
     both = F.size(F.array_intersect(added, deleted))
     changed = _count(_lines(diff), r"^[+-](?![-+])")
-    return (changed > 10) & (both > F.greatest(F.size(added), F.size(deleted)) * 0.7) & (both > 5)
+    few = (n_added + n_deleted <= 10) | (n_added <= 5) | (n_deleted <= 5)
+    return F.when(few, False).otherwise((changed > 10) & (both > F.greatest(F.size(added), F.size(deleted)) * 0.7) & (both > 5))
 
 
 def tags(filename: Column, diff: Column, added: Column, deleted: Column) -> Column:
@@ -117,7 +121,7 @@ def tags(filename: Column, diff: Column, added: Column, deleted: Column) -> Colu
     by_content = [
         F.when((deleted == 0) & (added > 200) & (_count(_lines(diff), JSON_LINE) > added * 0.5), "imported_data"),
         F.when(moved, "likely_move"),
-        F.when(_formatting_only(diff), "formatting_only"),
+        F.when(_formatting_only(diff, added, deleted), "formatting_only"),
         F.when(filename.endswith(".json") & (added > 500), "large_data_file"),
         F.when(filename.rlike(r"\.(md|mdx|rst)$"), "docs"),
         F.when(filename.endswith(".svg"), "generated"),
