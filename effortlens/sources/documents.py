@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fields of an element, each in all its spellings.
+_FIELDS = (
+    "full_name", "fullName", "owner", "name", "id", "url", "html_url", "clone_url", "cloneUrl", "default_branch", "defaultBranch", "language",
+    "stars", "stargazers_count", "is_private", "private",
+)
+
+
 def _field(*names: str) -> Column:
     """The first of the fields of an element that is there and not empty, as text."""
-    found = [F.get_json_object("element", f"$.{n}") for n in names]
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+    return F.coalesce(*[F.when(F.col(f"_{n}") != "", F.col(f"_{n}")) for n in names])
 
 
 def order_repos(orders: DataFrame, column: str = "selected_repos") -> DataFrame:
@@ -20,10 +26,12 @@ def order_repos(orders: DataFrame, column: str = "selected_repos") -> DataFrame:
     count. Owner and name fall back to the parts of the full name. Numbers in quotes count as stars.
     """
     rows = orders.select("order_id", F.posexplode(F.from_json(column, "array<string>")).alias("at", "element"))
+    rows = rows.select("order_id", "at", F.json_tuple("element", *_FIELDS).alias(*[f"_{n}" for n in _FIELDS]))
     full = F.trim(_field("full_name", "fullName"))
     rows = rows.withColumn("full_name", full).where("full_name <> ''")
     split = F.instr("full_name", "/") > 0
-    owner = F.when(F.get_json_object("element", "$.owner").startswith("{"), _field("owner.login")).otherwise(_field("owner"))
+    login = F.get_json_object("_owner", "$.login")
+    owner = F.when(F.col("_owner").startswith("{"), F.when(login != "", login)).otherwise(_field("owner"))
     made = rows.select(
         "order_id",
         "at",
