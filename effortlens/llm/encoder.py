@@ -1,39 +1,65 @@
 """Byte-level BPE over Arrow string columns with the tokenizers library, one distinct piece at a time.
 
 The pre-tokenizer of the vocabulary never joins what stands before a single space to what follows
-it, so a text whose spaces are single may be encoded piece by piece, each piece with the space in
-front of it. Pieces repeat, so only distinct new pieces are encoded. They are encoded many at a
-time, one after the other in one string: a token that starts with a space starts a piece, so the
-tokens fall apart into pieces again. A cache, bounded in pieces and bytes, lives as long as the Python
-worker; when it is full, what has been used once only goes. Other texts (two white-space characters
-together of which one is a space) are encoded whole. Ids are those of encoding each whole text.
+it, nor a letter to a sign behind it (but for the apostrophe), nor either to a line end behind it.
+So a text whose spaces are single may be encoded piece by piece: a word with the space in front of
+it, the signs behind it, a line end with what follows. Pieces repeat, and a word is one piece
+whatever sign stands behind it, so only distinct new pieces are encoded: those of letters alone,
+which are one pre-token, by the library's model, the others by its whole way from text to ids. A
+cache, bounded in pieces and bytes, lives as long as the Python worker; when it is full, what has
+been used once only goes. Other texts (two white-space characters together of which one is a space)
+are encoded whole. Ids are those of encoding each whole text.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from effortlens.llm.wordhash import release_memory
+from effortlens.llm.wordhash import release_memory, text_runs
 
 #: Bounds of the cache of a worker: pieces (about 200 bytes each) and bytes of their texts.
-MAX_CACHED = 150_000
+MAX_CACHED = 400_000
 MAX_CACHED_BYTES = 8 << 20
 #: Bytes of text handled at a time.
 RUN_BYTES = 1 << 20
-#: Characters of new pieces encoded as one string.
+#: Characters of new pieces handed to the library at a time.
 JOINED_CHARS = 1 << 16
 
 _WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_WHOLE = rf" [{_WHITE}]|[{_WHITE}] |\x01"
+_WHOLE = rf" [{_WHITE}]|[{_WHITE}] "
+#: Pieces that are one pre-token: letters of ASCII and Latin-1, the lower half of the byte-level alphabet.
+_LETTERS = re.compile("[ A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF][A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*")
+#: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on; a line end stays.
+_PRINTED = np.zeros(256, dtype=bool)
+_PRINTED[[*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]] = True
+_ALPHABET = np.where(_PRINTED, np.arange(256), 0xFF + np.cumsum(~_PRINTED)).astype("<u2")
+_ALPHABET[0x0A] = 0x0A
+_LETTER, _SIGN, _SEEN = (np.zeros(256, dtype=bool) for _ in range(3))
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SEEN[0x21:0x7F] = True
+# the special token <|endoftext|> is never cut
+_SIGN[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Bytes of texts -> where pieces begin, besides the beginnings of texts."""
+    cut = data == 0x20
+    if len(data) > 1:
+        at, before = data[1:], data[:-1]
+        letter = _LETTER[before]
+        letter[1:] |= (before[:-1] == 0xC3) & (before[1:] >= 0x80) & (before[1:] != 0x97) & (before[1:] != 0xB7)  # all but the signs of times and division
+        cut[1:] |= (_SIGN[at] & letter) | ((at == 0x0A) & (_SEEN[before] | letter))
+    return cut
+
+
 def encoder_for(path: str) -> Encoder:
     """The encoder of this worker process for a vocabulary file."""
     if path not in _encoders:
@@ -57,8 +83,6 @@ class Encoder:
         self._max, self._max_bytes = max_cached, max_bytes
         n = self._tokenizer.get_vocab_size()
         self._kind = np.uint16 if n <= 1 << 16 else np.uint32
-        space = "Ġ"  # the letter that stands for a space in byte-level vocabularies
-        self._opens = np.array([(self._tokenizer.id_to_token(k) or "").startswith(space) for k in range(n)])
         self._known: dict[str, int] = {}
         self._pool = np.empty(0, dtype=self._kind)
         self._end = np.zeros(1, dtype=np.int64)  # of each piece in the pool; its start is the end before it
@@ -92,38 +116,34 @@ class Encoder:
         self._uses = np.concatenate([[0], np.ones(len(keep), dtype=np.int64)])
         self._bytes = sum(map(len, self._known))
 
-    def _learn(self, pieces: list[str], edges: list[str]) -> None:
-        """``edges``: the first and last pieces of texts, which alone may lack the space in front or end in white space."""
-        odd = {p for p in edges if not p.startswith(" ") or len(p) == 1 or p[-1].isspace()}
-        joined = [p for p in pieces if p not in odd]
-        apart = [p for p in pieces if p in odd]
-        counts, ids = [], []
-        at = 0
-        while at < len(joined):
-            some, chars = at, 0
-            while at < len(joined) and chars < JOINED_CHARS:
-                chars += len(joined[at])
-                at += 1
-            _, tokens = self._flat(["".join(joined[some:at])])
-            starts = np.flatnonzero(self._opens[tokens])
-            if len(starts) == at - some and starts[0] == 0:
-                counts.append(np.diff(starts, append=len(tokens)))
-                ids.append(tokens)
-            else:
-                each = self._flat(joined[some:at])
-                counts.append(each[0])
-                ids.append(each[1])
-        if apart:
-            each = self._flat(apart)
-            counts.append(each[0])
-            ids.append(each[1])
-        order = [*joined, *apart]
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_flat`` for pieces that are one pre-token of letters each: no string is cut, only merged."""
+        lengths, ids, at, tokenize = [], [np.empty(0, dtype=self._kind)], 0, self._tokenizer.model.tokenize
+        joined = np.frombuffer("\n".join(words).encode(), dtype=np.uint8)
+        mapped = _ALPHABET[joined].tobytes().decode("utf-16-le").split("\n") if words else []
+        while at < len(mapped):
+            lists = [[t.id for t in tokenize(word)] for word in mapped[at : at + JOINED_CHARS // 8]]
+            at += len(lists)
+            lengths += map(len, lists)
+            ids.append(np.fromiter(chain.from_iterable(lists), dtype=self._kind))
+        return np.array(lengths, dtype=np.int64), np.concatenate(ids)
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces; their slots."""
+        plain = np.fromiter((_LETTERS.fullmatch(p) is not None for p in pieces), dtype=bool, count=len(pieces))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        ordered = [pieces[k] for k in order.tolist()]
+        n = int(plain.sum())
+        counts, ids = zip(self._letters(ordered[:n]), self._flat(ordered[n:]), strict=True)
         first = len(self._end)
-        self._known.update(zip(order, range(first, first + len(order)), strict=True))
-        self._pool = np.concatenate([self._pool, *[x.astype(self._kind) for x in ids]])
+        self._known.update(zip(ordered, range(first, first + len(ordered)), strict=True))
+        self._pool = np.concatenate([self._pool, *ids])
         self._end = np.concatenate([self._end, self._end[-1] + np.cumsum(np.concatenate(counts))])
-        self._uses = np.concatenate([self._uses, np.zeros(len(order), dtype=np.int64)])
-        self._bytes += sum(map(len, order))
+        self._uses = np.concatenate([self._uses, np.zeros(len(ordered), dtype=np.int64)])
+        self._bytes += sum(map(len, ordered))
+        slots = np.empty(len(ordered), dtype=np.int64)
+        slots[order] = np.arange(first, first + len(ordered))
+        return slots
 
     def encode_whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -136,19 +156,23 @@ class Encoder:
         """For texts fit for it: (first piece of each text and one more, pool start and token count of each piece)."""
         if len(self._known) > self._max or self._bytes > self._max_bytes:
             self._forget()
-        marked = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
-        first = np.asarray(marked.offsets).astype(np.int64)
-        coded = marked.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        runs = list(text_runs(texts, 1 << 62))
+        data, offsets = (runs[0][2][runs[0][3][0] : runs[0][3][-1]], runs[0][3] - runs[0][3][0]) if runs else (np.empty(0, np.uint8), np.zeros(1, np.int64))
+        cut = _cuts(data)
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        first = np.searchsorted(starts, offsets)
+        ends = pa.py_buffer(np.append(starts, len(data)))
+        coded = pa.LargeStringArray.from_buffers(len(starts), ends, pa.py_buffer(data)).dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [p for p in distinct if p not in self._known]:
-            filled = np.flatnonzero(np.diff(first))
-            edges = np.concatenate([first[filled], first[filled + 1] - 1]) - first[0]
-            self._learn(new, coded.take(pa.array(edges)).to_pylist())
-        slots = np.fromiter(map(self._known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        slots = np.fromiter(map(self._known.get, distinct, repeat(0)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(slots == 0)
+        if len(new):
+            slots[new] = self._learn([distinct[k] for k in new.tolist()])
         slot = slots[np.asarray(coded.indices)]
         self._uses[slots] += np.bincount(np.asarray(coded.indices), minlength=len(slots))
         start = self._end[slot - 1]
-        return first - first[0], start, self._end[slot] - start
+        return first, start, self._end[slot] - start
 
     def fits(self, texts: pa.Array) -> np.ndarray:
         """Which texts may be encoded piece by piece."""

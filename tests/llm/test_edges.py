@@ -219,6 +219,19 @@ def test_encoder_that_forgets_still_agrees():
         assert lengths.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
 
 
+def test_a_word_is_encoded_once_whatever_sign_follows():
+    from effortlens.llm.encoder import Encoder
+
+    encoder, words = Encoder(tokenizer_file()), ["maison", "été", "Straße", "year", "x×y", "½"]
+    texts = ["".join(f" {w}{s}" for w in words for s in ["", ".", ",", "!?", "'s", "-bar", "\nThe", "<|endoftext|>", ">.", "é.\n\nÀ,", "7.", "\u0301,"]) + end for end in ["", ".", "\n", " "]]
+    lengths, ids = encoder.encode(pa.array(texts))
+    whole = [encoder.encode_whole(t) for t in texts]
+    assert lengths.tolist() == list(map(len, whole)) and ids.tolist() == sum(whole, [])
+    few = Encoder(tokenizer_file())
+    few.encode(pa.array([" word word. word, word! word\nword word; word"]))
+    assert set(few._known) == {" word", ".", ",", "!", ";", "\nword"}
+
+
 def test_edits_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (4, prose(2, 200)), (4, prose(2, 200)), (5, "x" * 3000)]
     trees = tokencount.build_trees(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file())
