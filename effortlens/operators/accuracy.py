@@ -13,6 +13,32 @@ def consensus(truth: DataFrame) -> DataFrame:
     return truth.groupBy("sha").agg(F.median("cents").alias("cents"))
 
 
+#: Up to so many whole numbers have a median that follows from their number, sum, least and largest.
+_FEW = 4
+
+
+def estimates(truth: DataFrame) -> DataFrame:
+    """sha, n, total, lo, hi of its estimates: what ``with_consensus`` takes medians from, in sums of fixed size."""
+    c = F.col("cents")
+    return truth.groupBy("sha").agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+
+
+def with_consensus(rows: DataFrame, truth: DataFrame, name: str) -> DataFrame:
+    """``rows``, stored, with the columns of ``estimates``: ``name``, the consensus of whole cents, in their place.
+
+    The estimates themselves are read again for shas only that have more than four.
+    """
+    n, middle = F.col("n"), F.col("total") - F.col("lo") - F.col("hi")
+    few = F.when(n == 1, F.col("total").cast("double")).when(n == 2, F.col("total") / 2).when(n == 3, middle.cast("double")).when(n == _FEW, middle / 2)
+    many = rows.where(n > _FEW)
+    if many.isEmpty():
+        found = rows.withColumn(name, few)
+    else:
+        medians = consensus(truth.join(many.select("sha").distinct(), "sha", "left_semi")).withColumnRenamed("cents", "_median")
+        found = rows.join(medians, "sha", "left").withColumn(name, F.coalesce(few, "_median")).drop("_median")
+    return found.drop("n", "total", "lo", "hi")
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Null on zero variance, where corr raises."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -69,9 +69,9 @@ def _order_repos(spark, d):
 
 def _residuals(spark, d):
     """Commits that were held out: how far estimates are from the experts' median before and after the correction, in whole cents."""
-    truth = accuracy.consensus(ground_truth(spark, d)).withColumnRenamed("cents", "truth")
-    rows = commits(spark, d).join(truth, "sha").select("sha", F.col("cents").cast("double").alias("estimate"), "truth", F.substring("repo", 9, 2).cast("double").alias("repo_no"), "category", "method")
-    rows = checkpointed(residuals.with_folds(rows, "sha"))
+    truth = ground_truth(spark, d)
+    rows = commits(spark, d).join(accuracy.estimates(truth), "sha").select("sha", F.col("cents").cast("double").alias("estimate"), "n", "total", "lo", "hi", F.substring("repo", 9, 2).cast("double").alias("repo_no"), "category", "method")
+    rows = accuracy.with_consensus(checkpointed(residuals.with_folds(rows, "sha")), truth, "truth")
     judged = residuals.corrected(rows, residuals.fit(rows, ["estimate", "repo_no"], ["category", "method"]))
     return residuals.errors(judged).select("n", *[F.round(c).cast("long").alias(c) for c in ("mae_before", "mae_after")])
 
