@@ -8,6 +8,9 @@ to constants, and a run of them has a closed form: with running sums S from the
 x = S + max(x0, max(-S)). Entries are therefore cut into ranges by (user, time); each range is
 solved by two window functions, ranges are composed, one row each, and the balance at the start of
 each range is put in. A user with a third of all entries is spread over many tasks.
+
+User and range are a key of columns that are never null: windows, sums and joins by it need one shuffle
+of the entries, and a missing user is a user too.
 """
 
 from __future__ import annotations
@@ -28,24 +31,29 @@ def in_ranges(entries: DataFrame, n_ranges: int | None = None) -> DataFrame:
     return checkpointed(spread.withColumn("range_no", F.spark_partition_id()))
 
 
-def _upto(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+#: User and range of an entry, which every window over entries is of.
+USER = ["_user", "_none"]
+KEY = [*USER, "range_no"]
+
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of KEY in place of user_id, a number or a string."""
+    user = F.col("user_id")
+    return rows.withColumns({"_user": F.coalesce(user, F.lit("0").cast(rows.schema["user_id"].dataType)), "_none": user.isNull()}).drop("user_id")
 
-def _join_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``ranges`` has user_id, range_no: its rows are fewer than users and ranges together."""
-    renamed = ranges.withColumnsRenamed({"user_id": "_user", "range_no": "_range"})
-    return rows.join(renamed, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("range_no") == F.col("_range"))).drop("_user", "_range")
+
+def _upto(*keys: str) -> Window:
+    return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """``rows`` with the last value that is not null of the user's entries before each."""
-    before = Window.partitionBy("user_id", "range_no").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.withColumn("_value", value).groupBy("user_id", "range_no").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*ORDER))).alias("_last"))
-    earlier = Window.partitionBy("user_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("user_id", "range_no", F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"))
+    before = Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.withColumn("_value", value).groupBy(*KEY).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*ORDER))).alias("_last"))
+    earlier = Window.partitionBy(*USER).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*KEY, F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"))
     within = rows.withColumn("_within", F.last(value, ignorenulls=True).over(before))
-    return _join_ranges(within, ranges).withColumn(name, F.coalesce("_within", "_earlier")).drop("_within", "_earlier")
+    return within.join(ranges, KEY).withColumn(name, F.coalesce("_within", "_earlier")).drop("_within", "_earlier")
 
 
 def balances(rows: DataFrame, add: Column, empty: Column, name: str) -> DataFrame:
@@ -55,27 +63,27 @@ def balances(rows: DataFrame, add: Column, empty: Column, name: str) -> DataFram
     zero and starts with zero.
     """
     rows = rows.withColumns({"_add": add, "_empty": F.coalesce(empty, F.lit(False))})
-    rows = rows.withColumn("_run", F.sum(F.col("_empty").cast("long")).over(_upto("user_id", "range_no")))
-    run = _upto("user_id", "range_no", "_run")
+    rows = rows.withColumn("_run", F.sum(F.col("_empty").cast("long")).over(_upto(*KEY)))
+    run = _upto(*KEY, "_run")
     rows = rows.withColumn("_sum", F.sum("_add").over(run))
     rows = rows.withColumn("_low", F.max(-F.col("_sum")).over(run))
 
-    ends = rows.groupBy("user_id", "range_no").agg(F.max_by(F.struct("_run", "_sum", "_low"), F.struct(*ORDER)).alias("e"))
+    ends = rows.groupBy(*KEY).agg(F.max_by(F.struct("_run", "_sum", "_low"), F.struct(*ORDER)).alias("e"))
     emptied, total, low = F.col("e._run") > 0, F.col("e._sum"), F.col("e._low")
     # a range in which the wallet is emptied ends with a balance of its own, whatever came before
     settled = total + F.greatest(low, F.lit(0))
-    ends = ends.select("user_id", "range_no", emptied.alias("emptied"), F.when(emptied, settled).otherwise(total).alias("a"), F.when(emptied, settled).otherwise(total + low).alias("l"))
-    by_user = Window.partitionBy("user_id").orderBy("range_no")
+    ends = ends.select(*KEY, emptied.alias("emptied"), F.when(emptied, settled).otherwise(total).alias("a"), F.when(emptied, settled).otherwise(total + low).alias("l"))
+    by_user = Window.partitionBy(*USER).orderBy("range_no")
     ends = ends.withColumn("_run", F.sum(F.col("emptied").cast("long")).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    same = Window.partitionBy("user_id", "_run").orderBy("range_no").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy(*USER, "_run").orderBy("range_no").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("s", F.sum("a").over(same))
     ends = ends.withColumn("x", F.col("s") + F.greatest(F.lit(0), F.max(F.col("l") - F.col("s")).over(same)))
-    starts = ends.select("user_id", "range_no", F.lag("x", 1, 0).over(by_user).alias("_start"))
+    starts = ends.select(*KEY, F.lag("x", 1, 0).over(by_user).alias("_start"))
 
-    joined = _join_ranges(rows, starts)
+    joined = rows.join(starts, KEY)
     first = F.when(F.col("_run") > 0, F.lit(0)).otherwise(F.col("_start"))
     after = joined.withColumn(name, F.col("_sum") + F.greatest(first, F.col("_low")))
-    before = F.lag(name).over(Window.partitionBy("user_id", "range_no").orderBy(*ORDER))
+    before = F.lag(name).over(Window.partitionBy(*KEY).orderBy(*ORDER))
     return after.withColumn(f"{name}_before", F.coalesce(before, "_start")).drop("_add", "_empty", "_run", "_sum", "_low", "_start")
 
 
@@ -88,7 +96,7 @@ def replay(entries: DataFrame, n_ranges: int | None = None) -> DataFrame:
     ``expired`` is what an emptied subscription held, ``uncovered`` what a debit found in no wallet.
     """
     kind, amount = F.col("kind"), F.col("amount")
-    rows = last_before(in_ranges(entries, n_ranges), F.when(kind == "RENEWAL", F.col("expires")), "until")
+    rows = last_before(_keyed(in_ranges(entries, n_ranges)), F.when(kind == "RENEWAL", F.col("expires")), "until")
     ends = (kind == "RENEWAL") | (F.col("until") <= F.col("created"))
     wanted = F.when(kind == "DEBIT", amount).otherwise(0)
     rows = balances(rows, F.when(kind == "RENEWAL", amount).otherwise(-wanted), ends, "subscription")
@@ -103,7 +111,7 @@ def replay(entries: DataFrame, n_ranges: int | None = None) -> DataFrame:
     held = F.when(kind == "RESERVE", amount).when(kind == "RELEASE", -amount).when(kind == "DEBIT", -taken).otherwise(0)
     rows = balances(rows, held, F.lit(False), "reserved")
     return rows.select(
-        "user_id",
+        F.when(~F.col("_none"), F.col("_user")).alias("user_id"),
         "entry_id",
         "created",
         "kind",

@@ -63,6 +63,20 @@ def test_a_hot_user_is_spread_over_ranges(spark):
     assert parts > 1
 
 
+def test_entries_are_shuffled_once_for_a_wallet(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = ledger.replay(spark.createDataFrame(entries(300, 4, 0.5), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # of the entries, of their sums and of the sums of ranges: by user and range, or by user alone
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_empty_ledger_and_balances(spark):
     assert ledger.replay(spark.createDataFrame([], SCHEMA)).collect() == []
     day = datetime.date(2024, 5, 1)
