@@ -86,12 +86,19 @@ def added_lines(diff: Column) -> Column:
     return F.transform(F.filter(_lines(diff), _is_added), lambda x: F.substr(x, F.lit(2)))
 
 
+def _begin_with(diff: Column, sign: str) -> Column:
+    """Lines that begin with ``sign`` and not with three of it, counted without parting the text."""
+    text = F.concat(F.lit("\n"), diff)
+    n = lambda start: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(start), F.lit("")))) / len(start)
+    return (n(f"\n{sign}") - n(f"\n{sign * 3}")).cast("int")
+
+
 def n_added(diff: Column) -> Column:
-    return F.size(F.filter(_lines(diff), _is_added))
+    return _begin_with(diff, "+")
 
 
 def n_deleted(diff: Column) -> Column:
-    return F.size(F.filter(_lines(diff), _is_deleted))
+    return _begin_with(diff, "-")
 
 
 def _count(lines: Column, pattern: str) -> Column:

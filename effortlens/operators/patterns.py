@@ -5,11 +5,15 @@ Files are those of ``diffs.file_features``: the columns of the commit, file_no,
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from effortlens.operators import diffs
 
@@ -22,30 +26,79 @@ SYSTEMATIC = "<SYSTEMATIC>"
 _SPACE = " \t\r\n\f\v"
 
 
+_FORMS = [(re.compile(pattern, re.ASCII), replacement.replace("$", "\\")) for pattern, replacement in diffs.NORMAL]
+
+
 def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE))
 
 
+def _normal(line: str) -> str:
+    """``diffs.normal_line`` of one line, stripped."""
+    for pattern, replacement in _FORMS:
+        line = pattern.sub(replacement, line)
+    return line.strip(_SPACE)
+
+
+@lru_cache(maxsize=100_000)
+def _pair(deleted: str, added: str) -> tuple[str, str] | None:
+    """Two changed lines, with their signs, made equal; None if they are no pair. Lines that come back are made equal once."""
+    deleted, added = deleted[1:], added[1:]
+    if deleted.strip(_SPACE) == added.strip(_SPACE):
+        return None
+    deleted, added = _normal(deleted), _normal(added)
+    return (deleted, SYSTEMATIC if deleted == added else added) if deleted or added else None
+
+
+def _edits(diff: str) -> Counter:
+    """(deleted, added) -> n of the diff of one file."""
+    met, gone, come = Counter(), [], []
+    lines = diff.split("\n")
+    lines.append("")
+    for line in lines:
+        if line.startswith("+") and not line.startswith("+++"):
+            come.append(line)
+        elif line.startswith("-") and not line.startswith("---"):
+            gone.append(line)
+        elif gone or come:
+            if gone and come:
+                met.update(zip(gone, come, strict=False))
+            gone, come = [], []
+    pairs = Counter()
+    for key, n in met.items():
+        if pair := _pair(*key):
+            pairs[pair] += n
+    return pairs
+
+
+def _pair_rows(files: DataFrame, outer: bool = False) -> DataFrame:
+    """The columns of ``files`` but diff, with deleted, added and n of each pair; ``outer``: a row of nulls for files without pairs."""
+    kept = [f for f in files.schema if f.name != "diff"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, diff in enumerate(batch.column("diff").to_pylist()):
+                found = [(*pair, n) for pair, n in _edits(diff).items()] if diff else []
+                found = found or [(None, None, None)] * outer
+                at += [i] * len(found)
+                rows += found
+            taken = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*taken.schema.names, "deleted", "added", "n"])
+
+    return files.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL("deleted string, added string, n long")]))
+
+
 def edit_pairs(files: DataFrame, by: list[str]) -> DataFrame:
     """by, file_no, deleted, added, n: how often a deleted line stands against an added one, both made equal.
 
     The k-th deleted and the k-th added line of a run of changed lines are a pair, unless they differ
     in white space at their ends only or both become empty. Where both become equal, added is
-    <SYSTEMATIC>. A null diff has no pairs; nothing is left out by length.
+    <SYSTEMATIC>. A null diff has no pairs; nothing is left out by length. A file is counted inside its row.
     """
-    lines = F.split("diff", "\n")
-    is_added = lambda x: x.startswith("+") & ~x.startswith("+++")
-    is_deleted = lambda x: x.startswith("-") & ~x.startswith("---")
-    text = F.array_join(F.transform(lines, lambda x: F.when(is_added(x) | is_deleted(x), x).otherwise("")), "\n")
-    runs = files.select(*by, "file_no", F.explode(F.split(text, "\n\n")).alias("run"))
-    signed = lambda keep: F.transform(F.filter(F.split("run", "\n"), keep), lambda x: F.substr(x, F.lit(2)))
-    runs = runs.select(*by, "file_no", signed(is_deleted).alias("deleted"), signed(is_added).alias("added"))
-    n = F.least(F.size("deleted"), F.size("added"))
-    runs = runs.select(*by, "file_no", F.slice("deleted", 1, n).alias("deleted"), F.slice("added", 1, n).alias("added"))
-    pairs = runs.select(*by, "file_no", F.inline(F.arrays_zip("deleted", "added"))).where(_strip(F.col("deleted")) != _strip(F.col("added")))
-    pairs = pairs.select(*by, "file_no", *[_strip(diffs.normal_line(F.col(x))).alias(x) for x in ("deleted", "added")])
-    pairs = pairs.where("deleted <> '' OR added <> ''").withColumn("added", F.when(F.col("deleted") == F.col("added"), SYSTEMATIC).otherwise(F.col("added")))
-    return pairs.groupBy(*by, "file_no", "deleted", "added").agg(F.count("*").alias("n"))
+    return _pair_rows(files.select(*by, "file_no", "diff"))
 
 
 def pattern_support(files: DataFrame, by: list[str], least: int = 3) -> DataFrame:

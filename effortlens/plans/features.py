@@ -30,24 +30,30 @@ _sha = "md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey))"
 
 def _spark_pick(values, index):
     made = [F.lit(v) for v in values]
-    return F.get(F.array(*made), F.expr(index).cast("int"))
+    return F.get(F.array(*made), (F.expr(index) if isinstance(index, str) else index).cast("int"))
 
 
 def _duck_list(values):
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _raw_diffs(t, *more):
-    """Line items -> sha, their columns ``more``, diff of three files a commit; every fiftieth part has long ones."""
+def _diff(of=F.col):
+    """The diff of three files that a line item makes, of its keys; every fiftieth part has long ones."""
+    part, supp, number = of("l_partkey"), of("l_suppkey"), of("l_linenumber")
+    wide = F.when(part % 50 == 0, 60).otherwise(1)
     parts = []
     for j in range(3):
-        name = _spark_pick(NAMES, f"(l_partkey * 7 + l_linenumber + {j} * 5) % {len(NAMES)}")
-        line = _spark_pick(ADDED, f"(l_partkey + {j}) % {len(ADDED)}")
-        wide = "CASE WHEN l_partkey % 50 = 0 THEN 60 ELSE 1 END"
-        added, deleted = F.expr(f"(l_suppkey + {3 * j}) % 9 * ({wide})"), F.expr(f"(l_partkey + {j}) % 6 * ({wide})")
+        name = _spark_pick(NAMES, (part * 7 + number + j * 5) % len(NAMES))
+        line = _spark_pick(ADDED, (part + j) % len(ADDED))
+        added, deleted = (supp + 3 * j) % 9 * wide, (part + j) % 6 * wide
         head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1 +1 @@\n"))
         parts.append(F.concat(head, F.repeat(F.concat(F.lit("+"), line, F.lit("\n")), added.cast("int")), F.repeat(F.lit("-old value\n"), deleted.cast("int"))))
-    return t.select(F.expr(_sha).alias("sha"), *more, F.concat(*parts).alias("diff"))
+    return F.concat(*parts)
+
+
+def _raw_diffs(t, *more):
+    """Line items -> sha, their columns ``more``, diff of three files a commit."""
+    return t.select(F.expr(_sha).alias("sha"), *more, _diff().alias("diff"))
 
 
 def _duck_part(j):

@@ -10,22 +10,26 @@ from effortlens.plans.check_sql import with_frames
 from effortlens.sources.tables import commits, table
 
 _BY = ["sha"]
-_LINES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+_LINES = ("l_linenumber", "l_partkey", "l_suppkey")
+#: Line items a task makes texts of: some hundred bytes each, of keys of a few.
+_AT_ONCE = 100_000
 
 
-def _line_items(spark, d):
-    """Line items where their order is: only keys are shuffled, texts are made of them afterwards."""
-    return table(spark, d, "lineitem").select(*_LINES).repartition("l_orderkey")
+def _commits(spark, d, diff):
+    """sha, diff: the diffs of an order's line items, one after another.
 
-
-def _joined(rows):
-    """sha, diff: the diffs of an order's line items, one after another."""
-    parts = F.sort_array(F.collect_list(F.struct("l_linenumber", "diff")))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(parts, lambda x: x["diff"]), "").alias("diff")).withColumnRenamed("l_orderkey", "sha")
+    Only keys are shuffled and gathered by order; texts are made of them afterwards, row by row. The keys are
+    few bytes and the texts many, so tasks are counted by line items.
+    """
+    items = table(spark, d, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // _AT_ONCE)
+    orders = items.select("l_orderkey", *_LINES).repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(*_LINES)).alias("items"))
+    parts = F.sort_array(F.transform("items", lambda x: F.struct(x["l_linenumber"].alias("number"), diff(lambda name: x[name]).alias("diff"))))
+    return orders.select(F.col("l_orderkey").alias("sha"), F.array_join(F.transform(parts, lambda x: x["diff"]), "").alias("diff"))
 
 
 def _files(spark, d):
-    return diffs.file_features(diffs.split_files(_joined(features._raw_diffs(_line_items(spark, d), *_LINES))))
+    return diffs.file_features(diffs.split_files(_commits(spark, d, features._diff)))
 
 
 RAW = f"""raw AS (SELECT l_orderkey AS sha, string_agg(diff, '' ORDER BY l_linenumber, diff) AS diff FROM (
@@ -51,15 +55,18 @@ COVERAGE = """shares AS (SELECT sha, file_no, sum(CASE WHEN n_files IS NULL THEN
   counts AS (SELECT sha, n_files, CASE WHEN n_files < 5 THEN 0 ELSE n_found + CASE WHEN n_files > 20 THEN n_small ELSE 0 END END AS n FROM sums)"""
 
 
-def _moved_files(spark, d):
-    """Every line item takes 11 to 60 numbered lines of one of five texts out of one file and adds some of its own number in another."""
-    gone, come = F.expr("l_partkey % 5"), F.expr("(l_partkey + l_linenumber) % 5")
+def _moved_diff(of):
+    """A line item takes 11 to 60 numbered lines of one of five texts out of one file and adds some of its own number in another."""
+    part, supp, number = of("l_partkey"), of("l_suppkey"), of("l_linenumber")
     # the first n lines of one of five long texts
     long = lambda sign: F.array(*[F.lit("".join(f"{sign}line {i} of {k}\n" for i in range(1, 66))) for k in range(5)])
     numbered = lambda sign, n, text: F.concat(F.call_function("substring_index", F.get(long(sign), text.cast("int")), F.lit("\n"), n.cast("int")), F.lit("\n"))
-    head = lambda folder: F.concat(F.lit(f"diff --git a/{folder}/f b/{folder}/"), F.col("l_linenumber").cast("string"), F.lit(".py\n@@ -1 +1 @@\n"))
-    text = F.concat(head("old"), numbered("-", F.expr("11 + l_suppkey % 50"), gone), head("new"), numbered("+", F.expr("6 + l_partkey % 60"), come))
-    return diffs.file_features(diffs.split_files(_joined(_line_items(spark, d).select("l_orderkey", "l_linenumber", text.alias("diff")))))
+    head = lambda folder: F.concat(F.lit(f"diff --git a/{folder}/f b/{folder}/"), number.cast("string"), F.lit(".py\n@@ -1 +1 @@\n"))
+    return F.concat(head("old"), numbered("-", supp % 50 + 11, part % 5), head("new"), numbered("+", part % 60 + 6, (part + number) % 5))
+
+
+def _moved_files(spark, d):
+    return diffs.file_features(diffs.split_files(_commits(spark, d, _moved_diff)))
 
 
 def _messages(spark, d):
