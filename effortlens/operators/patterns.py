@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -115,16 +116,16 @@ def top_patterns(files: DataFrame, by: list[str], n: int = 5) -> DataFrame:
 def pattern_coverage(files: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """by, file_no, added, deleted, coverage (share of the file's pairs that are repeated; 0 without pairs), patterned (half of them or more).
 
-    The pairs are counted once; support and coverage are made of those counts.
+    The pairs are made once, and files without any stay among them; in a commit without a name nothing is repeated.
     """
-    pairs = edit_pairs(files, by)
-    repeated = pairs.groupBy(*by, "deleted", "added").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= least)
-    shares = pairs.join(repeated, [*by, "deleted", "added"], "left").groupBy(*by, "file_no").agg(
-        (F.sum(F.when(F.col("n_files").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")
+    rows = _pair_rows(files.select(*by, "file_no", F.col("added").alias("n_added"), F.col("deleted").alias("n_deleted"), "diff"), outer=True)
+    named = reduce(and_, [F.col(c).isNotNull() for c in by])
+    repeated = F.count("*").over(Window.partitionBy(*by, "deleted", "added")) >= least
+    shares = rows.withColumn("repeated", repeated).groupBy(*by, "file_no", "n_added", "n_deleted").agg(
+        (F.sum(F.when(F.col("repeated"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")
     )
-    coverage = F.coalesce("share", F.lit(0.0))
-    found = files.select(*by, "file_no", "added", "deleted").join(shares, [*by, "file_no"], "left")
-    return found.select(*by, "file_no", "added", "deleted", coverage.alias("coverage"), (coverage >= 0.5).alias("patterned"))
+    coverage = F.coalesce(F.when(named, F.col("share")), F.lit(0.0))
+    return shares.select(*by, "file_no", F.col("n_added").alias("added"), F.col("n_deleted").alias("deleted"), coverage.alias("coverage"), (coverage >= 0.5).alias("patterned"))
 
 
 def bulk_edits(files: DataFrame, by: list[str]) -> DataFrame:
