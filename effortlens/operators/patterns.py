@@ -6,15 +6,17 @@ Files are those of ``diffs.file_features``: the columns of the commit, file_no,
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from effortlens.operators import diffs
 
@@ -25,15 +27,15 @@ PLAIN_MOVE = r"(?i)\b(move|rename|relocate|reorganize)\b"
 SYSTEMATIC = "<SYSTEMATIC>"
 
 _SPACE = " \t\r\n\f\v"
+#: Rows that a task gives out at once.
+_ROWS = 10_000
+#: So few targets of a commit are compared with each source.
+_FEW = 16
 
 
 _FORMS = [(re.compile(pattern, re.ASCII), replacement.replace("$", "\\")) for pattern, replacement in diffs.NORMAL]
 
 
-def _strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(_SPACE))
-
-
 def _normal(line: str) -> str:
     """``diffs.normal_line`` of one line, stripped."""
     for pattern, replacement in _FORMS:
@@ -145,60 +147,99 @@ def bulk_edits(files: DataFrame, by: list[str]) -> DataFrame:
     return counted.select(*by, "n_files", F.when(bulk, F.col("n")).otherwise(0).cast("long").alias("n_patterned"), "bulk_ratio", bulk.alias("is_bulk"))
 
 
-def _content(files: DataFrame, by: list[str], sign: str, count: str, file: str) -> DataFrame:
-    """by, ``file``, lines: distinct stripped lines of more than three characters with ``sign``, of files with more than five such lines.
+def _content(diff: str, sign: str) -> set[str]:
+    """Distinct stripped lines of more than three characters with ``sign``."""
+    return {text for x in diff.split("\n") if x.startswith(sign) and not x.startswith(sign * 2) and len(text := x[1:].strip(_SPACE)) > 3}
+
 
-    An overlap needs more than ten lines on both sides, so files with fewer are left out.
+def _overlaps(files: list[tuple]) -> list[tuple]:
+    """(source, target, overlap) of the files (file_no, diff, added, deleted) of a commit, by source, largest overlap and target.
+
+    Few targets are each compared. Of many, so many lines are shared that at least one is among the source's rarest: only those are looked
+    up, and lines that stand in many files do not pair every file with every other. An overlap needs more than ten lines on both sides.
+    """
+    gone = [(no, diff) for no, diff, _, n in files if diff and (n or 0) > 5]
+    come = [(no, diff) for no, diff, n, _ in files if diff and (n or 0) > 5]
+    if not gone or not come:
+        return []
+    added = {no: lines for no, diff in come if len(lines := _content(diff, "+")) > 10}
+    use = defaultdict(list)
+    for no, lines in added.items() if len(added) > _FEW else ():
+        for line in lines:
+            use[line].append(no)
+    found = []
+    for no, diff in gone if added else ():
+        lines = _content(diff, "-")
+        needed = max(int(len(lines) * 0.4), 10) + 1
+        if len(lines) >= needed:
+            targets = added
+            if len(added) > _FEW:
+                rarest = sorted([use.get(line, ()) for line in lines], key=len)[: len(lines) - needed + 1]
+                targets = set().union(*rarest)
+            shared = [(target, len(lines & added[target])) for target in targets if target != no]
+            found += [(no, target, n / len(lines)) for target, n in shared if n >= needed and n / len(lines) > 0.4]
+    return sorted(found, key=lambda x: (x[0], -x[2], x[1]))
+
+
+def _taken(files: list[tuple]) -> list[tuple]:
+    """Of ``_overlaps``, the first target of each source that none before it took."""
+    sources, targets, kept = set(), set(), []
+    for source, target, overlap in _overlaps(files):
+        if source not in sources and target not in targets:
+            sources.add(source)
+            targets.add(target)
+            kept.append((source, target, overlap))
+    return kept
+
+
+def _each_commit(rows: DataFrame, by: list[str], fields: list[T.StructField], pick: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """by and ``fields``: what ``pick`` makes of the other columns of the rows of a commit, which stand together.
+
+    A task reads its commits one after another, with one of them at a time in memory.
     """
-    kept = F.filter(F.split("diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 2))
-    lines = F.array_distinct(F.filter(F.transform(kept, lambda x: _strip(F.substr(x, F.lit(2)))), lambda x: F.char_length(x) > 3))
-    return files.where(F.col(count) > 5).select(*by, F.col("file_no").alias(file), lines.alias("lines")).where(F.size("lines") > 10)
+    at = len(by)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, out = [], []
 
-def move_overlaps(files: DataFrame, by: list[str]) -> DataFrame:
-    """by, source, target, overlap: files of a commit where more than 40 % of the source's deleted lines, and more than ten, are added in the target.
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = batch.schema.types[:at]
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    So many lines are shared that at least one is among the source's rarest: only those meet, as hashes, and
-    lines that stand in many files do not pair every file with every other. Pairs found are then counted on the texts of all lines.
-    """
-    gone, come = _content(files, by, "-", "deleted", "source"), _content(files, by, "+", "added", "target")
-    hashes = F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("line")
-    come_lines = come.select(*by, "target", hashes)
-    use = come_lines.groupBy(*by, "line").agg(F.count("*").alias("n_targets"))
-    order = Window.partitionBy(*by, "source").orderBy("n_targets", "line")
-    ranked = gone.select(*by, "source", F.size("lines").alias("n_lines"), hashes).join(use, [*by, "line"], "left")
-    ranked = ranked.withColumn("n_targets", F.coalesce("n_targets", F.lit(0))).withColumn("place", F.row_number().over(order))
-    needed = F.greatest(F.floor(F.col("n_lines") * 0.4), F.lit(10)) + 1
-    rare = ranked.where((F.col("place") <= F.col("n_lines") - needed + 1) & (F.col("n_targets") > 0))
-    pairs = rare.join(come_lines, [*by, "line"]).where("source <> target").select(*by, "source", "target").distinct()
-    shared = pairs.join(gone.withColumnRenamed("lines", "gone"), [*by, "source"]).join(come.withColumnRenamed("lines", "come"), [*by, "target"])
-    shared = shared.select(*by, "source", "target", F.size("gone").alias("n_lines"), F.size(F.array_intersect("gone", "come")).alias("n"))
-    return shared.where((F.col("n") > 10) & (F.col("n") / F.col("n_lines") > 0.4)).select(*by, "source", "target", (F.col("n") / F.col("n_lines")).alias("overlap"))
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds + [None] * len(fields), strict=True)]
+            columns[at:] = [c.cast(to_arrow_type(f.dataType)) for c, f in zip(columns[at:], fields, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=[*by, *(f.name for f in fields)])
 
+        for key, group in groupby(read(), lambda row: row[:at]):
+            out += [(*key, *x) for x in pick([row[at:] for row in group])]
+            if len(out) >= _ROWS:
+                yield made()
+                out = []
+        if out:
+            yield made()
 
-def move_pairs(files: DataFrame, by: list[str]) -> DataFrame:
-    """by, source, target, overlap: in file order each source takes the target of the largest overlap that none before it took; ties by file order.
+    return rows.select(*by, *[c for c in rows.columns if c not in by]).mapInArrow(run, T.StructType([*(rows.schema[c] for c in by), *fields]))
 
-    A task reads its commits one after another, with what is taken in one of them at a time.
-    """
-    overlaps = move_overlaps(files, by).select(*by, "source", "target", "overlap")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, source, taken = None, None, set()
-        for batch in batches:
-            keep = []
-            columns = [batch.column(c).to_pylist() for c in (*by, "source", "target")]
-            for i, (*key, mine, target) in enumerate(zip(*columns, strict=True)):
-                if key != at:
-                    at, source, taken = key, None, set()
-                if mine != source and target not in taken:
-                    source = mine
-                    taken.add(target)
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    ordered = overlaps.repartition(*by).sortWithinPartitions(*by, "source", F.col("overlap").desc(), "target")
-    return ordered.mapInArrow(run, overlaps.schema)
+def _pairs_of(files: DataFrame, by: list[str], pick: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """by, source, target, overlap as ``pick`` finds them; the window puts the files of a commit together, where they are already by commit without a shuffle."""
+    whole = Window.partitionBy(*by)
+    rows = files.select(*by, "file_no", "diff", "added", "deleted").dropna(subset=by)
+    rows = rows.withColumn("both", (F.max("deleted").over(whole) > 5) & (F.max("added").over(whole) > 5)).where("both").drop("both")
+    no = files.schema["file_no"].dataType
+    return _each_commit(rows, by, [T.StructField("source", no), T.StructField("target", no), T.StructField("overlap", T.DoubleType())], pick)
+
+
+def move_overlaps(files: DataFrame, by: list[str]) -> DataFrame:
+    """by, source, target, overlap: files of a commit where more than 40 % of the source's deleted lines, and more than ten, are added in the target."""
+    return _pairs_of(files, by, _overlaps)
+
+
+def move_pairs(files: DataFrame, by: list[str]) -> DataFrame:
+    """by, source, target, overlap: in file order each source takes the target of the largest overlap that none before it took; ties by file order."""
+    return _pairs_of(files, by, _taken)
 
 
 def moves(files: DataFrame, messages: DataFrame, by: list[str]) -> DataFrame:
