@@ -242,24 +242,33 @@ def move_pairs(files: DataFrame, by: list[str]) -> DataFrame:
     return _pairs_of(files, by, _taken)
 
 
+def _summed(files: list[tuple]) -> list[tuple]:
+    """The totals of a commit, which all of its files have, the number of its pairs and their mean overlap."""
+    shares = [overlap for _, _, overlap in _taken([file[:4] for file in files])]
+    return [(*files[0][4:], len(shares), sum(shares) / len(shares) if shares else 0.0)]
+
+
 def moves(files: DataFrame, messages: DataFrame, by: list[str]) -> DataFrame:
     """by, n_files, n_pairs, overlap (mean), is_move, move_type (null if none) of every commit of ``messages`` (by, message).
 
     A commit is looked at if its message speaks of a move or as many lines come as go (60 %), and is a
     move if files pair up, or by message and 70 %. A null message speaks of nothing; a commit without files is no move.
+    Files are read once: totals and pairs come out of one pass by commit.
     """
-    rated = (F.col("added") > 2) & (F.col("deleted") < 3) & F.col("filename").rlike(diffs.any_of(diffs.ARTEFACTS))
-    totals = files.groupBy(*by).agg(
-        F.count("*").alias("n_files"), F.sum("added").alias("come"), F.sum("deleted").alias("gone"), F.count_if(rated).alias("n_artefacts")
-    )
     says = lambda pattern: F.coalesce(F.col("message").rlike(pattern), F.lit(False))
     ratio = F.when((F.col("come") > 0) & (F.col("gone") > 0), F.least("come", "gone") / F.greatest("come", "gone")).otherwise(0.0)
-    seen = messages.select(*by, "message").join(totals, by, "left").na.fill(0, ["n_files", "come", "gone", "n_artefacts"])
-    seen = seen.withColumns({"named": says(MOVE), "ratio": ratio})
-    asked = (F.col("n_files") > 0) & (F.col("named") | (F.col("ratio") >= 0.6))
-    pairs = move_pairs(files.join(seen.where(asked).select(*by), by, "left_semi"), by)
-    pairs = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("overlap").alias("overlap"))
-    all_ = seen.join(pairs, by, "left").na.fill(0, ["n_pairs"]).na.fill(0.0, ["overlap"])
+    asked = F.coalesce("named", F.lit(False)) | (ratio >= 0.6)
+    whole = Window.partitionBy(*by)
+    rated = (F.col("added") > 2) & (F.col("deleted") < 3) & F.col("filename").rlike(diffs.any_of(diffs.ARTEFACTS))
+    rows = files.select(*by, "file_no", "diff", "added", "deleted", F.when(rated, 1).otherwise(0).alias("rated"))
+    rows = rows.join(messages.where(says(MOVE)).select(*by, F.lit(True).alias("named")).distinct(), by, "left")
+    rows = rows.withColumns({"n_files": F.count("*").over(whole), "come": F.sum("added").over(whole), "gone": F.sum("deleted").over(whole), "n_artefacts": F.sum("rated").over(whole)})
+    totals = ("n_files", "come", "gone", "n_artefacts")
+    fields = [*(T.StructField(c, T.LongType()) for c in (*totals, "n_pairs")), T.StructField("overlap", T.DoubleType())]
+    rows = rows.select(*by, "file_no", F.when(asked, F.col("diff")).alias("diff"), "added", "deleted", *totals)
+    seen = messages.select(*by, "message").withColumn("named", says(MOVE)).join(_each_commit(rows, by, fields, _summed), by, "left")
+    all_ = seen.na.fill(0, [*totals, "n_pairs"]).na.fill(0.0, ["overlap"]).withColumn("ratio", ratio)
+    asked = (F.col("n_files") > 0) & asked
     is_move = asked & ((F.col("n_pairs") > 0) | (F.col("named") & (F.col("ratio") > 0.7)))
     wide = F.col("n_files") > 15
     plain = (F.col("n_files") < 5) & (F.col("overlap") > 0.75) & says(PLAIN_MOVE)
